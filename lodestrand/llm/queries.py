@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat, exact, lines, secret_scan
+from lodestrand.llm import chat, exact, lines, neardup, secret_scan
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,15 +113,42 @@ SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) F
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def near_ctes(docs: str, k: int, percent: int) -> str:
+    """CTEs (for WITH RECURSIVE) ending in near_set(doc_id, n) and near_comp(doc_id, component_id) over ``docs``."""
+    return f"""
+near_words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM {docs}),
+near_sh AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []
+  WHEN len(ws) < {k} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {k} + 2), lambda i: array_to_string(ws[i:i + {k} - 1], ' ')) END) AS sh FROM near_words)),
+near_set AS (SELECT w.doc_id, count(sh) AS n FROM near_words w LEFT JOIN near_sh USING (doc_id) GROUP BY w.doc_id),
+near_both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM near_sh a JOIN near_sh b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near_link AS (SELECT a, b FROM near_both JOIN near_set x ON x.doc_id = a JOIN near_set y ON y.doc_id = b WHERE 100 * i >= {percent} * (x.n + y.n - i)),
+near_side AS (SELECT a, b FROM near_link UNION ALL SELECT b, a FROM near_link),
+near_reach AS (SELECT doc_id, doc_id AS r FROM near_set UNION SELECT near_side.b, near_reach.r FROM near_reach JOIN near_side ON near_side.a = near_reach.doc_id),
+near_comp AS (SELECT doc_id, min(r) AS component_id FROM near_reach GROUP BY doc_id)"""
+
+
+OP10_SQL = f"""
+WITH RECURSIVE {near_ctes("documents", 3, 85)}
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM near_set JOIN near_comp USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op5_line_dedup": OP5_SQL,
     "op8_secret_scan": _op8_sql(),
+    "op10_near_dedup": OP10_SQL,
 }
