@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat, exact, lines, neardup, secret_scan, substrings
+from lodestrand.llm import chat, exact, langid, lines, neardup, quality, secret_scan, substrings
+from lodestrand.shipping import ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: The conversation that the contract adds: its texts hold the template's own control strings.
@@ -104,6 +105,24 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM judged GROUP BY doc_id"""
 
 
+def _bucket(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, _bucket(4) != 2)
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", F.coalesce(_bucket(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels").select("doc_id", "quality"), _bucket(5) != 0)
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(_bucket(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
@@ -160,7 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_language_id": op6_language_id,
     "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES: dict[str, str] = {

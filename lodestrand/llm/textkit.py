@@ -20,7 +20,11 @@ _rng = np.random.default_rng(20240607)
 _CODES = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CODES[SPACE] = 0
+WORD = (~SPACE).astype(np.uint8)
+#: Letters and digits, with all bytes beyond ASCII; everything else separates.
+ALNUM = np.array([bytes([b]).isalnum() or b > 127 for b in range(256)]).astype(np.uint8)
+#: The same with runs of other printing characters as words of their own.
+RUNS = np.where(ALNUM > 0, 1, np.where(SPACE, 0, 2)).astype(np.uint8)
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
 _FOLDED = _CODES[_FOLD]
@@ -65,7 +69,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[p
 class Words:
     """The words of a string array's rows: byte spans, 64-bit values and the first word of each row."""
 
-    def __init__(self, texts: pa.Array, fold: bool = False):
+    def __init__(self, texts: pa.Array, fold: bool = False, kinds: np.ndarray | None = None):
+        """kinds: a class for each byte; 0 separates words, and a word ends where the class changes."""
         if texts.null_count:
             texts = pc.fill_null(texts, "")
         if isinstance(texts, pa.ChunkedArray):
@@ -76,17 +81,19 @@ class Words:
         off = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
         self.bytes = d = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
         self.rows, self.off = n, off - off[0]
-        space = SPACE[d]
+        kind = WORD[d] if kinds is None else kinds[d]
         edge = np.zeros(len(d) + 1, bool)
         edge[self.off] = True
-        word = ~space
-        first, last = word.copy(), word.copy()
-        first[1:] &= space[:-1] | edge[1:-1]
-        last[:-1] &= space[1:] | edge[1:-1]
+        edge[1:-1] |= kind[1:] != kind[:-1]
+        first, last = kind > 0, kind > 0
+        first &= edge[:-1] if len(d) else first
+        last &= edge[1:] if len(d) else last
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.starts, self.off)
         self.n = len(self.starts)
-        self.values = self._values(_FOLDED if fold else _CODES)
+        codes = (_FOLDED if fold else _CODES).copy()
+        codes[(WORD if kinds is None else kinds) == 0] = 0
+        self.values = self._values(codes)
 
     def _values(self, codes: np.ndarray) -> np.ndarray:
         d, starts, out = self.bytes, self.starts, np.zeros(self.n, U)
