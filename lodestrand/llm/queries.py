@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat, exact, langid, lines, neardup, quality, secret_scan, substrings
+from lodestrand.llm import chat, decontaminate, exact, langid, lines, mixing, neardup, quality, secret_scan, substrings
 from lodestrand.shipping import ship
 
 
@@ -83,6 +83,54 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find_items(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("item_ids"))
+
+
+OP4_SQL = """
+WITH fold AS (SELECT doc_id AS d, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\\x00-\\x7F])+'), lambda x: x <> '') AS ws FROM documents),
+item AS (SELECT item_id AS i, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\\x00-\\x7F])+'), lambda x: x <> '') AS ws FROM benchmark),
+dt AS (SELECT d, unnest(ws) AS x, generate_subscripts(ws, 1) AS p FROM fold),
+bt AS (SELECT i, least(13, len(ws)) AS size, unnest(ws) AS x, generate_subscripts(ws, 1) AS q FROM item WHERE len(ws) >= 4),
+m AS (SELECT d, i, size, p - q AS shift, q FROM dt JOIN bt USING (x)),
+big AS (SELECT d, i, shift FROM m GROUP BY ALL HAVING count(*) >= min(size) - CASE WHEN min(size) >= 10 THEN min(size) // 5 ELSE 0 END),
+near AS (SELECT d, i, size, count(*) OVER (PARTITION BY d, i, shift ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS c13,
+  count(*) OVER (PARTITION BY d, i, shift) AS c FROM m JOIN big USING (d, i, shift)),
+hit AS (SELECT DISTINCT d, i FROM near WHERE CASE WHEN size < 13 THEN c ELSE c13 END >= size - CASE WHEN size >= 10 THEN size // 5 ELSE 0 END)
+SELECT d AS doc_id, count(i) > 0 AS contaminated, count(i) AS n_items, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i), '') AS item_ids
+FROM fold LEFT JOIN hit USING (d) GROUP BY d"""
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return out.select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "in_mix")
+
+
+OP7_SQL = """
+WITH RECURSIVE cnt AS (SELECT source AS src, count(*) AS n FROM documents GROUP BY source),
+w AS (SELECT src, n, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS i, count(*) OVER () AS many, sqrt(n::DOUBLE) AS w FROM cnt),
+e AS (SELECT *, w / sum(w) OVER () * (1024 - many) AS exact FROM w),
+f AS (SELECT *, floor(exact) AS base FROM e),
+g AS (SELECT *, row_number() OVER (ORDER BY exact - base DESC, i) AS place, 1024 - many - sum(base) OVER () AS rest FROM f),
+q AS (SELECT src, n, i, (base + 1 + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS q FROM g),
+l AS (SELECT list(q ORDER BY i) AS q, len(list(q)) AS m FROM q),
+sim AS (
+  SELECT 0 AS t, q, m, list_transform(q, lambda x: 0::BIGINT) AS done, -1::BIGINT AS i, -1::BIGINT AS k FROM l
+  UNION ALL
+  SELECT t + 1, q, m, list_transform(range(1, m + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p - 1, done[p] FROM (
+    SELECT *, list_min(list_transform(range(1, m + 1), lambda j: CASE WHEN done[j] < q[j] AND done[j] * 1024 // q[j] <= t
+      THEN -((-(done[j] + 1) * 1024) // q[j] ) * 1048576 + j END)) % 1048576 AS p FROM (SELECT t, q, m, done FROM sim) WHERE t < 1024)),
+slot AS (SELECT i, k, t - 1 AS s FROM sim WHERE t > 0),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM documents),
+b AS (SELECT r.*, r // 64 AS b, q.i, q.q FROM r JOIN q ON source IS NOT DISTINCT FROM src),
+z AS (SELECT min(b2 // q * 1024 + s) AS z FROM (SELECT i, q, (n + 63) // 64 AS b2 FROM q) x JOIN slot ON slot.i = x.i AND slot.k = x.b2 % x.q)
+SELECT doc_id, source, b::BIGINT AS mix_block, (b // q * 1024 + s)::BIGINT AS mix_slot, (r % 64)::BIGINT AS mix_place, b // q * 1024 + s < z AS in_mix
+FROM b JOIN slot ON slot.i = b.i AND slot.k = b.b % b.q CROSS JOIN z"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -178,8 +226,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op6_language_id": op6_language_id,
+    "op7_mix_sources": op7_mix_sources,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
@@ -188,7 +238,9 @@ ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op2_substring_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_decontaminate": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op7_mix_sources": OP7_SQL,
     "op8_secret_scan": _op8_sql(),
     "op10_near_dedup": OP10_SQL,
 }
