@@ -1,11 +1,64 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet in
+the cluster's shared folder and reads them again as the next stage's documents.  All stages but the last return
+the columns of documents; the last adds each document's place in the mix.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.llm import decontaminate, langid, lines, mixing, neardup
+from lodestrand.llm.scratch import table
+from lodestrand.shipping import ship
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents and drops those that it rejects."""
+    model = langid.fit(docs, F.lit(True))
+    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps a repeated line in the first document that has it; n_chars follows the text."""
+    out = lines.dedup_lines(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group: five-word shingles, similarity of 0.8 or more."""
+    return neardup.dedup_near(docs, k=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents in which a benchmark item is found."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives every document its place in a sequence that follows the sources' target weights."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("mix_sources", mix_sources),
+]
+
+#: Language ID has no SQL form; the other stages are tested against SQL from its output on.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The rows of documents after every stage."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole of documents."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = table(docs, name)
+    return docs
