@@ -35,8 +35,12 @@ def _id() -> Column:
 
 
 def _named(values: DataFrame, what: str) -> DataFrame:
-    """Distinct rows in sorted order, each with a number of its own."""
-    return table(values.orderBy(*values.columns).withColumn("name", F.monotonically_increasing_id()), what)
+    """Distinct rows, each with a number of its own: its partition and its rank in the partition's order.
+
+    The rows are distinct by an aggregation, so they are dealt by their hash already; sorting each partition
+    in place needs no second exchange and sends no sample of texts to the driver.
+    """
+    return table(values.distinct().sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id()), what)
 
 
 def identities(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +62,15 @@ def identities(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> tuple[D
         return rows, short
     texts = docs.select(_id().alias("d"), F.sha2(_text(), 256).alias("s"), _text().alias("text"))
     cut = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).alias("i", "b")
-    parts = table(texts.join(long_.select("d", "s"), ["d", "s"], "left_semi").dropDuplicates(["d", "s"]).select("d", "s", cut), "blocks")
-    names = _named(parts.select("b").distinct(), "block_names")
+    parts = table(texts.join(long_.select("d", "s").hint("merge"), ["d", "s"], "left_semi").dropDuplicates(["d", "s"]).select("d", "s", cut), "blocks")
+    names = _named(parts.select("b"), "block_names")
     level = table(parts.join(names, "b").join(long_.select("d", "s", "need"), ["d", "s"]).select("d", "s", "need", "i", "name"), "level")
     done = level.where("need = 0").select("d", "s", F.col("name").alias("body_name"))
     for r in range(1, rounds + 1):
         half = F.expr("i div 2").cast("int").alias("i")
         pairs = level.where(F.col("need") >= r).groupBy("d", "s", "need", half).agg(F.max(F.expr("if(i % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(i % 2 = 1, name, null)")), F.lit(-1)).alias("z"))
         pairs = table(pairs, "pairs")
-        names = _named(pairs.select("a", "z").distinct(), "pair_names")
+        names = _named(pairs.select("a", "z"), "pair_names")
         level = table(pairs.join(names, ["a", "z"]).select("d", "s", "need", "i", "name"), "level")
         done = done.unionByName(level.where(F.col("need") == r).select("d", "s", F.col("name").alias("body_name")))
     return rows, short.unionByName(long_.join(done, ["d", "s"]).select("d", "s", "head_name", "body_name"))
@@ -76,7 +80,8 @@ def group_copies(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataF
     """For each row: doc_id, keep_id (the largest doc_id of equal texts), group_size, kept, text_sha256."""
     rows, unsettled = identities(docs, head, block)
     unsettled = table(unsettled.join(rows.select("d", "s", "copies"), ["d", "s"]), "identities")
-    groups = unsettled.groupBy("head_name", "body_name").agg(F.max("d").alias("keep"), F.sum("copies").alias("size"))
+    # Written, so that the join has exchanges on both sides and a large group's rows can be split.
+    groups = table(unsettled.groupBy("head_name", "body_name").agg(F.max("d").alias("keep"), F.sum("copies").alias("size")), "groups")
     found = unsettled.join(groups, ["head_name", "body_name"]).select("d", "s", "keep", "size")
     out = rows.join(found, ["d", "s"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     keep = F.coalesce("keep", "d")
