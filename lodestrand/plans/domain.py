@@ -68,7 +68,7 @@ def events(t) -> DataFrame:
     return t.events.select("event_id", F.col("user_id").alias("user"), F.col("event_type").alias("kind"), "value", (micros / 1e6).alias("at"))
 
 
-EVENTS = """ev AS (SELECT event_id, user_id AS "user", event_type AS kind, value, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS at FROM events)"""
+EVENTS = """ev AS (SELECT event_id, user_id AS "user", event_type AS kind, value, (epoch_us(ts) - 1704067200000000) / 1e6::DOUBLE AS sec FROM events)"""
 
 
 def judged(t) -> DataFrame:
