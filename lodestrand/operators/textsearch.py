@@ -22,7 +22,7 @@ K1, B = 1.2, 0.75
 
 def tokens(text: Column, fold: bool = True, stop: bool = True) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    low = F.translate(low, ACCENTED, PLAIN) if fold else low
+    low = F.replace(F.translate(low, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss")) if fold else low
     found = F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(STOP_WORDS)) if stop else found
 
