@@ -3,14 +3,15 @@
 A document's set holds the hashes of its distinct word shingles.  Each hash goes to one of 128 buckets; a bucket
 keeps its least hash as a 16-bit register of leading-zero count and mantissa bits; an empty bucket takes the
 next full one's register.  Four registers, 32 apart, make a band, so that with similarity s a pair shares some
-of the 32 bands with probability 1 - (1 - s**4)**32 (0.8: 1 - 5e-8).
+of the 20 bands with probability 1 - (1 - s**4)**20 (0.85: 1 - 4e-7; 0.8: 1 - 3e-5).
 
 Documents with equal sets become one class, so copies are never paired.  Then
   1. in each band's bucket every class is paired with the bucket's first class,
   2. pairs whose collision-corrected estimate of similarity is too low by five standard deviations go,
   3. the others are verified on their full sets, and the links' components are found,
-  4. in buckets that still hold several components, every pair across components is estimated in blocks and the
-     plausible ones are verified; the components of all links are the result.
+  4. in buckets that still hold several components, all pairs across components are verified on their full sets:
+     the bucket is cut into blocks of bounded size, each pair of blocks is one product of 0/1 matrices, and only
+     one link for each merger of two components leaves it; the components of all links are the result.
 So all pairs that share a band are judged, except those whose two classes are connected already.
 
 Defined cases: fewer words than a shingle make one shingle of all words; a text without words (or null) has an
@@ -31,9 +32,11 @@ from lodestrand.llm.components import components
 from lodestrand.llm.scratch import NO_ID, table
 from lodestrand.llm.textkit import U, Words, gram, mix, powers, signed, slices
 
-REGISTERS, ROWS, BLOCK = 128, 4, 4096
-BANDS = REGISTERS // ROWS
+REGISTERS, ROWS, STRIDE, BANDS = 128, 4, 32, 20
 _MANTISSA = 10
+#: Most members, and about the most elements of their sets, in a block of a bucket.
+BLOCK, BLOCK_ELEMENTS = 2048, 1 << 20
+_COLUMNS = 2048
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +101,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = _unpack(batch["regs"]).astype(U)
         key = np.zeros((len(r), BANDS), U)
         for j in range(ROWS):
-            key = key << U(16) | r[:, j * BANDS : (j + 1) * BANDS]
+            key = key << U(16) | r[:, j * STRIDE : j * STRIDE + BANDS]
         key = mix(key ^ powers(0xD1342543DE82EF95, BANDS)[None, :] * U(0x9E3779B97F4A7C15))
         ids = np.repeat(batch["id"].to_numpy(zero_copy_only=False), BANDS)
         yield pa.record_batch([signed(key.ravel()), pa.array(ids)], names=["band", "id"])
@@ -123,23 +126,56 @@ def _estimate(percent: int):
     return run
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left with all right sets, from products of 0/1 matrices."""
+    both = left + right
+    element, code, many = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    rank = np.cumsum(many > 1) - 1
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    keep = many[code] > 1
+    column, owner = rank[code[keep]], owner[keep]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        part = slice(*np.searchsorted(column, [low, low + _COLUMNS]))
+        m = np.zeros((len(both), _COLUMNS), np.float32)
+        m[owner[part], column[part] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
 def _across(percent: int):
-    """Pairs between the components of one bucket, for the blocks i and j of its members."""
+    """Links between the components of one bucket, for the blocks i and j of its members: one for each merger."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, comp, n, blk = (group[c].to_numpy() for c in ("id", "comp", "n", "blk"))
-        regs = _unpack(group["regs"].combine_chunks())
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out = []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else True)]
-            if len(y):
-                y = y[_plausible(regs[x], regs[y], n[x], n[y], percent)]
-                out += [(ids[x], z) for z in ids[y]]
+        ids, comp, blk = (group[c].to_numpy() for c in ("id", "comp", "blk"))
+        sets = [np.frombuffer(e.as_buffer(), U) for e in group["elements"]]
+        left, right = np.flatnonzero(blk == group["i"][0].as_py()), np.flatnonzero(blk == group["j"][0].as_py())
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            n = np.array([len(x) for x in sets], np.float64)
+            same = _shared([sets[x] for x in left], [sets[x] for x in right])
+            linked = 100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)
+            linked &= comp[left][:, None] != comp[right][None, :]
+            x, y = np.nonzero(linked)
+            x, y = left[x], right[y]
+            pairs, at = np.unique(np.sort(np.column_stack([comp[x], comp[y]]), axis=1), axis=0, return_index=True)
+            root: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            for (p, q), k in zip(pairs.tolist(), at.tolist(), strict=True):
+                p, q = top(p), top(q)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(ids[x[k]]), int(ids[y[k]])))
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(np.minimum(a, b) if out else [], pa.int64()), "b": pa.array(np.maximum(a, b) if out else [], pa.int64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -185,7 +221,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     classes = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "f")).alias("r"), F.max("regs").alias("regs"))
     classes = table(classes.select(F.monotonically_increasing_id().alias("id"), "n", "s1", "s2", F.col("r.d").alias("rd"), F.col("r.f").alias("rf"), "regs"), "classes")
     bands = classes.select("id", "regs").mapInArrow(_bands, "band long, id long")
-    buckets = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
+    # Written (as are other aggregates below), so that both sides of the join have exchanges that can be split.
+    buckets = table(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = table(bands.join(buckets, "band"), "members")
     near = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
     sketch = lambda c, r, n: classes.select(F.col("id").alias(c), F.col("regs").alias(r), F.col("n").alias(n))
@@ -198,13 +235,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     comp = lambda c: found.select(F.col("u").alias(c), F.col("v").alias("comp"))
     placed = members.where("size > 2").join(comp("id"), "id", "left").select("band", "id", "size", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    placed = placed.join(mixed, "band").join(classes.select("id", "n", "regs"), "id")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other"))
-    more = placed.groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = table(_links(more, sets, percent), "links")
+    mixed = table(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "mixed")
+    blocks = F.greatest(F.ceil(F.col("size") / F.lit(BLOCK)), F.ceil(F.col("total") / F.lit(BLOCK_ELEMENTS))).cast("int")
+    placed = placed.join(mixed, "band")
+    weights = table(placed.join(classes.select("id", "n"), "id").groupBy("band").agg(F.sum("n").alias("total")), "weights")
+    placed = placed.join(weights, "band").withColumn("blk", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("band", "id", "comp", "blk", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"))
+    more = table(placed.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     top = classes.join(comp("id"), "id", "left").select("n", "s1", "s2", "rd", F.coalesce("comp", "id").alias("comp"))
