@@ -98,4 +98,5 @@ def dedup_exact(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataFr
     """The rows of ``docs`` that stay, with all their columns."""
     docs = without(docs, *ADDED)
     gone = group_copies(docs, head, block).where("not kept").select(_id().alias("_d"), F.col("text_sha256").alias("_s")).distinct()
-    return docs.join(gone, (_id() == F.col("_d")) & (F.sha2(_text(), 256) == F.col("_s")), "left_anti")
+    mine = F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long")
+    return docs.join(gone, (mine == gone["_d"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["_s"]), "left_anti")

@@ -1,0 +1,272 @@
+"""The operators against SQL or brute force, and on nulls, empty and long texts, ties, repeats and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrand.llm import chat, decontaminate, exact, langid, lines, mixing, neardup, quality, queries, secret_scan, substrings
+from tests.oracle import assert_same, duck
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, f string, id int, words string, row string, score double, n_lines int, kept boolean, items int, secrets int"
+EXTRA = ("d", "f", 1, "w", "r", 0.5, 7, True, 3, 4)
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0, *EXTRA) for i, t, s in rows], SCHEMA)
+
+
+def random_docs(seed=1, n=60):
+    """Documents with copies, near copies, shared passages and shared lines."""
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(400)] + ["É", "ñandú", "Straße"]
+    say = lambda k: [rng.choice(vocab) for _ in range(k)]
+    passage, line, base = say(60), " ".join(say(8)), say(200)
+    out = []
+    for i in range(n):
+        ws = say(rng.randint(0, 120))
+        if i % 4 == 0:
+            at = rng.randint(0, len(ws))
+            ws[at:at] = passage[rng.randint(0, 20) :]
+        if i % 5 == 0:
+            ws = list(base)
+            for _ in range(rng.randint(0, 12)):
+                ws[rng.randrange(len(ws))] = rng.choice(vocab)
+        text = " ".join(ws)
+        if i % 3 == 0:
+            text = f"{text}\n{line.upper() if i % 2 else line}  \n{text[:40]}"
+        out.append((i, text, f"s{i % 3}"))
+    out += [(n, out[0][1], "s0"), (n + 1, out[8][1], "s1"), (n + 2, "", None), (n + 3, None, "s2"), (n + 4, "ab ab ab " * 30, "s1"), (n + 5, "x", "s1")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def sample():
+    return random_docs()
+
+
+@pytest.fixture(scope="module")
+def table(sample):
+    return pa.table({"doc_id": pa.array([r[0] for r in sample], pa.int64()), "text": pa.array([r[1] for r in sample], pa.string()), "source": pa.array([r[2] for r in sample], pa.string())})
+
+
+def edge_rows():
+    long_text = ("lorem ipsum dolor sit amet " * 40_000) + "\n" + "z" * 300_000
+    return [(None, "no id here at all", "a"), (None, None, None), (1, None, "a"), (2, "", "a"), (3, " \t\n\x0b ", "a"), (4, long_text, "b"), (5, long_text, "b"), (6, "same text of a row", "c"), (6, "same text of a row", "c"), (7, "one id, two texts", "c"), (7, "another text of the same id", "c"), (8, "퟿ é 漢字 🙂 <|im_end|>", "d")]
+
+
+QUERY_OPS = ["op2_substring_dedup", "op3_exact_dedup", "op5_line_dedup", "op7_mix_sources", "op8_secret_scan", "op10_near_dedup"]
+
+
+@pytest.mark.parametrize("name", QUERY_OPS)
+def test_against_sql_on_a_fixture(spark, tmp_path, sample, table, name):
+    docs_of(spark, sample).write.parquet(f"{tmp_path}/documents.parquet")
+    assert assert_same(queries.QUERIES[name](spark, str(tmp_path)), queries.ORACLES[name], documents=table) == len(sample)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql_on_tables(spark, sf, name):
+    assert assert_same(queries.QUERIES[name](spark, sf), queries.ORACLES[name], sf) > 0
+
+
+OPERATORS = {
+    "substrings": lambda d: substrings.dedup_substrings(d),
+    "exact": lambda d: exact.dedup_exact(d),
+    "lines": lambda d: lines.dedup_lines(d),
+    "secrets": lambda d: secret_scan.scan(d),
+    "near": lambda d: neardup.dedup_near(d),
+    "mix": lambda d: mixing.mix(d),
+    "items": lambda d: decontaminate.find_items(d, d.sparkSession.createDataFrame([(1, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem ipsum dolor"), (2, None), (None, "x"), (3, "a b")], "item_id long, text string")),
+    "language": lambda d: langid.identify(d, langid.fit(d, F.lit(True), per_lang=5, epochs=2)),
+    "quality": lambda d: quality.score(d, quality.fit(d, d.sparkSession.createDataFrame([(1, 0), (2, 1), (6, 0), (7, None), (8, 1)], "doc_id long, quality int"), F.lit(True), epochs=2)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_edges(spark, name):
+    docs = docs_of(spark, edge_rows())
+    rows = OPERATORS[name](docs).collect()
+    ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows)
+    if name in ("exact", "near"):
+        assert len(rows) <= len(edge_rows()) and {r["doc_id"] for r in rows} >= {None, 6, 8}
+    else:
+        assert ids == sorted((i is not None, i or 0) for i, _, _ in edge_rows())
+    assert all(r["d"] == "d" and r["id"] == 1 and r["row"] == "r" for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_table(spark, name):
+    assert OPERATORS[name](docs_of(spark, [])).count() == 0
+
+
+def test_edges_results(spark):
+    docs = docs_of(spark, edge_rows())
+    groups = {(r["doc_id"], r["text_sha256"]): r for r in exact.group_copies(docs).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert groups[(1, empty)]["keep_id"] == 2 and groups[(1, empty)]["group_size"] == 3 and not groups[(1, empty)]["kept"]
+    long_ = groups[(4, hashlib.sha256(edge_rows()[5][1].encode()).hexdigest())]
+    assert long_["keep_id"] == 5 and long_["group_size"] == 2
+    twice = [r for r in exact.group_copies(docs).collect() if r["doc_id"] == 6]
+    assert len(twice) == 2 and all(r["kept"] and r["group_size"] == 2 for r in twice)
+    near = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert near[(5, next(n for i, n in near if i == 5))] == 4
+    assert near[(1, 0)] == 1 and near[(2, 0)] == 2
+    words = {r["doc_id"]: r for r in substrings.dedup_substrings(docs).where("doc_id in (1, 4)").collect()}
+    # Two copies repeat every window, so all words of both go.
+    assert words[1]["n_words"] == 0 and words[4]["n_words"] == 200_001 and words[4]["n_removed"] == 200_001
+    lang = {r["doc_id"]: r for r in langid.identify(docs, langid.fit(docs, F.lit(True), per_lang=5, epochs=2)).where("doc_id in (1, 3, 8)").collect()}
+    assert lang[1]["lang_pred"] == "und" and lang[3]["lang_pred"] == "und" and lang[8]["lang_pred"] == "en" and lang[1]["rejected"]
+
+
+def test_hot_line_over_many_partitions(spark):
+    rows = [(i, f"own line number {i}\nthe one line that all hold", "a") for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r["doc_id"]: r["n_dropped"] for r in lines.dedup_lines(docs_of(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert out == {i: int(i > 0) for i in range(400)}
+
+
+def test_chat_round_trip(spark):
+    rows = [
+        (1, 0, "user", "a <|im_sep|> b \\| \\\\ <|"),
+        (1, 1, "user", "again\n"),
+        (1, 2, "assistant", "<|im_end|>\n<|im_start|>user\nx"),
+        (1, 3, "assistant", None),
+        (1, 3, "assistant", "tie"),
+        (2, None, None, "no role"),
+        (None, 0, "odd\nrole <| \\n", "é🙂"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df).select("conv_id", chat.formatted().alias("f"), chat.loss_text().alias("l"), chat.loss_spans().alias("s"))
+    got = {r["conv_id"]: r for r in out.select("*", chat.parse(F.col("f")).alias("t")).collect()}
+    assert [tuple(t) for t in got[1]["t"]] == [("user", rows[0][3]), ("user", "again\n"), ("assistant", rows[2][3]), ("assistant", ""), ("assistant", "tie")]
+    assert [tuple(t) for t in got[2]["t"]] == [("", "no role")] and [tuple(t) for t in got[None]["t"]] == [("odd\nrole <| \\n", "é🙂")]
+    assert got[1]["l"] == rows[2][3] + "tie" and got[1]["f"].count("<|im_start|>") == 2
+    masked = "".join(got[1]["f"][a:b] for a, b in got[1]["s"])
+    assert masked.replace("\\|", "|") == got[1]["l"]
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_trigram_queries():
+    by = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
+    assert by["hex"] == [] and by["access"] == [["aki", "kia"]] and ["ken", "oke", "tok"] in by["assign"] and ["_ke", "api", "i_k", "key", "pi_"] in by["assign"]
+
+
+def test_secret_positions(spark):
+    text = "é🙂 secret=token : abcdefgh AKIA" + "A" * 20 + " x" + "0f" * 13 + ' "API_KEY": "abcdef"'
+    rows = secret_scan.scan(docs_of(spark, [(1, text, "a"), (2, "password=abc", "a")])).collect()
+    found = {r["doc_id"]: [(s["kind"], text[s["start"] : s["end"]]) for s in r["secrets"]] for r in rows}
+    assert found[1] == [("access", "AKIA" + "A" * 20), ("hex", "0f" * 13), ("assign", 'API_KEY": "abcdef')] and found[2] == []
+
+
+def test_decontaminate_substitutions(spark):
+    rng = random.Random(3)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+    changed = list(item)
+    for i in (3, 8, 13, 18):
+        changed[i] = "other"
+    rows = [(1, "before " + ", ".join(item).upper() + " after", "a"), (2, " ".join(changed), "a"), (3, " ".join(item[:10]), "a"), (4, " ".join(item[2:16]), "a"), (5, " ".join(reversed(item)), "a")]
+    bench = spark.createDataFrame([(9, " ".join(item)), (9, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_items(docs_of(spark, rows), bench, block_bytes=50).collect()}
+    assert got == {1: [9], 2: [9], 3: [], 4: [9], 5: []}
+    clean = decontaminate.decontaminate(docs_of(spark, rows), bench)
+    assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5] and clean.columns.count("items") == 0
+
+
+def test_mix_deviation(spark):
+    rows = [(i, "t", f"s{i % 7 if i % 3 else 0}") for i in range(4000)]
+    out = mixing.mix(docs_of(spark, rows), {"s0": 0.5, "s1": 0.2, "s2": 0.1}, block=4, period=128).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["mix_slot"], set()).add(r["source"])
+    assert len(out) == 4000 and all(len(s) == 1 for s in slots.values())
+    end = min(s for s in range(max(slots) + 2) if s not in slots)
+    assert all(r["in_mix"] == (r["mix_slot"] < end) for r in out)
+    order = [next(iter(slots[s])) for s in range(end)]
+    quota = {s: sum(1 for x in order[:128] if x == s) / 128 for s in set(order)}
+    count = dict.fromkeys(quota, 0)
+    for n, s in enumerate(order, 1):
+        count[s] += 1
+        assert all(abs(count[x] - n * q) < 1 for x, q in quota.items())
+    assert quota["s0"] > 0.5
+
+
+def shingles(text, k):
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    ws = [w for w in low.replace("\t", " ").replace("\n", " ").split(" ") if w]
+    return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
+
+
+def brute_components(rows, k, percent):
+    sets = {i: shingles(t, k) for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b]:
+                n = len(sets[a] & sets[b])
+                if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                    x, y = top(a), top(b)
+                    comp[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_near_groups_brute_force(spark, k, percent):
+    """A group whose members differ by chance: links to many, to few and to none."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        ws = list(base)
+        for _ in range(rng.randint(0, 14)):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(200 + i, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 12)))) for i in range(80)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs_of(spark, [(i, t, "a") for i, t in rows]), k, percent).collect()}
+    assert got == brute_components(rows, k, percent)
+
+
+def test_near_blocks(spark, monkeypatch):
+    """Buckets larger than a block give the same components."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    test_near_groups_brute_force(spark, 3, 85)
+
+
+def test_exact_small_blocks(spark, sample):
+    rows = sample + [(100 + i, ("ab" * 50) + str(i % 3) + ("cd" * 37), "s0") for i in range(9)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.group_copies(docs_of(spark, rows), head=4, block=7).collect()}
+    by = {}
+    for i, t, _ in rows:
+        by.setdefault(t or "", []).append(i)
+    assert got == {i: (max(by[t or ""]), len(by[t or ""])) for i, t, _ in rows}
+
+
+def test_language_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    out = queries.op6_language_id(spark, sf)
+    lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    right, n, worst = out.where("held_out").join(lang, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*"), F.min("score")).first()
+    assert n > 200 and right >= 0.99 and 0 <= worst <= 1
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    out = queries.op9_quality(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    right, n = out.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("quality") == F.col("predicted")).cast("double")), F.count("*")).first()
+    assert n > 50 and right >= 0.95
+    columns, want = duck("SELECT count(*) FROM documents", sf)
+    assert out.count() == want[0][0]
