@@ -92,8 +92,12 @@ def _recurring(length: int, block: int, bits):
                     p = _bit(f["block"], which)
                     ok &= (held[p >> U(6)] >> (p & U(63)) & U(1)).astype(bool)
                 row, start, size, first = (f[c][ok] for c in ("row", "start", "size", "first"))
-                ends = np.cumsum(size)
-                each = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(first, size)
+                # Window hashes go with the first of equal factors in the slice; the others' lists are empty.
+                shown = np.zeros(len(size), np.int64)
+                shown[np.unique(mix(f["block"][ok], 7) ^ f["content"][ok], return_index=True)[1]] = 1
+                shown *= size
+                ends = np.cumsum(shown)
+                each = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - shown, shown) + np.repeat(first, shown)
                 windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), signed(gram(f["second"], each, length, 1)))
                 take = pa.array(row)
                 yield pa.record_batch([signed(f["block"][ok]), signed(f["content"][ok]), batch["d"].take(take), batch["f"].take(take), pa.array(start, pa.int32()), pa.array(size, pa.int32()), windows], names=["a", "c", "d", "f", "s", "n", "windows"])
@@ -123,12 +127,13 @@ def duplicate_spans(docs: DataFrame, length: int = 35, block: int = 16) -> DataF
     contents = table(found.groupBy("a", "c", "n").agg(F.count("*").alias("m")), "contents")
     several = contents.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
     split = contents.join(several, "a").select("a", "c", "m")
-    shown = table(found.select("a", "c", "windows").join(split, ["a", "c"]).dropDuplicates(["a", "c"]), "representatives")
+    shown = table(found.where(F.size("windows") > 0).select("a", "c", "windows").join(split, ["a", "c"]).dropDuplicates(["a", "c"]), "representatives")
     single = shown.select("a", "c", "m", F.posexplode("windows").alias("t", "w"))
     again = single.groupBy("a", "w").agg(F.sum("m").alias("m")).where("m > 1").select("a", "w")
     marks = single.where("m = 1").join(again, ["a", "w"]).groupBy("a", "c").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
     whole = contents.where("m > 1").select("a", "c", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    masks = whole.unionByName(marks)
+    # Written, so that both sides of the join have exchanges and a frequent content's rows can be split.
+    masks = table(whole.unionByName(marks), "masks")
     hit = found.select("a", "c", "d", "f", "s").join(masks, ["a", "c"])
     return hit.groupBy("d", "f").agg(F.collect_list(F.struct("s", "mask")).alias("spans"))
 
