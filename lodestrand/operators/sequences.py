@@ -150,3 +150,70 @@ def self_similarity(rows: DataFrame, by: list[str], at: str, vector: str, reach:
 def uniform_frames(total: Column, n: int) -> Column:
     """n frames at the middles of equal parts."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(total - 1, F.floor((i + 0.5) * total / n)))
+
+
+def semantic_chunks(segments: DataFrame, by: str, target: int = 200, similarity: float = 0.6, longest: float = 120.0, shortest: float = 30.0) -> DataFrame:
+    """by, chunk, text, start, end, words, segments: cut where the chunk is long or the next segment is about something else.
+
+    Input rows have by, start, end, text, embedding.  A chunk ends before a segment that would bring it over 1.5 times
+    the target words or the longest time, or whose product with the chunk's mean embedding is under the similarity;
+    but not before it has half the target words or the shortest time.  One group is one file's segments.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out, held = [], []
+
+        def close() -> None:
+            if held:
+                out.append((rows[by].iloc[0], len(out), " ".join(h.text for h in held), held[0].start, held[-1].end, sum(len(h.text.split()) for h in held), len(held)))
+
+        for r in rows.sort_values(["start", "end"]).itertuples():
+            if held:
+                words = sum(len(h.text.split()) for h in held)
+                span = held[-1].end - held[0].start
+                mean = np.mean([np.asarray(h.embedding, float) for h in held], 0)
+                over = words + len(r.text.split()) > 1.5 * target or r.end - held[0].start > longest or float(mean @ np.asarray(r.embedding, float)) < similarity
+                if over and (words >= target / 2 or span >= shortest):
+                    close()
+                    held = []
+            held.append(r)
+        close()
+        return pd.DataFrame(out, columns=[by, "chunk", "text", "start", "end", "words", "segments"])
+
+    kind = dict(segments.dtypes)[by]
+    return segments.select(by, "start", "end", "text", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, chunk long, text string, start double, end double, words long, segments long")
+
+
+def sliding_scores(frames: DataFrame, by: str, frame: str, value: str, score, length: int = 100, stride: int = 50, context: int = 25) -> DataFrame:
+    """by, frame, p: a scorer over overlapping windows of a series, its edges padded by repetition.
+
+    ``score`` takes a window's values and gives one number for each; the middle ``stride`` of them count.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(frame)
+        v = rows[value].to_numpy(float)
+        n = len(v)
+        after = context + (-n) % stride + (length - stride - context)
+        padded = np.concatenate([np.repeat(v[:1], context), v, np.repeat(v[-1:], after)])
+        p = np.concatenate([np.asarray(score(padded[i : i + length]))[context : context + stride] for i in range(0, n, stride)])[:n]
+        return pd.DataFrame({by: rows[by].to_numpy(), frame: rows[frame].to_numpy(), "p": p})
+
+    kinds = dict(frames.dtypes)
+    return frames.select(by, frame, value).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {frame} {kinds[frame]}, p double")
+
+
+def transcript_text(lines: DataFrame, by: list[str], srt: bool = False) -> DataFrame:
+    """by, transcript: segments as ``[start - end] text`` lines, or as numbered SRT blocks."""
+    from lodestrand.functions.strings import hours_minutes_seconds, srt_time
+
+    rows = lines.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "end", "text"))).alias("_l"))
+    if srt:
+        block = lambda s, i: F.concat_ws("\n", (i + 1).cast("string"), F.concat(srt_time(s["start"]), F.lit(" --> "), srt_time(s["end"])), s["text"])
+        return rows.select(*by, F.array_join(F.transform("_l", block), "\n\n").alias("transcript"))
+    line = lambda s: F.concat(F.lit("["), hours_minutes_seconds(s["start"]), F.lit(" - "), hours_minutes_seconds(s["end"]), F.lit("] "), s["text"])
+    return rows.select(*by, F.array_join(F.transform("_l", line), "\n").alias("transcript"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+#: In the form that readers and createDataFrame take.
+SCHEMAS: dict[str, str] = {
     "questions": "video_id string, question_id string, question string, options array<string>, answer string, level string, group_type string, second_head string, third_head string",
     "words": "video_id string, ord long, text string, start_time double, end_time double",
     "segments": "video_id string, source string, seg_no int, text string, start double, end double",
@@ -21,5 +20,3 @@ _DDL = {
     "hashes": "video_id string, shot_number int, position int, h bigint",
     "ocr_results": "file_path string, ocr_result struct<text:string,caption:string>, status string, batch_id int, model_used string, error string",
 }
-
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
