@@ -36,14 +36,15 @@ def term_counts(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """query_id, key, score, matched, terms: BM25 over the query's distinct terms.
 
-    The query's terms (a stated set) are joined before anything is counted by document, so only their postings are
-    shuffled; the corpus's size and mean length are one aggregate.
+    The queries are a stated set: their terms become part of the plan, so a document's other terms never leave its
+    array, and only the postings of those terms are shuffled; the corpus's size and mean length are one aggregate.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), **how))).alias("term"))
-    want = terms.select("term").distinct()
+    want = sorted({r["term"] for r in terms.select("term").collect()})
     toks = docs.select(key, tokens(F.col(text), **how).alias("_t"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    posts = toks.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(F.broadcast(want), "term").groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    hits = toks.select(key, F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(want) if want else F.lit(False)).alias("_h"))
+    posts = hits.select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     asked = terms.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -90,10 +91,14 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     phrase = base.join(whole, ["query_id", key], "left_semi").select("query_id", key, (F.col("score") * BOOSTS["phrase"]).alias("s"))
     wild = whole.select("query_id", key, F.lit(BOOSTS["wildcard"]).alias("s"))
     words = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    vocab = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
+    # Only what begins like a wanted term can be near one.
+    heads = sorted({r["term"][:1] for r in words.select("term").collect()})
+    starts = F.filter(F.array_distinct(tokens(F.col(text))), lambda t: F.substring(t, 1, 1).isin(heads) if heads else F.lit(False))
+    vocab = docs.select(F.explode(starts).alias("term")).distinct()
     wide = words.withColumnRenamed("term", "wanted").join(near_terms(vocab, words), "wanted")
     # Each near term counts as the wanted one, less for its edits.
-    fuzzy = term_counts(docs, key, text).join(F.broadcast(wide.select("query_id", "wanted", "term", "edits")), "term")
+    there = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    fuzzy = there.join(wide.select("query_id", "wanted", "term", "edits"), "term")
     fuzzy = fuzzy.groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s")).groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
     every = exact.unionByName(phrase).unionByName(wild).unionByName(fuzzy)
     return every.groupBy("query_id", key).agg(F.sum("s").alias("score")).where(F.col("score") >= least)
