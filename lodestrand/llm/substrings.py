@@ -125,11 +125,11 @@ def duplicate_spans(docs: DataFrame, length: int = 35, block: int = 16) -> DataF
     schema = "a long, c long, d long, f long, s int, n int, windows array<long>"
     found = table(texts.mapInArrow(_recurring(length, block, bits), schema), "factors")
     contents = table(found.groupBy("a", "c", "n").agg(F.count("*").alias("m")), "contents")
-    several = contents.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a")
+    several = table(contents.groupBy("a").agg(F.count("*").alias("k")).where("k > 1").select("a"), "several")
     split = contents.join(several, "a").select("a", "c", "m")
     shown = table(found.where(F.size("windows") > 0).select("a", "c", "windows").join(split, ["a", "c"]).dropDuplicates(["a", "c"]), "representatives")
     single = shown.select("a", "c", "m", F.posexplode("windows").alias("t", "w"))
-    again = single.groupBy("a", "w").agg(F.sum("m").alias("m")).where("m > 1").select("a", "w")
+    again = table(single.groupBy("a", "w").agg(F.sum("m").alias("m")).where("m > 1").select("a", "w"), "again")
     marks = single.where("m = 1").join(again, ["a", "w"]).groupBy("a", "c").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"))
     whole = contents.where("m > 1").select("a", "c", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     # Written, so that both sides of the join have exchanges and a frequent content's rows can be split.
