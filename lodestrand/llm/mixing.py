@@ -79,6 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     before = Window.partitionBy("src").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", "g", "before")
     counts = groups.groupBy("src").agg(F.sum("n").alias("n"))
+    # A period has room for every source: 1024 slots for up to 256 sources, four slots for each beyond.
+    period = max(period, 1 << max(4 * counts.count() - 1, 0).bit_length())
     plan = table(quotas(counts, weights, temperature, period), "mix_quotas")
     slots = table(schedule(plan, period), "mix_schedule")
     ends = plan.withColumn("blocks", F.ceil(F.col("n") / F.lit(block))).join(slots, (plan["i"] == slots["i"]) & (F.col("blocks") % F.col("q") == F.col("k")))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrand.shipping import ship
+
 #: Stands for a null doc_id inside the operators, so that joins need no null-safe comparison.
 NO_ID = -(2**63)
 
@@ -22,15 +24,23 @@ def area(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; call it when all results have been read or written."""
+    root = f"{area(spark)}/lodestrand/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back; every consumer sees the same rows."""
-    spark = df.sparkSession
-    path = f"{area(spark)}/lodestrand/{uuid.uuid4().hex}/{name}"
+    spark = ship(df.sparkSession)
+    path = f"{area(spark)}/lodestrand/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose name (any case) an operator is about to add."""
+    ship(df.sparkSession)
     low = {n.lower() for n in names}
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
