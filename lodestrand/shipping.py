@@ -16,9 +16,11 @@ def ship(spark: SparkSession) -> SparkSession:
     """Add the package to the session's Python files, once for each application; returns the session.
 
     Also turns off partition-aware unions: in Spark 4.1.2 such a union under a reused exchange can give its rows
-    twice (a self-join of a result that holds a union shows it).
+    twice (a self-join of a result that holds a union shows it).  And batches sent to Python are cut by bytes, so
+    that many long texts don't meet in one.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     app = spark.sparkContext.applicationId
     if app not in _sent:
         top = Path(__file__).resolve().parent
