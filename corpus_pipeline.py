@@ -17,12 +17,14 @@ from lodestrand.shipping import ship
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those that it rejects."""
+    ship(spark)
     model = langid.fit(docs, F.lit(True))
     return langid.identify(docs, model).where("not rejected").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps a repeated line in the first document that has it; n_chars follows the text."""
+    ship(spark)
     out = lines.dedup_lines(docs).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
