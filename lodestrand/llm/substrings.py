@@ -135,7 +135,8 @@ def duplicate_spans(docs: DataFrame, length: int = 35, block: int = 16) -> DataF
     # Written, so that both sides of the join have exchanges and a frequent content's rows can be split.
     masks = table(whole.unionByName(marks), "masks")
     hit = found.select("a", "c", "d", "f", "s").join(masks, ["a", "c"])
-    return hit.groupBy("d", "f").agg(F.collect_list(F.struct("s", "mask")).alias("spans"))
+    # A set: rows that repeat a doc_id and a text mark the same spans, which are merged before the shuffle.
+    return hit.groupBy("d", "f").agg(F.collect_set(F.struct("s", "mask")).alias("spans"))
 
 
 def _remove(text_at: int, width: int, length: int):
