@@ -49,3 +49,15 @@ def mean_vector(vectors: Column | str, size: int) -> Column:
     """Element-wise mean of an array of vectors."""
     v = as_column(vectors)
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: total(F.transform(v, lambda x: F.get(x, i).cast("double"))) / F.size(v))
+
+
+def token_windows(tokens: Column | str, length: int = 64, stride: int = 48) -> Column:
+    """Overlapping windows of an array of tokens, the last one ending with it; a short array is one window."""
+    t = as_column(tokens)
+    last = F.greatest(F.ceil((F.size(t) - length) / stride), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(t, i * stride + 1, length))
+
+
+def mean_unit_vector(vectors: Column | str, size: int) -> Column:
+    """The mean of window vectors, brought to unit length again."""
+    return l2_normalise(mean_vector(vectors, size), floor=1e-8, added=0.0)
