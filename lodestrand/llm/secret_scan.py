@@ -162,9 +162,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every rule's matches of the least length replaced by ``mask``."""
-    text = F.col("text")
-    for r in rules:
-        body = re.sub(r"\+\)$", f"{{{r.least},}})", r.pattern) if r.group else r.pattern
-        text = F.regexp_replace(text, F.lit(body), F.lit(mask))
-    return docs.withColumn("text", text)
+    """``docs`` with each run of overlapping spans replaced by ``mask``; a null text stays null."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
+        inside = s["start"] < acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask))).alias("out"))
+
+    text = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))))
+    return scan(docs, rules).withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*without(docs, "secrets").columns)

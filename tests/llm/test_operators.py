@@ -162,6 +162,8 @@ def test_secret_positions(spark):
     text = "é🙂 secret=token : abcdefgh AKIA" + "A" * 20 + " x" + "0f" * 13 + ' "API_KEY": "abcdef"'
     rows = secret_scan.scan(docs_of(spark, [(1, text, "a"), (2, "password=abc", "a")])).collect()
     found = {r["doc_id"]: [(s["kind"], text[s["start"] : s["end"]]) for s in r["secrets"]] for r in rows}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(spark, [(1, text, "a"), (2, None, "a")])).collect()}
+    assert clean == {1: "é🙂 secret=token : abcdefgh [secret] x[secret] \"[secret]\"", 2: None}
     assert found[1] == [("access", "AKIA" + "A" * 20), ("hex", "0f" * 13), ("assign", 'API_KEY": "abcdef')] and found[2] == []
 
 
