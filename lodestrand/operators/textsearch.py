@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.sources.sinks import staged
+
 #: The default English stop words of common analyzers, and folded letters.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 ACCENTED = "àâäáãåçèéêëìíîïñòóôöõùúûüÿ"
@@ -42,9 +44,10 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), **how))).alias("term"))
     want = sorted({r["term"] for r in terms.select("term").collect()})
     toks = docs.select(key, tokens(F.col(text), **how).alias("_t"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    hits = toks.select(key, F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(want) if want else F.lit(False)).alias("_h"))
-    posts = hits.select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    # The texts are read once: what is kept of a document is its length and its asked terms.
+    rows = staged(toks.select(key, F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(want) if want else F.lit(False)).alias("_h")))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = rows.select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     asked = terms.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -94,10 +97,10 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     # Only what begins like a wanted term can be near one.
     heads = sorted({r["term"][:1] for r in words.select("term").collect()})
     starts = F.filter(F.array_distinct(tokens(F.col(text))), lambda t: F.substring(t, 1, 1).isin(heads) if heads else F.lit(False))
-    vocab = docs.select(F.explode(starts).alias("term")).distinct()
+    there = staged(docs.select(key, F.explode(starts).alias("term")))
+    vocab = there.select("term").distinct()
     wide = words.withColumnRenamed("term", "wanted").join(near_terms(vocab, words), "wanted")
     # Each near term counts as the wanted one, less for its edits.
-    there = docs.select(key, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     fuzzy = there.join(wide.select("query_id", "wanted", "term", "edits"), "term")
     fuzzy = fuzzy.groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s")).groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
     every = exact.unionByName(phrase).unionByName(wild).unionByName(fuzzy)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.plans.registry import query
+from lodestrand.sources.sinks import shared_folder
 from lodestrand.streaming import flows
 
 
 def _drained(t, df: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream that is run until nothing is left, kept in a shared table."""
-    base = f"{_area(t)}/stream_{uuid.uuid4().hex}"
+    base = f"{shared_folder(t.spark)}/stream_{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -22,15 +23,9 @@ def _drained(t, df: DataFrame, mode: str) -> DataFrame:
     return t.spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def _area(t) -> str:
-    import tempfile
-
-    return (t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
-
-
 def _events(t) -> DataFrame:
     """The events as a folder of files that arrive one after the other."""
-    folder = f"{_area(t)}/arrivals_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(t.spark)}/arrivals_{uuid.uuid4().hex}"
     for low, high in ((0, 8), (8, 15), (15, 22), (22, 32)):
         t.events.where((F.dayofmonth("ts") >= low) & (F.dayofmonth("ts") < high)).coalesce(1).write.mode("append").parquet(folder)
     return flows.read_stream(t.spark, folder, t.events.schema)
@@ -53,7 +48,7 @@ def stream_sessions(t) -> DataFrame:
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_ingest(t) -> DataFrame:
     """Arrivals appended batch by batch with one row a key, then the latest over all batches."""
-    base = f"{_area(t)}/ingest_{uuid.uuid4().hex}"
+    base = f"{shared_folder(t.spark)}/ingest_{uuid.uuid4().hex}"
     flows.ingest(_events(t).select("user_id", "event_type", "event_id"), f"{base}/out", f"{base}/log", ["user_id", "event_type"], "event_id")
     got = t.spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
     return flows.latest_by_key(got, ["user_id", "event_type"], "event_id")

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, else the context's, else a local one (as in tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, for results that several later steps read."""
+    path = f"{shared_folder(df.sparkSession)}/staged_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_artifact(df: DataFrame, path: str, key: str = "video_id", fmt: str = "parquet") -> None:
     """Partitions of the keys that are there are replaced, others stay; a key's rows are in one file."""
     spark = df.sparkSession
