@@ -64,7 +64,7 @@ def rolled(t, top: int = 20) -> DataFrame:
 
 def events(t) -> DataFrame:
     """event_id, user, kind, value, at: seconds since 2024."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)")
     return t.events.select("event_id", F.col("user_id").alias("user"), F.col("event_type").alias("kind"), "value", (micros / 1e6).alias("at"))
 
 

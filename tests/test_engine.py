@@ -274,6 +274,16 @@ def test_semantic_chunks(spark):
     assert [r["p"] for r in sequences.sliding_scores(s, "v", "i", "x", lambda w: w).orderBy("i").collect()] == [float(i) for i in range(130)]
 
 
+def test_transcripts_and_probes(spark):
+    seg = spark.createDataFrame([("v", 61.5, 62.0, "b"), ("v", 0.0, 1.25, "a")], "v string, start double, end double, text string")
+    assert sequences.transcript_text(seg, ["v"]).first()["transcript"] == "[00:00:00 - 00:00:01] a\n[00:01:01 - 00:01:02] b"
+    assert sequences.transcript_text(seg, ["v"], srt=True).first()["transcript"].startswith("1\n00:00:00,000 --> 00:00:01,250\na\n\n2\n00:01:01,500")
+    probes = spark.createDataFrame([(None, None, 2.0), (30.0, 7, 1.0)], "fps double, frames int, duration double")
+    assert [(r["fps"], r["frames"]) for r in readers.with_probe_defaults(probes).collect()] == [(25.0, 50), (30.0, 7)]
+    sizes = value(spark, F.array(strings.shrink(F.lit(1000), F.lit(500), 448), strings.grow(F.lit(100), F.lit(200))))
+    assert [tuple(s) for s in sizes] == [(448, 224), (512, 1024)]
+
+
 def test_seams(spark):
     df = spark.createDataFrame([("1", "Hello there"), ("2", "hello THERE"), ("3", "bad")], "video_id string, text string")
     v = df.select("video_id", seams.text_embedder()("text").alias("v")).collect()
