@@ -34,7 +34,7 @@ def _events(t) -> DataFrame:
 @query("""SELECT event_type, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
 def stream_windows(t) -> DataFrame:
     out = _drained(t, flows.windowed_counts(_events(t), "ts", ["event_type"], "1 day"), "complete")
-    return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", F.round("total", 6).alias("total"))
+    return out.select("event_type", F.date_format(flows.wall_clock("window_start"), "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", F.round("total", 6).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS f FROM events),
@@ -42,7 +42,7 @@ s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRE
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(t) -> DataFrame:
     out = _drained(t, flows.sessions(_events(t), "ts", ["user_id"], "4 hours"), "complete")
-    return out.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n")
+    return out.select("user_id", F.date_format(flows.wall_clock("session_start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "n")
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")

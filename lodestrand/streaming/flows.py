@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,9 +16,21 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
+def instant(events: DataFrame, ts: str) -> Column:
+    """The column as an instant; a time without zone is read as UTC, whatever the session's zone."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`))")
+    return F.col(ts).cast("timestamp")
+
+
+def wall_clock(ts: str) -> Column:
+    """An instant as a time without zone, in UTC."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(`{ts}`), TIMESTAMP_NTZ '1970-01-01 00:00:00')")
+
+
 def windowed_counts(events: DataFrame, ts: str, by: list[str], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """by, window_start, n, total: tumbling or sliding windows; rows later than ``late`` are dropped in a stream."""
-    stamped = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    stamped = events.withColumn("_ts", instant(events, ts))
     if events.isStreaming:
         stamped = stamped.withWatermark("_ts", late)
     w = F.window("_ts", size, slide) if slide else F.window("_ts", size)
@@ -27,7 +39,7 @@ def windowed_counts(events: DataFrame, ts: str, by: list[str], size: str, slide:
 
 def sessions(events: DataFrame, ts: str, by: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
     """by, session_start, session_end, n: a session ends when nothing comes for the gap."""
-    stamped = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    stamped = events.withColumn("_ts", instant(events, ts))
     if events.isStreaming:
         stamped = stamped.withWatermark("_ts", late)
     s = F.session_window("_ts", gap)

@@ -12,6 +12,7 @@ from lodestrand.functions import vectors
 from lodestrand.operators import state
 from lodestrand.plans import evaluate, registry
 from lodestrand.schemas import SCHEMAS
+from tests.oracle import assert_same
 
 #: Queries with a stated set of vectors, phrases, one row of totals or one constant key on one side of a nested loop.
 NESTED = {"answer_questions", "best_match", "phrase_search", "relevance_search", "bm25_topk"}
@@ -74,3 +75,13 @@ def test_evaluate(spark, tmp_path, capsys):
 def test_token_windows(spark):
     w = spark.range(1).select(vectors.token_windows(F.transform(F.sequence(F.lit(1), F.lit(130)), lambda i: i)).alias("w"), vectors.mean_unit_vector(F.array(F.array(F.lit(3.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(3.0))), 2).alias("m")).first()
     assert [(x[0], x[-1]) for x in w["w"]] == [(1, 64), (49, 112), (97, 130)] and w["m"] == pytest.approx([0.5**0.5, 0.5**0.5])
+
+
+@pytest.mark.parametrize("name", ["stream_windows", "gap_segments"])
+def test_any_session_zone(spark, sf, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert assert_same(registry.QUERIES[name](spark, sf), registry.ORACLES[name], sf) > 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
