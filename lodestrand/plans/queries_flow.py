@@ -42,14 +42,19 @@ def config_sweep(t) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _video(key):
+    """Deals conversations out over the videos of the questions."""
+    return F.lpad(F.pmod(key, F.lit(D.QUERY_VECTORS)).cast("string"), 3, "0").alias("video_id")
+
+
 @query()
 def answer_questions(t) -> DataFrame:
     """Windows, speech, digest, prompt, a stand-in's reply and the letter read from it, for each query."""
     shots = retrieve.retrieve(_hits(t), n_windows=3)
     spans = retrieve.windows(shots, _keyframes(t)).withColumn("speech", F.concat(F.lit("said at "), F.col("centre_time").cast("string"))).withColumn("screen", F.lit(""))
-    questions = D.query_vectors(t).select("query_id", F.lit("001").alias("video_id"), F.concat(F.lit("Which? "), F.col("query_id").cast("string")).alias("question"), F.array(F.lit("A. x"), F.lit("B. y"), F.lit("C. z")).alias("options"))
-    lines = t.conversations.select(F.lit("001").alias("video_id"), "conv_id", "turn", F.substring("text", 1, 40).alias("line"))
-    transcript = sequences.digest(lines.where("conv_id < 20"), ["video_id"], ["conv_id", "turn"], "line")
+    questions = D.query_vectors(t).select("query_id", _video(F.col("query_id")), F.concat(F.lit("Which? "), F.col("query_id").cast("string")).alias("question"), F.array(F.lit("A. x"), F.lit("B. y"), F.lit("C. z")).alias("options"))
+    lines = t.conversations.select(_video(F.coalesce("conv_id", F.lit(0))), "conv_id", "turn", F.col("text").alias("line"))
+    transcript = sequences.digest(lines, ["video_id"], ["conv_id", "turn"], "line")
     return retrieve.answer(questions, spans, transcript, seams.stub_answer).select("query_id", F.length("prompt").alias("prompt_chars"), "raw", "pred", "unparsed")
 
 

@@ -349,3 +349,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_answers_read_whole_conversations(spark, sf, tmp_path):
+    """Every conversation reaches the digest of a question, whole."""
+    from lodestrand.plans import registry
+
+    chars = []
+    for n, text in enumerate(("a" * 10, "b" * 70)):
+        (tmp_path / str(n)).mkdir()
+        (tmp_path / str(n) / "embeddings.parquet").symlink_to(f"{sf}/embeddings.parquet")
+        spark.createDataFrame([(0, 0, "user", "c"), (25, 0, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{n}/conversations.parquet")
+        chars.append({r["query_id"]: r["prompt_chars"] for r in registry.QUERIES["answer_questions"](spark, f"{tmp_path}/{n}").collect()})
+    assert {q: chars[1][q] - chars[0][q] for q in chars[0]} == {q: 60 * (q == 5) for q in range(20)}
