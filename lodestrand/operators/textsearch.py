@@ -108,10 +108,33 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
 
 
 def highlight(text: Column, terms: list[str], fragments: int = 3, size: int = 150) -> Column:
-    """Up to three fragments around the first terms, each marked; none without a term."""
+    """Up to three fragments of ``size`` characters around the first terms, each marked; none without a term.
+
+    Terms are looked for in the whole text and fragments laid around them, so that no cut goes through a term or makes
+    one of a longer word.  A fragment takes all terms that fit; a term longer than ``size`` is a fragment of its own.
+    """
     import re
 
     rx = "(?iu)\\b(" + "|".join(re.escape(t) for t in terms) + ")\\b"
-    cut = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
-    hit = F.slice(F.filter(cut, lambda x: x.rlike(rx)), 1, fragments)
-    return F.transform(hit, lambda x: F.regexp_replace(x, rx, "<mark>$1</mark>"))
+    whole = F.coalesce(text, F.lit(""))
+    hits, gaps = F.regexp_extract_all(whole, F.lit(rx), F.lit(0)), F.split(whole, rx, -1)
+    state = lambda done, held, used: F.struct(done.alias("done"), held.alias("held"), used.cast("int").alias("used"))
+
+    def closed(acc: Column, gap: Column) -> Column:
+        full = F.concat(acc["held"], F.substring(gap, F.lit(1), F.greatest(F.lit(0), size - acc["used"])))
+        return F.when(acc["used"] > 0, F.concat(acc["done"], F.array(full))).otherwise(acc["done"])
+
+    def step(acc: Column, x: Column) -> Column:
+        gap, n = F.length(x["gap"]), F.length(x["hit"])
+        mark = F.concat(F.lit("<mark>"), x["hit"], F.lit("</mark>"))
+        tail = F.when(acc["used"] > 0, F.greatest(F.lit(0), size - acc["used"])).otherwise(0)
+        lead = F.greatest(F.lit(0), F.least(gap - tail, ((size - n) / 2).cast("int")))
+        more = state(acc["done"], F.concat(acc["held"], x["gap"], mark), acc["used"] + gap + n)
+        new = state(closed(acc, x["gap"]), F.concat(F.substring(x["gap"], gap - lead + 1, lead), mark), lead + n)
+        fits = (acc["used"] > 0) & (acc["used"] + gap + n <= size)
+        return F.when(F.size(acc["done"]) >= fragments, acc).when(fits, more).otherwise(new)
+
+    none = F.array().cast("array<string>")
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+    found = F.aggregate(pairs, state(none, F.lit(""), F.lit(0)), step, lambda acc: F.slice(closed(acc, F.element_at(gaps, -1)), 1, fragments))
+    return F.when(whole.rlike(rx), found).otherwise(none)

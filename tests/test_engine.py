@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import uuid
 import zipfile
 
@@ -351,6 +352,24 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_highlight_at_every_offset(spark):
+    """A term is found and marked whole wherever it stands; a part of a longer word is none."""
+    terms = ["license", "password", "token"]
+    rows = [(i, "x" * (i - 1) + " PassWord " + "y" * 200) for i in range(1, 320)]
+    rows += [(1000 + i, "x" * i + " tokens " + "y" * 200) for i in range(320)]
+    rows += [(2000, "token " * 200), (2001, None), (2002, "token" + " z" * 300 + " password," + " z" * 300 + " License"), (2003, "z " * 60 + "tokens token")]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = {r["i"]: r["h"] for r in df.select("i", textsearch.highlight(F.col("text"), terms).alias("h")).collect()}
+    plain = {i: [f.replace("<mark>", "").replace("</mark>", "") for f in h] for i, h in got.items()}
+    text = dict(rows)
+    assert all(len(f) <= 150 and f in text[i] for i, h in plain.items() for f in h)
+    assert all(len(got[i]) == 1 and got[i][0].count("<mark>PassWord</mark>") == 1 for i in range(1, 320))
+    assert not any(got[1000 + i] for i in range(320)) and got[2001] == []
+    assert len(got[2000]) == 3 and "".join(plain[2000]) == ("token " * 200)[: len("".join(plain[2000]))] and all(h.count("<mark>") == 25 for h in got[2000])
+    assert [re.findall("<mark>(.*?)</mark>", f) for f in got[2002]] == [["token"], ["password"], ["License"]]
+    assert [re.findall("<mark>(.*?)</mark>", f) for f in got[2003]] == [["token"]]
+
+
 def test_answers_read_whole_conversations(spark, sf, tmp_path):
     """Every conversation reaches the digest of a question, whole."""
     from lodestrand.plans import registry
