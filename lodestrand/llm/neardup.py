@@ -18,7 +18,8 @@ So all pairs that share a band are judged, except those whose two classes are co
 
 Defined cases: fewer words than a shingle make one shingle of all words; a text without words (or null) has an
 empty set and is linked with nothing; rows that repeat a doc_id are judged each by its text; a null doc_id
-counts as the smallest; text of any length is read whole; other columns are carried along by ``dedup_near``.
+counts as the smallest; text of any length is read whole; other columns are carried along by ``dedup_near``, which
+keeps one row of each component, whatever ids repeat or are null, and every row with an empty set.
 """
 
 from __future__ import annotations
@@ -222,7 +223,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """For each row: d, f (hash of the text), n_shingles, component_id (the least doc_id that links lead to)."""
+    """For each row: d, f (hash of the text), n_shingles, component_id (the least doc_id that links lead to), component_f (of its text)."""
     texts = _keyed(docs)
     sketches = table(texts.mapInArrow(_sketch(k), "d long, f long, n long, s1 long, s2 long, regs binary"), "sketches")
     classes = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "f")).alias("r"), F.max("regs").alias("regs"))
@@ -251,10 +252,11 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = table(placed.join(sets, "id").groupBy("band", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct(), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
-    top = classes.join(comp("id"), "id", "left").select("n", "s1", "s2", "rd", F.coalesce("comp", "id").alias("comp"))
-    top = top.join(top.groupBy("comp").agg(F.min("rd").alias("component_id")), "comp").select("n", "s1", "s2", "component_id")
+    top = classes.join(comp("id"), "id", "left").select("n", "s1", "s2", "rd", "rf", F.coalesce("comp", "id").alias("comp"))
+    least = top.groupBy("comp").agg(F.min(F.struct("rd", "rf")).alias("r")).select("comp", F.col("r.rd").alias("component_id"), F.col("r.rf").alias("component_f"))
+    top = top.join(least, "comp").select("n", "s1", "s2", "component_id", "component_f")
     out = sketches.select("d", "f", "n", "s1", "s2").join(top, ["n", "s1", "s2"], "left")
-    return out.select("d", "f", F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"))
+    return out.select("d", "f", F.col("n").alias("n_shingles"), F.coalesce("component_id", "d").alias("component_id"), F.coalesce("component_f", "f").alias("component_f"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -264,6 +266,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def dedup_near(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its component, with all their columns."""
-    gone = near_groups(docs, k, percent).where("d <> component_id").select("d", "f").distinct()
-    return docs.join(gone, (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == gone["d"]) & (F.xxhash64(docs["text"]) == gone["f"]), "left_anti")
+    """One row of ``docs`` for each component, with all its columns: one of its least doc_id and text hash."""
+    groups = near_groups(docs, k, percent)
+    least = (F.col("d") == F.col("component_id")) & (F.col("f") == F.col("component_f"))
+    # Each (d, f) that goes, and those kept whose rows repeat, of which one stays.
+    marked = table(groups.groupBy("d", "f").agg(F.max(~least).alias("gone"), ((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("repeated")).where("gone or repeated"), "marked")
+    is_ = lambda m: (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == m["d"]) & (F.xxhash64(docs["text"]) == m["f"])
+    out = docs.join(marked, is_(marked), "left_anti")
+    again = marked.where("not gone").select("d", "f")
+    if again.isEmpty():
+        return out
+    rows = docs.join(again, is_(again))
+    one = rows.groupBy(again["d"], again["f"]).agg(F.first(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias("row"))
+    return out.unionByName(one.select("row.*"))

@@ -256,6 +256,22 @@ def test_near_short_pairs(spark, k, percent, sizes):
     assert got == want
 
 
+def test_near_keeps_one_row(spark):
+    """Of a group one row stays, also where ids repeat or are null; rows of other groups under such an id stay."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    near = lambda i: " ".join([*base[:-1], f"x{i}"])
+    say = lambda: " ".join(f"v{rng.randrange(10**9)}" for _ in range(30))
+    other = say()
+    rows = [(None, near(1), "a"), (None, near(2), "a"), (3, near(3), "b"), (None, other, "a"), (5, say(), "a"), (6, other.upper(), "a"), (7, near(0), "a")]
+    twice = say()
+    rows += [(8, twice, "a")] * 3 + [(9, say(), "a"), (9, say(), "a"), (10, "", "a"), (10, "", "a"), (11, None, "a")]
+    docs = docs_of(spark, rows)
+    out = neardup.dedup_near(docs)
+    ids = sorted(((r["doc_id"] or 0) for r in out.collect()))
+    assert out.columns == docs.columns and ids == [0, 0, 5, 8, 9, 9, 10, 10, 11]
+
+
 def test_near_blocks(spark, monkeypatch):
     """Buckets larger than a block give the same components."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
