@@ -4,8 +4,9 @@ A document's set holds the hashes of its distinct word shingles.  Each hash goes
 keeps its least hash as a 16-bit register of leading-zero count and mantissa bits; an empty bucket takes the
 register of the first full one in a random order of all buckets that is its own, so that in sets with few
 shingles, too, one differing shingle spoils registers here and there and not a run of neighbours.  Four
-registers, 32 apart, make a band, so that with similarity s a pair shares some of the 20 bands with probability
-of about 1 - (1 - s**4)**20 (0.85: 1 - 4e-7; 0.8: 1 - 3e-5); README has misses measured by size of set.
+registers, 32 apart, make a band, and every register is in one band, so that with similarity s a pair shares
+some of the 32 bands with probability of about 1 - (1 - s**4)**32 (0.85: 1 - 6e-11; 0.8: 1 - 5e-8); README has
+misses measured by size of set.
 
 Documents with equal sets become one class, so copies are never paired.  Then
   1. in each band's bucket every class is paired with the bucket's first class,
@@ -35,7 +36,7 @@ from lodestrand.llm.components import components
 from lodestrand.llm.scratch import NO_ID, table
 from lodestrand.llm.textkit import U, Words, gram, mix, powers, signed, slices
 
-REGISTERS, ROWS, STRIDE, BANDS = 128, 4, 32, 20
+REGISTERS, ROWS, STRIDE, BANDS = 128, 4, 32, 32
 _MANTISSA = 10
 #: For each register a fixed random order of the buckets, its own first.
 _keys = np.random.default_rng(20240611).random((REGISTERS, REGISTERS))

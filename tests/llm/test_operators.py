@@ -241,13 +241,13 @@ def test_near_groups_brute_force(spark, k, percent):
     assert got == brute_components(rows, k, percent)
 
 
-@pytest.mark.parametrize(("k", "percent", "sizes"), [(3, 85, ((6, 7), (12, 14), (17, 20), (34, 40))), (5, 80, ((4, 5), (8, 10), (16, 20), (32, 40)))])
+@pytest.mark.parametrize(("k", "percent", "sizes"), [(3, 85, ((6, 7), (7, 8), (9, 10), (12, 14), (17, 20), (34, 40))), (5, 80, ((4, 5), (7, 8), (8, 10), (11, 13), (16, 20), (32, 40)))])
 def test_near_short_pairs(spark, k, percent, sizes):
     """Isolated pairs of few shingles, at the threshold: each has but one link that finds it."""
     rng = random.Random(5)
     rows, want = [], {}
     for same, union in sizes:
-        for _ in range(300):
+        for _ in range(500):
             ws = [f"w{rng.randrange(10**12)}" for _ in range(union + k - 1)]
             a = len(rows)
             rows += [(a, " ".join(ws), "a"), (a + 1, " ".join(ws[: same + k - 1]), "a")]
