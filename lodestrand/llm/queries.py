@@ -109,26 +109,25 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "mix_block", "mix_slot", "mix_place", "in_mix")
 
 
+#: From the definition: target weights are the square roots' whole parts over their sum; windows and deadlines by slot.
 OP7_SQL = """
-WITH RECURSIVE cnt AS (SELECT source AS src, count(*) AS n FROM documents GROUP BY source),
-w AS (SELECT src, n, row_number() OVER (ORDER BY src NULLS FIRST) - 1 AS i, count(*) OVER () AS many, sqrt(n::DOUBLE) AS w FROM cnt),
-e AS (SELECT *, w / sum(w) OVER () * (1024 - many) AS exact FROM w),
-f AS (SELECT *, floor(exact) AS base FROM e),
-g AS (SELECT *, row_number() OVER (ORDER BY exact - base DESC, i) AS place, 1024 - many - sum(base) OVER () AS rest FROM f),
-q AS (SELECT src, n, i, (base + 1 + CASE WHEN place <= rest THEN 1 ELSE 0 END)::BIGINT AS q FROM g),
-l AS (SELECT list(q ORDER BY i) AS q, len(list(q)) AS m FROM q),
+WITH RECURSIVE cnt AS (SELECT source AS src, count(*) AS n, greatest(1, floor(sqrt(count(*))))::BIGINT AS a FROM documents GROUP BY source),
+goal AS (SELECT *, row_number() OVER (ORDER BY src NULLS FIRST) AS i, sum(a) OVER ()::BIGINT AS total FROM cnt),
+given AS (SELECT list(a ORDER BY i) AS a, max(total) AS total FROM goal),
 sim AS (
-  SELECT 0 AS t, q, m, list_transform(q, lambda x: 0::BIGINT) AS done, -1::BIGINT AS i, -1::BIGINT AS k FROM l
+  SELECT -1::BIGINT AS t, a, total, list_transform(a, lambda x: 0::BIGINT) AS had, 0::BIGINT AS i FROM given WHERE total > 0
   UNION ALL
-  SELECT t + 1, q, m, list_transform(range(1, m + 1), lambda j: done[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p - 1, done[p] FROM (
-    SELECT *, list_min(list_transform(range(1, m + 1), lambda j: CASE WHEN done[j] < q[j] AND done[j] * 1024 // q[j] <= t
-      THEN -((-(done[j] + 1) * 1024) // q[j] ) * 1048576 + j END)) % 1048576 AS p FROM (SELECT t, q, m, done FROM sim) WHERE t < 1024)),
-slot AS (SELECT i, k, t - 1 AS s FROM sim WHERE t > 0),
+  SELECT t + 1, a, total, list_transform(range(1, len(a) + 1), lambda j: had[j] + (j = pick)::BIGINT), pick FROM (
+    SELECT *, list_reduce(list_filter(range(1, len(a) + 1), lambda j: had[j] * total // a[j] <= t + 1),
+      lambda x, y: CASE WHEN ((had[y] + 1) * total + a[y] - 1) // a[y] < ((had[x] + 1) * total + a[x] - 1) // a[x] THEN y ELSE x END) AS pick
+    FROM sim WHERE t + 1 < total)),
+slot AS (SELECT i, had[i] - 1 AS k, t AS s FROM sim WHERE t >= 0),
 r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM documents),
-b AS (SELECT r.*, r // 64 AS b, q.i, q.q FROM r JOIN q ON source IS NOT DISTINCT FROM src),
-z AS (SELECT min(b2 // q * 1024 + s) AS z FROM (SELECT i, q, (n + 63) // 64 AS b2 FROM q) x JOIN slot ON slot.i = x.i AND slot.k = x.b2 % x.q)
-SELECT doc_id, source, b::BIGINT AS mix_block, (b // q * 1024 + s)::BIGINT AS mix_slot, (r % 64)::BIGINT AS mix_place, b // q * 1024 + s < z AS in_mix
-FROM b JOIN slot ON slot.i = b.i AND slot.k = b.b % b.q CROSS JOIN z"""
+b AS (SELECT r.*, r // 64 AS b, i, a, total FROM r JOIN goal ON source IS NOT DISTINCT FROM src),
+z AS (SELECT min((n + 63) // 64 // a * total + s) AS z FROM goal JOIN slot ON slot.i = goal.i AND slot.k = ((n + 63) // 64) % a)
+SELECT doc_id, source, b::BIGINT AS mix_block, (b // a * total + s)::BIGINT AS mix_slot, (r % 64)::BIGINT AS mix_place,
+  b // a * total + s < (SELECT z FROM z) AS in_mix
+FROM b JOIN slot ON slot.i = b.i AND slot.k = b.b % b.a"""
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -181,22 +182,61 @@ def test_decontaminate_substitutions(spark):
     assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5] and clean.columns.count("items") == 0
 
 
-def test_mix_deviation(spark):
-    rows = [(i, "t", f"s{i % 7 if i % 3 else 0}") for i in range(4000)]
-    out = mixing.mix(docs_of(spark, rows), {"s0": 0.5, "s1": 0.2, "s2": 0.1}, block=4, period=128).collect()
+def mix_order(out):
+    """The source of each slot before the first empty one."""
     slots = {}
     for r in out:
-        slots.setdefault(r["mix_slot"], set()).add(r["source"])
-    assert len(out) == 4000 and all(len(s) == 1 for s in slots.values())
-    end = min(s for s in range(max(slots) + 2) if s not in slots)
-    assert all(r["in_mix"] == (r["mix_slot"] < end) for r in out)
-    order = [next(iter(slots[s])) for s in range(end)]
-    quota = {s: sum(1 for x in order[:128] if x == s) / 128 for s in set(order)}
-    count = dict.fromkeys(quota, 0)
+        if r["mix_slot"] is not None:
+            slots.setdefault(r["mix_slot"], set()).add(r["source"])
+    assert all(len(s) == 1 for s in slots.values())
+    end = next((s for s in range(len(slots) + 1) if s not in slots), 0)
+    assert all(r["in_mix"] == (r["mix_slot"] is not None and r["mix_slot"] < end) for r in out)
+    return [next(iter(slots[s])) for s in range(end)]
+
+
+def assert_close_to(order, target):
+    """After any number of slots each source is less than one block off its target weight."""
+    count = dict.fromkeys(target, 0)
     for n, s in enumerate(order, 1):
         count[s] += 1
-        assert all(abs(count[x] - n * q) < 1 for x, q in quota.items())
-    assert quota["s0"] > 0.5
+        assert all(abs(count[x] - n * w) < 1 for x, w in target.items()), n
+
+
+MIXES = {
+    2: {"s0": 0.7, "s1": 0.3},
+    7: {"s0": 0.3, "s1": 0.2, "s2": 0.17, "s3": 0.13, "s4": 0.1, "s5": 0.07, "s6": 0.03},
+    100: {"s0": 0.5} | {f"s{i}": 1 / 198 for i in range(1, 100)},
+    256: {"s0": 128} | {f"s{i}": 1 + i % 3 for i in range(1, 256)},
+}
+
+
+@pytest.mark.parametrize("many", sorted(MIXES))
+def test_mix_deviation(spark, many):
+    """Against the weights that were asked for, over the whole mix; with 100 sources 1/198 is no short decimal."""
+    weights = MIXES[many] if many != 100 else {s: Fraction(1, 2) if s == "s0" else Fraction(1, 198) for s in MIXES[100]}
+    total = sum(Fraction(str(w)) for w in weights.values())
+    target = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    rows = [(i, s) for s, w in target.items() for i in range(int(1500 * w) + 9)]
+    docs = spark.createDataFrame([(n, s) for n, (_, s) in enumerate(rows)], "doc_id long, source string")
+    out = mixing.mix(docs, weights, block=2).collect()
+    order = mix_order(out)
+    assert len(out) == len(rows) and len(order) > 500
+    assert_close_to(order, target)
+
+
+def test_mix_weights_and_ties(spark):
+    """No weight, no slot; equal rows and null ids have places of their own; a long period is rounded."""
+    rows = [(None, f"t{i}", "a") for i in range(40)] + [(i // 3, f"t{i}", "b") for i in range(40)] + [(i, "t", "c") for i in range(5)] + [(i, "t", None) for i in range(5)]
+    docs = docs_of(spark, rows)
+    out = mixing.mix(docs, {"a": 0.5, "b": 0.25, "c": 0, "gone": 3}, block=4).collect()
+    assert [r["source"] for r in out if r["mix_slot"] is None].count("c") == 5 and sum(r["mix_slot"] is None for r in out) == 10
+    assert_close_to(mix_order(out), {"a": 2 / 3, "b": 1 / 3})
+    again = mixing.mix(docs.repartition(7, "text"), {"a": 0.5, "b": 0.25}, block=4).collect()
+    key = lambda rs: sorted((str(r["doc_id"]), r["text"], str(r["source"]), str(r["mix_slot"]), r["mix_place"]) for r in rs)
+    assert key(out) == key(again) and len({(r["source"], r["mix_block"], r["mix_place"]) for r in out}) == len(rows)
+    assert all(r["mix_slot"] is None and not r["in_mix"] for r in mixing.mix(docs, {"gone": 1}).collect())
+    order = mix_order(mixing.mix(docs, {"a": 0.123456789, "b": 0.876543211}, block=1, period=64).collect())
+    assert_close_to(order, {"a": 8 / 64, "b": 56 / 64})
 
 
 def shingles(text, k):
