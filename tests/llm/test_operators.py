@@ -335,6 +335,35 @@ def test_language_held_out(spark):
     assert n > 200 and right >= 0.99 and 0 <= worst <= 1
 
 
+FOREIGN = {
+    "russian": "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "japanese": "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+    "polish": "Litwo! Ojczyzno moja! ty jesteś jak zdrowie. Ile cię trzeba cenić, ten tylko się dowie, kto cię stracił.",
+    "finnish": "Mieleni minun tekevi, aivoni ajattelevi lähteäni laulamahan, saa'ani sanelemahan, sukuvirttä suoltamahan.",
+    "base64": "TG9yZW0gaXBzdW0gZG9sb3Igc2l0IGFtZXQsIGNvbnNlY3RldHVyIGFkaXBpc2NpbmcgZWxpdCwgc2VkIGRvIGVpdXNtb2Q=",
+    "consonants": "xkcd bvzt qwrt plmnk zzvgh tgbrf vcxz hjkl mnbq rtwp sdfgh wqxz bnmk lkjh gfds zxcv",
+}
+
+
+def test_language_rejection(spark):
+    """Texts in no learned language and junk are rejected, nearly all others aren't; softmax scores can't tell."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs, queries._bucket(4) != 2)
+    odd = spark.createDataFrame(list(FOREIGN.items()), "name string, text string")
+    got = {r["name"]: r for r in langid.identify(odd, model).collect()}
+    assert [n for n, r in got.items() if not r["rejected"]] == []
+    rate, n = langid.identify(docs.where(queries._bucket(4) == 2), model).agg(F.avg(F.col("rejected").cast("int")), F.count("*")).first()
+    assert n > 200 and rate <= 0.01
+
+
+def test_language_sample_bound(spark):
+    """Rows that repeat one null id are no way round the bound of the sample."""
+    docs = spark.createDataFrame([(None, "the same text in all rows", "en")] * 300 + [(i, f"ein anderer Satz {i}", "de") for i in range(20)], "doc_id long, text string, lang string")
+    rows = langid._sample(docs, F.lit(True), 10)
+    assert 0 < len(rows) <= 30
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op9_quality(spark, sf)
