@@ -1,28 +1,36 @@
 """Exact dedup by deterministic block naming, with DataFrame operations only.
 
-A text is cut into fixed-size blocks.  Distinct blocks are sorted and numbered; then adjacent pairs of numbers
-are sorted and numbered in turn, and so on until one number is left for each document.  Two texts of the same
-length get the same last number exactly if they are equal: names stand for contents, never for hash values.
-
-The first naming is of (length, head of the text).  A document whose name is its own there is settled, since
-no other text can equal it; only the others have their blocks named.
-
-Names come from distinct values only (aggregated before they are shuffled), so copies of one block, however
-many, never meet in one task; names are written once, so lost executors can't renumber them.
-
-Defined cases: a null text equals an empty one; a null doc_id counts as the smallest; rows that repeat doc_id
-and text are copies of each other, which stay or go together; other columns are carried along by
-``dedup_exact`` and replaced where named like an added one; an empty table gives no rows.
+Every text is cut into blocks of a fixed number of code points.  The distinct blocks are sorted and numbered; then
+adjacent pairs of numbers are sorted and numbered in turn, and so on until one number is left for each document.  A
+name stands for one content: names are given by comparing texts (or pairs of names), never by a hash value.  So two
+documents have the same last name, after equally many rounds, exactly if their texts are equal.
+
+The order in which blocks are numbered is (group, content), with a block's group a hash of it: all groups are sorted
+side by side, and a name is the group's number and the rank in it, which depend on the contents alone, not on how
+rows are dealt.  Names come from distinct values only (aggregated before they are shuffled), so copies of one block,
+however many, never meet in one task.
+
+Blocks find their names by place and SHA-256, so that texts are shuffled for the sort only.  Whether two different
+blocks share a digest is known once they are named, and such blocks find their names by their text.
+
+Defined cases: a null text equals an empty one, which is one empty block; a null doc_id counts as the smallest; rows
+that repeat doc_id and text are copies of each other, which stay or go together; other columns are carried along by
+``dedup_exact`` and replaced where named like an added one; texts of any length are cut whole; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.llm.scratch import NO_ID, table, without
 
-HEAD, BLOCK = 64, 4096
+BLOCK = 4096
+#: Groups that are sorted side by side, and the room for ranks within one.
+GROUPS, RANKS = 1 << 16, 1 << 40
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -34,69 +42,74 @@ def _id() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
 
 
-def _named(values: DataFrame, what: str) -> DataFrame:
-    """Distinct rows, each with a number of its own: its partition and its rank in the partition's order.
+def _digest(value: Column) -> Column:
+    return F.unhex(F.sha2(value, 256))
 
-    The rows are distinct by an aggregation, so they are dealt by their hash already; sorting each partition
-    in place needs no second exchange and sends no sample of texts to the driver.
-    """
-    return table(values.distinct().sortWithinPartitions(*values.columns).withColumn("name", F.monotonically_increasing_id()), what)
 
+def _names(values: DataFrame, *content: str) -> DataFrame:
+    """Distinct rows, each with a name: the hash group of ``content`` and the rank in the group's sorted order."""
+    groups = values.distinct().withColumn("g", F.pmod(F.xxhash64(*content), F.lit(GROUPS)))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(*content))
+    return groups.withColumn("name", F.col("g") * F.lit(RANKS) + rank).drop("g")
 
-def identities(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """All distinct (d, s) with their number of copies, and (d, s, head_name, body_name) of the unsettled ones.
+
+def blocks(docs: DataFrame, block: int) -> DataFrame:
+    """(d, s, need, i, h, b): block i of each text with its digest; s is the text's SHA-256, need the rounds of pairs to one name."""
+    rows = docs.select(_id().alias("d"), _text().alias("t"))
+    many = F.greatest(F.ceil(F.length("t") / F.lit(block)), F.lit(1)).cast("int")
+    # Halvings until one name is left: the bits of (blocks - 1).
+    need = F.when(many <= 1, 0).otherwise(F.length(F.bin(many.cast("long") - 1)))
+    cut = F.when(many <= 1, F.array("t")).otherwise(F.regexp_extract_all(F.col("t"), F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
+    parts = rows.select("d", _digest(F.col("t")).alias("s"), need.alias("need"), F.posexplode(cut).alias("i", "b"))
+    return parts.select("d", "s", "need", "i", F.when(F.col("need") == 0, F.col("s")).otherwise(_digest(F.col("b"))).alias("h"), "b")
+
+
+def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(d, s, copies, need, name): each distinct document with its number of rows; need and name are its identity.
 
     d is the doc_id and s the text's SHA-256, which only tells apart texts under one doc_id.
     """
-    rows = docs.select(_id().alias("d"), F.sha2(_text(), 256).alias("s"), F.length(_text()).alias("n"), F.substring(_text(), 1, head).alias("h"))
-    rows = table(rows.groupBy("d", "s", "n", "h").agg(F.count("*").alias("copies")), "heads")
-    shared = rows.groupBy("n", "h").agg(F.count("*").alias("k")).where("k > 1").select("n", "h")
-    heads = _named(shared, "head_names").withColumnRenamed("name", "head_name")
-    open_ = table(rows.join(heads, ["n", "h"]).select("d", "s", "n", "head_name"), "open")
-    short = open_.where(F.col("n") <= head).select("d", "s", "head_name", F.lit(0).cast("long").alias("body_name"))
-    # Halvings until one name is left: the bits of (blocks - 1).
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    long_ = open_.where(F.col("n") > head).withColumn("need", F.when(blocks <= 1, 0).otherwise(F.length(F.bin(blocks - 1))))
-    rounds = long_.agg(F.max("need")).first()[0]
-    if rounds is None:
-        return rows, short
-    texts = docs.select(_id().alias("d"), F.sha2(_text(), 256).alias("s"), _text().alias("text"))
-    cut = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{block}}}"), F.lit(0))).alias("i", "b")
-    parts = table(texts.join(long_.select("d", "s").hint("merge"), ["d", "s"], "left_semi").dropDuplicates(["d", "s"]).select("d", "s", cut), "blocks")
-    names = _named(parts.select("b"), "block_names")
-    level = table(parts.join(names, "b").join(long_.select("d", "s", "need"), ["d", "s"]).select("d", "s", "need", "i", "name"), "level")
-    done = level.where("need = 0").select("d", "s", F.col("name").alias("body_name"))
-    for r in range(1, rounds + 1):
+    parts = blocks(docs, block)
+    places = table(parts.groupBy("d", "s", "need", "i", "h").agg(F.count("*").alias("copies")), "places")
+    named = _names(parts.select("h", "b"), "b")
+    names = table(named.select("h", "name"), "block_names")
+    twins = table(names.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twins")
+    if twins.isEmpty():
+        level = places.join(names, "h")
+    else:
+        by_text = parts.join(twins, "h").distinct().join(named, ["h", "b"]).select("d", "s", "need", "i", "name")
+        copies = places.select("d", "s", "need", "i", "copies")
+        level = places.join(names.join(twins, "h", "left_anti"), "h").drop("h").unionByName(by_text.join(copies, ["d", "s", "need", "i"]))
+    level = table(level.select("d", "s", "copies", "need", "i", "name"), "level")
+    done = [level.where("need = 0").drop("i")]
+    for r in range(1, (level.agg(F.max("need")).first()[0] or 0) + 1):
         half = F.expr("i div 2").cast("int").alias("i")
-        pairs = level.where(F.col("need") >= r).groupBy("d", "s", "need", half).agg(F.max(F.expr("if(i % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(i % 2 = 1, name, null)")), F.lit(-1)).alias("z"))
-        pairs = table(pairs, "pairs")
-        names = _named(pairs.select("a", "z"), "pair_names")
-        level = table(pairs.join(names, ["a", "z"]).select("d", "s", "need", "i", "name"), "level")
-        done = done.unionByName(level.where(F.col("need") == r).select("d", "s", F.col("name").alias("body_name")))
-    return rows, short.unionByName(long_.join(done, ["d", "s"]).select("d", "s", "head_name", "body_name"))
+        sides = [F.max(F.expr("if(i % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(i % 2 = 1, name, null)")), F.lit(-1)).alias("z")]
+        pairs = table(level.where(F.col("need") >= r).groupBy("d", "s", "copies", "need", half).agg(*sides), "pairs")
+        # Written, so that the join has exchanges on both sides and a frequent pair's rows can be split.
+        names = table(_names(pairs.select("a", "z"), "a", "z"), "pair_names")
+        level = table(pairs.join(names, ["a", "z"]).select("d", "s", "copies", "need", "i", "name"), "level")
+        done.append(level.where(F.col("need") == r).drop("i"))
+    return reduce(DataFrame.unionByName, done)
 
 
-def group_copies(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataFrame:
+def group_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each row: doc_id, keep_id (the largest doc_id of equal texts), group_size, kept, text_sha256."""
-    rows, unsettled = identities(docs, head, block)
-    unsettled = table(unsettled.join(rows.select("d", "s", "copies"), ["d", "s"]), "identities")
-    # Written, so that the join has exchanges on both sides and a large group's rows can be split.
-    groups = table(unsettled.groupBy("head_name", "body_name").agg(F.max("d").alias("keep"), F.sum("copies").alias("size")), "groups")
-    found = unsettled.join(groups, ["head_name", "body_name"]).select("d", "s", "keep", "size")
-    out = rows.join(found, ["d", "s"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    keep = F.coalesce("keep", "d")
+    found = identities(docs, block)
+    groups = table(found.groupBy("need", "name").agg(F.max("d").alias("keep"), F.sum("copies").alias("size")), "groups")
+    out = found.join(groups, ["need", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(
         F.nullif("d", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif(keep, F.lit(NO_ID)).alias("keep_id"),
-        F.coalesce("size", "copies").alias("group_size"),
-        (F.col("d") == keep).alias("kept"),
-        F.col("s").alias("text_sha256"),
+        F.nullif("keep", F.lit(NO_ID)).alias("keep_id"),
+        F.col("size").alias("group_size"),
+        (F.col("d") == F.col("keep")).alias("kept"),
+        F.lower(F.hex("s")).alias("text_sha256"),
     )
 
 
-def dedup_exact(docs: DataFrame, head: int = HEAD, block: int = BLOCK) -> DataFrame:
+def dedup_exact(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = without(docs, *ADDED)
-    gone = group_copies(docs, head, block).where("not kept").select(_id().alias("_d"), F.col("text_sha256").alias("_s")).distinct()
+    gone = group_copies(docs, block).where("not kept").select(_id().alias("_d"), F.col("text_sha256").alias("_s")).distinct()
     mine = F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long")
     return docs.join(gone, (mine == gone["_d"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == gone["_s"]), "left_anti")

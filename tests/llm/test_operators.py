@@ -318,15 +318,29 @@ def test_near_blocks(spark, monkeypatch):
     test_near_groups_brute_force(spark, 3, 85)
 
 
-def test_exact_small_blocks(spark, sample):
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_small_blocks(spark, sample, monkeypatch, weak):
+    """Many blocks and rounds; also where digests are useless, so that blocks have to be told apart by text."""
+    if weak:
+        monkeypatch.setattr(exact, "_digest", lambda value: F.encode(F.length(value).cast("string"), "utf-8"))
     rows = sample + [(100 + i, ("ab" * 50) + str(i % 3) + ("cd" * 37), "s0") for i in range(9)]
-    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.group_copies(docs_of(spark, rows), head=4, block=7).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.group_copies(docs_of(spark, rows), block=7).collect()}
     by = {}
     for i, t, _ in rows:
         by.setdefault(t or "", []).append(i)
     assert got == {i: (max(by[t or ""]), len(by[t or ""])) for i, t, _ in rows}
 
 
+def test_exact_names(spark):
+    """Names depend on the contents alone, and their order within a group is that of the contents."""
+    values = spark.createDataFrame([(f"block {i % 500}",) for i in range(2000)], "b string")
+    first = sorted(tuple(r) for r in exact._names(values, "b").collect())
+    again = sorted(tuple(r) for r in exact._names(values.repartition(13), "b").collect())
+    assert first == again and len({n for _, n in first}) == len(first) == 500
+    group = lambda n: n // exact.RANKS
+    assert all(x[1] < y[1] for x in first for y in first if x[0] < y[0] and group(x[1]) == group(y[1]))
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.op6_language_id(spark, sf)
