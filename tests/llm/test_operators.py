@@ -176,10 +176,47 @@ def test_decontaminate_substitutions(spark):
         changed[i] = "other"
     rows = [(1, "before " + ", ".join(item).upper() + " after", "a"), (2, " ".join(changed), "a"), (3, " ".join(item[:10]), "a"), (4, " ".join(item[2:16]), "a"), (5, " ".join(reversed(item)), "a")]
     bench = spark.createDataFrame([(9, " ".join(item)), (9, " ".join(item))], "item_id long, text string")
-    got = {r["doc_id"]: r["items"] for r in decontaminate.find_items(docs_of(spark, rows), bench, block_bytes=50).collect()}
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_items(docs_of(spark, rows), bench).collect()}
     assert got == {1: [9], 2: [9], 3: [], 4: [9], 5: []}
     clean = decontaminate.decontaminate(docs_of(spark, rows), bench)
     assert sorted(r["doc_id"] for r in clean.collect()) == [3, 5] and clean.columns.count("items") == 0
+    nameless = spark.createDataFrame([(None, " ".join(item)), (4, " ".join(item).upper())], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_items(docs_of(spark, rows), nameless).collect()}
+    assert got == {1: [None, 4], 2: [None, 4], 3: [], 4: [None, 4], 5: []}
+
+
+def brute_items(docs, items):
+    """(doc, item) by the rule: every alignment, every window."""
+    out = set()
+    for d, x in docs:
+        for i, y in items:
+            size = min(13, len(y))
+            need = size - (size // 5 if size >= 10 else 0)
+            for shift in range(-len(y), len(x) + 1):
+                same = [0 <= j + shift < len(x) and x[j + shift] == y[j] for j in range(len(y))]
+                if len(y) >= 4 and any(sum(same[a : a + size]) >= need for a in range(len(y) - size + 1)):
+                    out.add((d, i))
+    return out
+
+
+def test_decontaminate_brute_force(spark):
+    """Items of 3 to 30 tokens, copied whole or in part, with substitutions, at the edges of documents, with shared phrases."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    phrase = say(5)
+    items = [(i, (phrase if i % 3 == 0 else []) + say(rng.randint(3, 30))) for i in range(40)]
+    docs = []
+    for d in range(150):
+        own = list(rng.choice(items)[1])
+        own = own[rng.choice([0, 0, 1, 2, 5]) :][: rng.choice([9, 11, 13, 99])]
+        for _ in range(rng.randint(0, 4)):
+            if own:
+                own[rng.randrange(len(own))] = "other"
+        docs.append((d, say(rng.choice([0, 0, 3, 40])) + own + say(rng.choice([0, 0, 30])) + (phrase if d % 4 == 0 else [])))
+    bench = spark.createDataFrame([(i, " ".join(y)) for i, y in items], "item_id long, text string")
+    found = decontaminate.find_items(docs_of(spark, [(d, " ".join(x), "a") for d, x in docs]), bench).collect()
+    got = {(r["doc_id"], i) for r in found for i in r["items"]}
+    assert got == brute_items(docs, items) and 50 < len(got) < 1000
 
 
 def mix_order(out):
