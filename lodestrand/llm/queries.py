@@ -173,26 +173,39 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
-    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    out = out.select("doc_id", "secrets", spans.alias("spans"))
-    return out.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2("spans", 256).alias("base_sha256"), "spans")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("secrets", lambda s: s["rank"] < len(secret_scan.BASE))
+    return out.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
+
+
+#: Kind, pattern, measured group and its least length: the contract's own text first, then the added rules.
+OP8_PATTERNS = (
+    ("assign", """(?i)(password|passwd|secret|token|api_?key)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN ([A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----", 0, 0),
+    ("git_token", "gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0),
+    ("chat_token", "xox[abprs]-[-A-Za-z0-9]{10,}", 0, 0),
+    ("map_key", "AIza[-_A-Za-z0-9]{35}", 0, 0),
+    ("pay_key", "(rk|sk)_(live|test)_[A-Za-z0-9]{16,}", 0, 0),
+    ("signed_token", "eyJ[-_A-Za-z0-9]{8,}[.]eyJ[-_A-Za-z0-9]{8,}[.][-_A-Za-z0-9]{8,}", 0, 0),
+    ("url_login", "[a-z][-+.a-z0-9]{1,15}://[^\\x20\\x09-\\x0D:/@]{1,64}:[^\\x20\\x09-\\x0D:/@]{1,64}@", 0, 0),
+)
 
 
 def _op8_sql() -> str:
     part = """SELECT doc_id, {rank} AS rank, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, $re${p}$re$, 0) AS hit,
     regexp_extract_all(t, $re${p}$re$, {group}) AS held, string_split_regex(t, $re${p}$re$) AS gap FROM d"""
-    parts = " UNION ALL ".join(part.format(rank=i, kind=r.kind, least=r.least, p=r.pattern, group=r.group) for i, r in enumerate(secret_scan.RULES))
+    parts = " UNION ALL ".join(part.format(rank=i, kind=kind, least=least, p=p, group=group) for i, (kind, p, group, least) in enumerate(OP8_PATTERNS))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({parts}),
-e AS (SELECT doc_id, rank, kind, least, generate_subscripts(hit, 1) AS i, unnest(hit) AS h, unnest(held) AS v, gap FROM m WHERE len(hit) > 0),
-p AS (SELECT *, list_sum(list_transform(gap[1:i], lambda x: length(x)))::BIGINT + coalesce(sum(length(h)) OVER (PARTITION BY doc_id, rank ORDER BY i
-  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM e),
-k AS (SELECT * FROM p WHERE length(v) >= least)
+e AS (SELECT doc_id, rank, kind, least, generate_subscripts(hit, 1) AS i, unnest(hit) AS h, unnest(held) AS v, unnest(gap[1:len(hit)]) AS g FROM m WHERE len(hit) > 0),
+p AS (SELECT *, sum(length(g)) OVER w + sum(length(h)) OVER w - length(h) AS s FROM e WINDOW w AS (PARTITION BY doc_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT doc_id, rank, kind, s, kind || ':' || s || ':' || (s + length(h)) AS x FROM p WHERE length(v) >= least)
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
-  count(*) FILTER (WHERE kind = 'hex') AS n_hex,
-  sha256(coalesce(string_agg(kind || ':' || s || ':' || (s + length(h)), ',' ORDER BY s, rank), '')) AS base_sha256,
-  coalesce(string_agg(kind || ':' || s || ':' || (s + length(h)), ',' ORDER BY s, rank), '') AS spans
+  count(*) FILTER (WHERE kind = 'hex') AS n_hex, sha256(coalesce(string_agg(x, ',' ORDER BY s, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(x, ',' ORDER BY s, rank), '') AS spans
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 
 

@@ -2,8 +2,11 @@
 
 Each rule's regular expression is parsed and turned into a Boolean trigram query: an OR of ANDs of trigrams
 that every match must contain.  The index holds, for each trigram that some query names, the documents that
-contain it (in lower case); postings are intersected per conjunct, and only the candidates are verified with
-the regular expression.  A rule without mandatory trigrams scans every text.
+contain it (in lower case); it is a table, which further scans of the same documents may be given.  Postings are
+intersected per conjunct, and only the candidates are verified with the regular expression.  A rule without
+mandatory trigrams scans every text.
+
+The base rules are those of the contract; the others add spans of keys and tokens in well-known formats.
 
 Defined cases: a null text is empty and has no spans; rows that repeat a doc_id are told apart by their text's
 hash, equal rows have equal results; positions are code points of the whole text, end exclusive; a text of any
@@ -39,11 +42,22 @@ class Rule:
 
 #: The rules of the base contract, in their order.  A maximal run of a character class that has
 #: the least length is written as a bounded repeat, which finds the same runs.
-RULES = (
+BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: Published formats of keys and tokens.
+ADDED = (
+    Rule("private_key", r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY-----"),
+    Rule("git_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("pay_key", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\x20\x09-\x0D:/@]{1,64}:[^\x20\x09-\x0D:/@]{1,64}@"),
+)
+RULES = BASE + ADDED
 
 
 def literals(pattern: str) -> list[set[str]]:
@@ -59,6 +73,8 @@ def literals(pattern: str) -> list[set[str]]:
             inner: list[set[str]] = []
             if name == "LITERAL":
                 exact = {chr(arg).lower()}
+            elif name == "IN" and all(str(k) == "LITERAL" for k, _ in arg):
+                exact = {chr(c).lower() for _, c in arg}
             elif name == "SUBPATTERN":
                 inner, exact = of(arg[3])
             elif name == "BRANCH":
@@ -106,18 +122,26 @@ def _text() -> Column:
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, d, f): the documents that contain each of the given trigrams."""
     low = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("d"), F.xxhash64("text").alias("f"), F.lower(_text()).alias("low"))
+    if not grams:
+        return low.select("d", "f", F.lit("").alias("gram")).limit(0)
     there = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
     return low.select("d", "f", F.explode(there).alias("gram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The written postings of every trigram that the rules' queries name."""
+    grams = sorted({g for r in rules for q in trigram_query(r.pattern) for g in q})
+    return table(postings(docs, grams), "postings")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(d, f, kinds): the documents that satisfy the trigram query of at least one rule that has one."""
     wants = [(r.kind, i, q) for r in rules for i, q in enumerate(trigram_query(r.pattern))]
-    spark = docs.sparkSession
+    spark = index.sparkSession
     if not wants:
         return spark.createDataFrame([], "d long, f long, kinds array<string>")
+    # A row for each trigram of each conjunct of the rules.
     terms = spark.createDataFrame([(k, i, g, len(q)) for k, i, q in wants for g in q], "kind string, conjunct int, gram string, need int")
-    index = postings(docs, sorted({g for _, _, q in wants for g in q}))
     met = index.join(F.broadcast(terms), "gram").groupBy("d", "f", "kind", "conjunct", "need").agg(F.count_distinct("gram").alias("have")).where("have = need")
     return met.groupBy("d", "f").agg(F.collect_set("kind").alias("kinds"))
 
@@ -144,11 +168,14 @@ def _labelled(rank: int, kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: array<struct<start, rank, kind, end>>, by start and the order of the rules."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``secrets``: array<struct<start, rank, kind, end>>, by start and the order of the rules.
+
+    ``index`` is what ``build_index`` gave for these documents and these or more rules.
+    """
     docs = without(docs, "secrets")
     names = docs.columns
-    found = table(candidates(docs, rules), "secret_candidates")
+    found = table(candidates(build_index(docs, rules) if index is None else index, rules), "secret_candidates")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("d"), F.xxhash64("text").alias("f"))
     rows = rows.join(found, ["d", "f"], "left").withColumn("_t", F.coalesce(F.col("_row.text"), F.lit("")))
     none = F.array().cast("array<struct<start:int,end:int>>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from fractions import Fraction
 
 import pyarrow as pa
@@ -157,6 +158,34 @@ def test_chat_round_trip(spark):
 def test_trigram_queries():
     by = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert by["hex"] == [] and by["access"] == [["aki", "kia"]] and ["ken", "oke", "tok"] in by["assign"] and ["_ke", "api", "i_k", "key", "pi_"] in by["assign"]
+    assert by["git_token"] == [["gh" + c, "h" + c + "_"] for c in "oprsu"] and by["url_login"] == [["://"]] and all(by[r.kind] for r in secret_scan.ADDED)
+
+
+def contract_spans(text):
+    """The contract's base spans, from its own words."""
+    found = []
+    rules = (("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    for rank, (kind, pattern, group, least) in enumerate(rules):
+        found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def test_secret_brute_force(spark, sf):
+    """Base spans of real and of random texts; added rules add spans and change none; an index serves several scans."""
+    rng = random.Random(4)
+    bits = ["password", "Secret", "TOKEN", "api_key", "apikey", "passwd", '"', "'", " ", "=", ":", "abc", "x9/", "AKIA", "ABCD0123" * 2, "0123456789abcdef", "é🙂", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "xoxb-1234567890-z", "https://me:pw@host", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "sk_live_" + "q" * 20, "AIza" + "B" * 36]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts += [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select(F.coalesce("text", F.lit(""))).collect()]
+    docs = docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    index = secret_scan.build_index(docs)
+    rows = {r["doc_id"]: r["secrets"] for r in secret_scan.scan(docs, index=index).collect()}
+    base = lambda i: [(s["kind"], s["start"], s["end"]) for s in rows[i] if s["rank"] < 3]
+    assert all(base(i) == contract_spans(t) for i, t in enumerate(texts))
+    for rank, rule in enumerate(secret_scan.RULES[3:], 3):
+        want = {(i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(rule.pattern, t)}
+        assert want and want == {(i, s["start"], s["end"]) for i, found in rows.items() for s in found if s["rank"] == rank}
+    alone = secret_scan.scan(docs, secret_scan.BASE, index).collect()
+    assert all([(s["kind"], s["start"], s["end"]) for s in r["secrets"]] == base(r["doc_id"]) for r in alone)
 
 
 def test_secret_positions(spark):
@@ -164,6 +193,7 @@ def test_secret_positions(spark):
     rows = secret_scan.scan(docs_of(spark, [(1, text, "a"), (2, "password=abc", "a")])).collect()
     found = {r["doc_id"]: [(s["kind"], text[s["start"] : s["end"]]) for s in r["secrets"]] for r in rows}
     clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs_of(spark, [(1, text, "a"), (2, None, "a")])).collect()}
+    assert secret_scan.redact(docs_of(spark, [])).count() == 0
     assert clean == {1: "é🙂 secret=token : abcdefgh [secret] x[secret] \"[secret]\"", 2: None}
     assert found[1] == [("access", "AKIA" + "A" * 20), ("hex", "0f" * 13), ("assign", 'API_KEY": "abcdef')] and found[2] == []
 
