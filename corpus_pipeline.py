@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's rows as Parquet in
 the cluster's shared folder and reads them again as the next stage's documents.  All stages but the last return
 the columns of documents; the last adds each document's place in the mix.
+
+Defined cases: a document whose text is null or has no letter is rejected by language ID, as is every document when
+none has a language to learn from; an empty table passes all stages and stays empty.  A null doc_id counts as the
+smallest in line dedup and near dedup.  Rows that repeat a doc_id are one document in line dedup, are judged each by
+their text in language ID, near dedup (where one row of each group stays) and decontamination, and have adjacent
+places in the mix.  Other columns, whatever their names, keep their values through all stages; the last one replaces
+columns named like the four that it adds.  Texts are read whole.
 """
 
 from __future__ import annotations
@@ -15,18 +22,24 @@ from lodestrand.llm.scratch import table
 from lodestrand.shipping import ship
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text beside all columns in a struct, so that no added column can replace one of them."""
+    return docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those that it rejects."""
     ship(spark)
     model = langid.fit(docs, F.lit(True))
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return langid.identify(_packed(docs), model).where("not rejected").select("_doc.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps a repeated line in the first document that has it; n_chars follows the text."""
     ship(spark)
-    out = lines.dedup_lines(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    columns = [(new[f.name].cast(f.dataType) if f.name in new else F.col(f"_doc.`{f.name}`")).alias(f.name) for f in docs.schema.fields]
+    return lines.dedup_lines(_packed(docs)).select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item is found."""
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.decontaminate(_packed(docs), ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).select("_doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,5 +197,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with their columns."""
-    return find_items(docs, benchmark).where(F.size("items") == 0).select(*without(docs, "items").columns)
+    """The rows of ``docs`` in which no item is found, with their columns but one named ``items``."""
+    docs = without(docs, "items")
+    found = found_items(docs, benchmark).select("d", "f")
+    mine = (F.coalesce(docs["doc_id"], F.lit(NO_ID)).cast("long") == found["d"]) & (F.xxhash64(docs["text"]) == found["f"])
+    return docs.join(found, mine, "left_anti")

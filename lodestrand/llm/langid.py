@@ -170,6 +170,8 @@ def fit(docs: DataFrame, train: Column, per_lang: int = 1000, epochs: int = 12,
         return e / e.sum(1, keepdims=True)
 
     fitted = rows[held:]
+    # A small sample is gone through more often, up to some three thousand steps.
+    epochs = max(epochs, min(3000 * 16 // len(fitted), 20 * epochs))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(fitted))
@@ -194,11 +196,11 @@ def fit(docs: DataFrame, train: Column, per_lang: int = 1000, epochs: int = 12,
     target[np.arange(len(y)), y] += 1 - 1 / (2 * len(y))
     loss = [-(target * np.log(softmax(logits / t) + 1e-300)).sum(1).mean() for t in grid]
     t = float(grid[int(np.argmin(loss))])
-    usual, middle, bound = _rejection(fitted or check, check, langs)
+    usual, middle, bound = _rejection(fitted, check, logits.argmax(1), langs)
     return Model(langs, table, bias, t, usual, middle, bound)
 
 
-def _rejection(fitted: list[_Row], check: list[_Row], langs: list[str]) -> tuple[np.ndarray, float, float]:
+def _rejection(fitted: list[_Row], check: list[_Row], predicted: np.ndarray, langs: list[str]) -> tuple[np.ndarray, float, float]:
     """Log frequencies of triples, the average of known texts, and the bound under which a text is rejected."""
     usual = np.full((1 << LOG_TRIPLES, len(langs)), 0.5, np.float32)
     for r in fitted:
@@ -209,10 +211,10 @@ def _rejection(fitted: list[_Row], check: list[_Row], langs: list[str]) -> tuple
         total = r.times @ usual[r.triples][:, columns]
         return float((total.max(initial=-np.inf) + prior * middle) / (r.times.sum() + prior))
 
-    long = [r for r in check if r.times.sum() > 0]
-    if not long:
+    some = [i for i, r in enumerate(check) if r.times.sum() > 0]
+    if not some:
         return usual, 0.0, -np.inf
-    own = [[langs.index(r.lang)] for r in long]
+    long, own = [check[i] for i in some], [[int(predicted[i])] for i in some]
     middle = float(np.mean([mean(r, c, 0.0, 0.0) for r, c in zip(long, own, strict=True)]))
     known = np.quantile([mean(r, c, middle) for r, c in zip(long, own, strict=True)], 0.005)
     others = lambda r: [i for i, x in enumerate(langs) if x != r.lang]

@@ -14,11 +14,16 @@ NO_ID = -(2**63)
 
 
 def area(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of this machine serves a local master, as in tests; on a cluster it raises.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from lodestrand.llm import queries
 from tests.llm.test_operators import brute_components
@@ -51,3 +53,50 @@ def test_rejects(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
     kept = cp.identify_language(spark, docs.where("doc_id > 100 or text is null or n_chars = 16"), sf)
     assert kept.where("doc_id in (1, 2)").count() == 0 and kept.count() > 50
+
+
+CLASH = "score double, rejected boolean, n_lines int, n_dropped int, items string, secrets int, d string, f string, row string, id int"
+
+
+def edge_documents(spark, sf, more):
+    """Documents that language ID learns from, some with the given rows' nulls, repeats and clashing columns."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id between 100 and 160")
+    odd = spark.createDataFrame(more, plain.schema)
+    names = [c.split()[0] for c in CLASH.split(", ")]
+    values = [F.lit(str(i)).cast(c.split()[1]).alias(c.split()[0]) for i, c in enumerate(CLASH.split(", "))]
+    return plain.unionByName(odd).select("*", *values), names
+
+
+def test_edges(spark, sf, tmp_path):
+    body = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 130").first()["text"]
+    long_text = (body + " ") * 60
+    more = [(None, body + " one", "en", "a", 1), (None, None, None, None, None), (7, "", "en", "a", 0), (8, long_text, "en", None, 1), (9, long_text, "en", None, 1), (8, long_text, "en", None, 1)]
+    docs, names = edge_documents(spark, sf, more)
+    columns, before = docs.columns, docs.select(*names).first()
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, sf)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns[: len(columns)] == columns
+        assert docs.select(*names).distinct().collect() == [before]
+        if name == "language_id":
+            assert docs.where("text is null or text = ''").count() == 0 and docs.where("doc_id in (8, 9)").count() == 3
+        if name == "near_dedup":
+            assert docs.where(F.length("text") > 10 * len(body)).count() <= 1
+    assert docs.count() > 20 and docs.where("mix_slot is null").count() == 0
+
+
+def test_empty(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in cp.STAGES:
+        docs = stage(spark, docs, sf)
+        assert docs.count() == 0, name
+
+
+def test_near_dedup_repeats(spark, sf):
+    """Copies under null and repeated ids: one row of the group stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 600").limit(1)
+    text = docs.first()["text"]
+    rows = [(i, f"{text} tail{n}", "en", "a", 1) for n, i in enumerate([None, None, 3, 3, 3, 5])] + [(3, f"{text} tail4", "en", "a", 1)] * 2
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), sf)
+    assert out.count() == 1 and out.first()["doc_id"] is None
