@@ -35,6 +35,8 @@ from lodestrand.llm.textkit import SPACE, slices
 
 LOG_BUCKETS, DIM = 13, 16
 LOG_TRIPLES, PRIOR = 16, 10
+#: Triples of shuffled bytes that a sampled text gives to the calibration.
+JUNK = 400
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[SPACE] = 32
@@ -103,15 +105,21 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Row:
     lang: str
     buckets: np.ndarray
-    parts: np.ndarray
+    counts: np.ndarray
     triples: np.ndarray
     times: np.ndarray
     shuffled: np.ndarray
 
 
+_FIELDS = ("buckets", "counts", "triples", "times", "shuffled")
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct subwords with their shares, and distinct triples with their counts, of the text and of its shuffled bytes."""
-    lists = lambda arrays, kind: pa.array([x.astype(kind) for x in arrays], pa.list_(pa.from_numpy_dtype(kind)))
+    """Distinct subwords and distinct triples with their counts, and some triples of the text's shuffled bytes.
+
+    Numbers of 16 bits in binary columns, so that a sample's rows stay small.
+    """
+    packed = lambda arrays: pa.array([x.astype(np.uint16).tobytes() for x in arrays], pa.binary())
     cut = lambda h, begin: [np.unique(h[a:b], return_counts=True) for a, b in zip(begin[:-1], begin[1:], strict=True)]
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -122,13 +130,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mixed = np.concatenate([np.zeros(0, np.uint8), *[rng.permutation(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]])
             shuffled, begin = triples(mixed, off)
             columns = [
-                lists([x for x, _ in found], np.int32),
-                lists([n / max(1, n.sum()) for _, n in found], np.float32),
-                lists([x for x, _ in plain], np.int32),
-                lists([n for _, n in plain], np.float32),
-                lists([shuffled[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)], np.int32),
+                packed(x for x, _ in found),
+                packed(np.minimum(n, 65535) for _, n in found),
+                packed(x for x, _ in plain),
+                packed(np.minimum(n, 65535) for _, n in plain),
+                packed(shuffled[a : min(b, a + JUNK)] for a, b in zip(begin[:-1], begin[1:], strict=True)),
             ]
-            yield pa.record_batch([batch["o"], batch["lang"], *columns], names=["o", "lang", "buckets", "parts", "triples", "times", "shuffled"])
+            yield pa.record_batch([batch["o"], batch["lang"], *columns], names=["o", "lang", *_FIELDS])
 
 
 def _sample(docs: DataFrame, train: Column, per_lang: int) -> list[_Row]:
@@ -140,13 +148,13 @@ def _sample(docs: DataFrame, train: Column, per_lang: int) -> list[_Row]:
     fraction = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
     order = F.xxhash64(F.col("doc_id"), F.lit(7), F.col("text"))
     picked = rows.select(order.alias("o"), "lang", "text").where(F.pmod("o", F.lit(1 << 20)) < fraction * (1 << 20))
-    schema = "o long, lang string, buckets array<int>, parts array<float>, triples array<int>, times array<float>, shuffled array<int>"
+    schema = "o long, lang string, " + ", ".join(f"{c} binary" for c in _FIELDS)
     found = picked.mapInArrow(_features, schema).orderBy("o", "lang").limit(3 * per_lang * len(share) // 2).toArrow().combine_chunks()
-    fields = ("buckets", "parts", "triples", "times", "shuffled")
-    return [_Row(found["lang"][i].as_py(), *[found[c][i].values.to_numpy() for c in fields]) for i in range(found.num_rows)]
+    numbers = lambda c, i: np.frombuffer(found[c][i].as_py(), np.uint16)
+    return [_Row(found["lang"][i].as_py(), *[numbers(c, i) for c in _FIELDS]) for i in range(found.num_rows)]
 
 
-def fit(docs: DataFrame, train: Column, per_lang: int = 1000, epochs: int = 12, rate: float = 1.0, seed: int = 5) -> Model | None:
+def fit(docs: DataFrame, train: Column, per_lang: int = 800, epochs: int = 12, rate: float = 1.0, seed: int = 5) -> Model | None:
     """Learn from the rows of ``docs`` where ``train`` holds; None without any."""
     rows = _sample(docs, train, per_lang)
     langs = sorted({r.lang for r in rows})
@@ -162,7 +170,7 @@ def fit(docs: DataFrame, train: Column, per_lang: int = 1000, epochs: int = 12,
     def dense(part: list[_Row]) -> tuple[np.ndarray, np.ndarray]:
         x = np.zeros((len(part), 1 << LOG_BUCKETS), np.float32)
         for i, r in enumerate(part):
-            x[i, r.buckets] = r.parts
+            x[i, r.buckets] = r.counts / max(1, int(r.counts.sum(dtype=np.int64)))
         return x, np.array([langs.index(r.lang) for r in part])
 
     def softmax(z: np.ndarray) -> np.ndarray:
@@ -208,10 +216,10 @@ def _rejection(fitted: list[_Row], check: list[_Row], predicted: np.ndarray, lan
     usual = np.log(usual / usual.sum(0))
 
     def mean(r: _Row, columns: list[int], middle: float, prior: float = PRIOR) -> float:
-        total = r.times @ usual[r.triples][:, columns]
-        return float((total.max(initial=-np.inf) + prior * middle) / (r.times.sum() + prior))
+        total = r.times.astype(np.float64) @ usual[r.triples][:, columns]
+        return float((total.max(initial=-np.inf) + prior * middle) / (r.times.sum(dtype=np.int64) + prior))
 
-    some = [i for i, r in enumerate(check) if r.times.sum() > 0]
+    some = [i for i, r in enumerate(check) if len(r.times)]
     if not some:
         return usual, 0.0, -np.inf
     long, own = [check[i] for i in some], [[int(predicted[i])] for i in some]
