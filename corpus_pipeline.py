@@ -14,7 +14,7 @@ columns named like the four that it adds.  Texts are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.llm import decontaminate, langid, lines, mixing, neardup
@@ -23,23 +23,27 @@ from lodestrand.shipping import ship
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id and text beside all columns in a struct, so that no added column can replace one of them."""
-    return docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_doc"))
+    """doc_id and text beside all columns but text in a struct, so that no added column can replace one of them."""
+    return docs.select("doc_id", "text", F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("_doc"))
+
+
+def _unpacked(out: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them with new values."""
+    fields = {f.name: new.get(f.name, F.col("text") if f.name == "text" else F.col(f"_doc.`{f.name}`")).cast(f.dataType) for f in docs.schema.fields}
+    return out.select(*[c.alias(name) for name, c in fields.items()])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents and drops those that it rejects."""
     ship(spark)
     model = langid.fit(docs, F.lit(True))
-    return langid.identify(_packed(docs), model).where("not rejected").select("_doc.*")
+    return _unpacked(langid.identify(_packed(docs), model).where("not rejected"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps a repeated line in the first document that has it; n_chars follows the text."""
     ship(spark)
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
-    columns = [(new[f.name].cast(f.dataType) if f.name in new else F.col(f"_doc.`{f.name}`")).alias(f.name) for f in docs.schema.fields]
-    return lines.dedup_lines(_packed(docs)).select(*columns)
+    return _unpacked(lines.dedup_lines(_packed(docs)), docs, n_chars=F.length("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item is found."""
-    return decontaminate.decontaminate(_packed(docs), ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).select("_doc.*")
+    return decontaminate.decontaminate(_packed(docs), ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")).transform(_unpacked, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
