@@ -22,9 +22,9 @@ def grey_square(image: np.ndarray) -> np.ndarray:
     """Luma of a (height, width, 3) image as means of 32 x 32 boxes."""
     luma = image[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
     for axis in (0, 1):
-        edges = np.linspace(0, luma.shape[axis], _SIDE + 1)
-        low = np.minimum(np.floor(edges[:-1]).astype(int), luma.shape[axis] - 1)
-        high = np.maximum(np.ceil(edges[1:]).astype(int), low + 1)
+        # Boxes begin and end at whole pixels, so they don't overlap; in a small image one has a pixel at least.
+        edges = np.arange(_SIDE + 1) * luma.shape[axis] // _SIDE
+        low, high = edges[:-1], np.maximum(edges[1:], edges[:-1] + 1)
         sums = np.concatenate([np.zeros_like(luma.take([0], axis)), np.cumsum(luma, axis)], axis)
         luma = (sums.take(high, axis) - sums.take(low, axis)) / (high - low).reshape([-1 if a == axis else 1 for a in (0, 1)])
     return luma

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lodestrand.functions.vectors import as_column
 
 #: Fixed values.
-UUID_NAMESPACE = "6f3a1e84000000000000000000000000"
+UUID_NAMESPACE = "6f3a1e84-0d2b-4c7e-9f15-8b2d4a6c1e90"
 VIDEO_NAME = r"(?i)^(?:[A-Z][0-9]+_V[0-9]+|[0-9]{3})$"
 UUID_SHAPE = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-EXTENSIONS = ("jpg", "jpeg", "png", "webp", "mp4", "mkv", "avi", "mov", "webm", "json", "wav", "mp3")
+EXTENSIONS = ("mp4", "mkv", "avi", "webm", "mov", "flv", "wmv", "jpg", "jpeg", "png", "webp", "gif", "json")
+NAME_SUFFIX = r"(?i)__(?:shot|pos|frame|ts)_.*$"
 
 
 def parse_options(text: Column | str) -> Column:
@@ -92,7 +93,7 @@ def infer_video(path: Column | str) -> Column:
 def clean_video_id(raw: Column) -> Column:
     """Base name without known extensions (however many) and keyframe suffix; blank or "unknown" is null."""
     stem = F.regexp_replace(basename(F.trim(raw)), rf"(?i)(?:\.(?:{'|'.join(EXTENSIONS)}))+$", "")
-    stem = F.trim(F.regexp_replace(stem, r"__(?:shot|pos|frame|ts)_.*$", ""))
+    stem = F.trim(F.regexp_replace(stem, NAME_SUFFIX, ""))
     return F.when((stem != "") & (F.lower(stem) != "unknown"), stem)
 
 
@@ -113,7 +114,7 @@ def uuid_stem(path: Column | str) -> Column:
 
 def uuid5(name: Column | str, namespace: str = UUID_NAMESPACE) -> Column:
     """RFC 4122 version 5: SHA-1 of namespace and name, version and variant bits set."""
-    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(as_column(name), "utf-8")))
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(as_column(name), "utf-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("long").bitwiseAND(3).bitwiseOR(8)))
     s = lambda a, n: F.substring(h, a, n)
     return F.concat_ws("-", s(1, 8), s(9, 4), F.concat(F.lit("5"), s(14, 3)), F.concat(variant, s(18, 3)), s(21, 12))

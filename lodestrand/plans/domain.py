@@ -72,9 +72,9 @@ EVENTS = """ev AS (SELECT event_id, user_id AS "user", event_type AS kind, value
 
 
 def judged(t) -> DataFrame:
-    """Up to four questions a group from line items: group, seq, gold, pred (null for N), kind, level."""
+    """Questions from line items: group, seq in it, gold, pred (null for N), kind, level; a scored group has the first four."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").withColumn("seq", F.row_number().over(order)).where("seq <= 4")
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag").withColumn("seq", F.row_number().over(order))
     kind = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "logic").otherwise("relevance").alias("kind"), F.col("o_orderpriority").alias("head"))
     return li.join(kind, "l_orderkey").select(F.col("l_orderkey").alias("grp"), "seq", F.lit("R").alias("gold"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("pred"), "kind", "head", (F.col("l_linenumber") % 3 + 1).alias("level"))
 
@@ -82,5 +82,5 @@ def judged(t) -> DataFrame:
 JUDGED = """jd AS (SELECT l_orderkey AS grp, seq, 'R' AS gold, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS pred,
   CASE WHEN o_orderstatus = 'F' THEN 'logic' ELSE 'relevance' END AS kind, o_orderpriority AS head, l_linenumber % 3 + 1 AS level
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS seq FROM lineitem) l
-  JOIN orders ON o_orderkey = l_orderkey WHERE seq <= 4),
+  JOIN orders ON o_orderkey = l_orderkey),
 ok AS (SELECT *, coalesce(pred = gold, false) AS good FROM jd)"""

@@ -23,18 +23,18 @@ def accuracy_by_level(t) -> DataFrame:
     return E.breakdowns(D.judged(t), ["level", "head"]).select("dimension", "value", "n", r9("accuracy"))
 
 
-GROUPS = D.JUDGED + """, run AS (SELECT *, sum((NOT good)::INT) OVER (PARTITION BY grp, kind ORDER BY seq ROWS UNBOUNDED PRECEDING) AS wrong FROM ok),
+GROUPS = D.JUDGED + """, run AS (SELECT *, sum((NOT good)::INT) OVER (PARTITION BY grp, kind ORDER BY seq ROWS UNBOUNDED PRECEDING) AS wrong FROM ok WHERE seq <= 4),
 gs AS (SELECT grp, kind, CASE WHEN kind = 'logic' THEN sum((wrong = 0)::INT) / 4.0::DOUBLE ELSE pow(sum(good::INT) / 4.0::DOUBLE, 2) END AS score FROM run GROUP BY grp, kind)"""
 
 
 @query(f"WITH {GROUPS} SELECT grp, kind, round(score, 9) AS score FROM gs")
 def group_score(t) -> DataFrame:
-    return E.group_scores(D.judged(t), ["grp", "kind"], "kind", ["seq"]).select("grp", "kind", r9("score"))
+    return E.group_scores(D.judged(t).where("seq <= 4"), ["grp", "kind"], "kind", ["seq"]).select("grp", "kind", r9("score"))
 
 
 @query(f"WITH {GROUPS} SELECT round(avg(score), 9) AS group_score, count(*) AS n_groups FROM gs")
 def mean_group_score(t) -> DataFrame:
-    return E.mean_group_score(E.group_scores(D.judged(t), ["grp", "kind"], "kind", ["seq"])).select(r9("group_score"), "n_groups")
+    return E.mean_group_score(E.group_scores(D.judged(t).where("seq <= 4"), ["grp", "kind"], "kind", ["seq"])).select(r9("group_score"), "n_groups")
 
 
 @query("""WITH p AS (SELECT quality = 1 AS a, quality = 1 - toxic AS b FROM labels), c AS (SELECT count(*) FILTER (WHERE NOT a AND b) AS b, count(*) FILTER (WHERE a AND NOT b) AS c FROM p)
@@ -43,14 +43,13 @@ def mcnemar_counts(t) -> DataFrame:
     return E.mcnemar(t.labels, F.col("quality") == 1, F.col("quality") == 1 - F.col("toxic")).select("b", "c")
 
 
-@query("""WITH RECURSIVE p AS (SELECT quality = 1 AS a, (doc_id % 7 = 0) <> (quality = 1) AS b FROM labels WHERE doc_id % 5 = 0),
+@query("""WITH RECURSIVE p AS (SELECT quality = 1 AS a, (doc_id % 7 = 0) <> (quality = 1) AS b FROM labels),
 c AS (SELECT count(*) FILTER (WHERE NOT a AND b) AS b, count(*) FILTER (WHERE a AND NOT b) AS c FROM p),
 s AS (SELECT 0::BIGINT AS i, b + c AS n, least(b, c) AS low, 0.0::DOUBLE AS lg FROM c UNION ALL SELECT i + 1, n, low, lg + ln((n - i)::DOUBLE / (i + 1)) FROM s WHERE i < low)
 SELECT (SELECT b FROM c) AS b, (SELECT c FROM c) AS c, round(least(1.0, 2 * sum(exp(lg - n * ln(2.0::DOUBLE)))), 9) AS p_value FROM s""")
 def mcnemar_test(t) -> DataFrame:
-    rows = t.labels.where("doc_id % 5 = 0")
     a = F.col("quality") == 1
-    return E.mcnemar(rows, a, (F.col("doc_id") % 7 == 0) != a).select("b", "c", r9("p_value"))
+    return E.mcnemar(t.labels, a, (F.col("doc_id") % 7 == 0) != a).select("b", "c", r9("p_value"))
 
 
 @query(f"""WITH {D.JUDGED} SELECT head AS config, kind AS split, count(*) AS n, round(avg(good::INT), 9) AS accuracy, round(avg(good::INT) FILTER (WHERE level = 1), 9) AS level_1,

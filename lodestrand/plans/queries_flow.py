@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import images, seams, vectors
-from lodestrand.operators import sequences
+from lodestrand.operators import ranking, sequences
 from lodestrand.plans import domain as D
 from lodestrand.plans import queries_interval, queries_stream, retrieve
 from lodestrand.plans.registry import ORACLES, query
@@ -42,6 +42,52 @@ def config_sweep(t) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+FOUR = D.SCORED + """,
+weight(config, source, w) AS (VALUES ('visual-only', 'siglip', 1.0::DOUBLE), ('visual-only', 'jina', 1.0), ('+asr-gt', 'siglip', 1.0), ('+asr-gt', 'jina', 1.0), ('+asr-gt', 'asr', 0.8),
+  ('+asr-whisper', 'siglip', 1.0), ('+asr-whisper', 'jina', 1.0), ('+asr-whisper', 'asr', 0.8), ('+ocr', 'siglip', 1.0), ('+ocr', 'jina', 1.0), ('+ocr', 'asr', 0.8), ('+ocr', 'ocr', 0.5),
+  ('full', 'siglip', 1.0), ('full', 'jina', 1.0), ('full', 'asr', 0.8), ('full', 'ocr', 0.5)),
+said AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, video, s, e) AS n FROM
+  (SELECT o_orderkey % 20 AS q, o_custkey % 10 AS video, (o_orderkey % 45)::DOUBLE AS s, (o_orderkey % 45 + o_orderkey % 6)::DOUBLE AS e, o_totalprice AS score FROM orders)),
+screen AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, video, path) AS n FROM (SELECT vec_id * 3 % 20 AS q, video, path, (vec_id * 37 % 101) / 101.0::DOUBLE AS score FROM pts)),
+hit AS (SELECT query_id, source, video, shot, ts, CASE WHEN vec_id % 11 <> 0 THEN path END AS path, score FROM top
+  UNION ALL SELECT q, 'asr', p.video, shot, ts, path, score FROM said JOIN pts p ON p.video = said.video AND ts BETWEEN s AND e WHERE n <= 50
+  UNION ALL SELECT q, 'ocr', p.video, shot, ts, p.path, score FROM screen JOIN pts p ON p.video = screen.video AND p.path = screen.path WHERE n <= 50),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source, video, shot ORDER BY score DESC, ts, path NULLS FIRST) AS b FROM hit) WHERE b = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, path NULLS FIRST) AS r FROM best),
+sums AS (SELECT config, query_id, path, any_value(video) AS video, any_value(shot) AS shot, sum(w / (60 + r)) AS score, string_agg(source, ',' ORDER BY source) AS sources, count(*) AS many
+  FROM placed JOIN weight USING (source) WHERE path IS NOT NULL GROUP BY config, query_id, path),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, path) AS n FROM sums) WHERE n <= 100),
+shots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id, video, shot ORDER BY score DESC, many DESC, path) AS k FROM first) WHERE k = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, many DESC, path) AS rank FROM shots)"""
+
+
+@query(f"""WITH {FOUR} SELECT config, query_id, lpad(video::VARCHAR, 3, '0') || '_shot_' || lpad(shot::VARCHAR, 3, '0') AS shot_id, path AS file_path, sources, rank, round(score, 9) AS score FROM ranked WHERE rank <= 10""")
+def four_source_fusion(t) -> DataFrame:
+    """The best ten shots of each query from two vector sources, speech with times and screen text with paths, by configuration."""
+    where = D.points(t).drop("embedding")
+    video = lambda c: F.lpad(c.cast("string"), 3, "0").alias("video_id")
+    shot = F.format_string("%03d_shot_%03d", "video", "shot").alias("shot_id")
+    frames = where.select("vec_id", video(F.col("video")), shot, F.col("path").alias("file_path"), F.col("ts").alias("timestamp"))
+    parts = []
+    for source, dims in (("siglip", None), ("jina", 32)):
+        hits = ranking.vector_topk(t.embeddings, D.query_vectors(t), "vec_id", "embedding", 50, 0.0, dims).join(frames, "vec_id")
+        parts.append(hits.withColumn("source", F.lit(source)).withColumn("file_path", F.when(F.col("vec_id") % 11 != 0, F.col("file_path"))))
+    k = F.col("o_orderkey")
+    start, end = (k % 45).cast("double").alias("start"), (k % 45 + k % 6).cast("double").alias("end")
+    said = t.orders.select((k % 20).alias("query_id"), F.lit("asr").alias("source"), video(F.col("o_custkey") % 10), F.lit(None).cast("string").alias("file_path"), start, end, F.col("o_totalprice").alias("score"))
+    v = F.col("vec_id")
+    none = F.lit(None).cast("double")
+    screen = where.select((v * 3 % 20).alias("query_id"), F.lit("ocr").alias("source"), video(F.col("video")), F.col("path").alias("file_path"), none.alias("start"), none.alias("end"), ((v * 37 % 101) / F.lit(101.0)).alias("score"))
+    parts.append(retrieve.text_hits_to_frames(said.unionByName(screen), frames))
+    hits = retrieve.union_sources(parts)
+    out = []
+    for name, (weights, _) in retrieve.CONFIGS.items():
+        if weights:
+            out.append(retrieve.retrieve(hits, weights).where("rank <= 10").withColumn("config", F.lit(name)))
+    every = reduce(DataFrame.unionByName, out)
+    return every.select("config", "query_id", "shot_id", "file_path", F.array_join("rrf_components", ",").alias("sources"), "rank", F.round("score", 9).alias("score"))
+
+
 def _video(key):
     """Deals conversations out over the videos of the questions."""
     return F.lpad(F.pmod(key, F.lit(D.QUERY_VECTORS)).cast("string"), 3, "0").alias("video_id")

@@ -321,15 +321,15 @@ def detection_stats(t) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"), F.max("value").alias("top"))
 
 
-@query("""WITH r AS (SELECT o_orderkey, 'dir' || o_custkey % 3 || '/' || (o_orderkey % 500) || '.jpg' AS path FROM orders WHERE o_orderkey < 400),
-k AS (SELECT p_partkey, p_partkey % 500 || '.jpg' AS name FROM part)
-SELECT o_orderkey, min(p_partkey) AS p_partkey FROM r JOIN k ON regexp_replace(path, '.*/', '') = name GROUP BY o_orderkey""")
+@query("""WITH r AS (SELECT o_orderkey, 'dir' || o_custkey % 3 || '/' || (o_orderkey % 500) || '.jpg' AS path FROM orders),
+k AS (SELECT min(p_partkey) AS p_partkey, p_partkey % 500 || '.jpg' AS name FROM part GROUP BY name)
+SELECT o_orderkey, p_partkey FROM r JOIN k ON regexp_replace(path, '.*/', '') = name""")
 def ocr_join_basename(t) -> DataFrame:
     """Results matched to records on the file's name, the first record of equals."""
     from lodestrand.functions.strings import basename
 
     path = F.concat(F.lit("dir"), F.col("o_custkey") % 3, F.lit("/"), F.col("o_orderkey") % 500, F.lit(".jpg"))
-    r = t.orders.where("o_orderkey < 400").select("o_orderkey", basename(path).alias("name"))
+    r = t.orders.select("o_orderkey", basename(path).alias("name"))
     k = t.part.select("p_partkey", F.concat(F.col("p_partkey") % 500, F.lit(".jpg")).alias("name")).groupBy("name").agg(F.min("p_partkey").alias("p_partkey"))
     return r.join(k, "name").select("o_orderkey", "p_partkey")
 

@@ -12,7 +12,7 @@ from lodestrand.plans.registry import query
 r9 = lambda c: F.round(c, 9)
 
 
-@query("""WITH k AS (SELECT o_orderkey, sha1(unhex('6f3a1e84000000000000000000000000') || encode(lpad((o_custkey % 900)::VARCHAR, 3, '0') || ':' || (o_orderkey % 50) || ':' || o_orderkey)) AS h FROM orders)
+@query("""WITH k AS (SELECT o_orderkey, sha1(unhex('6f3a1e840d2b4c7e9f158b2d4a6c1e90') || encode(lpad((o_custkey % 900)::VARCHAR, 3, '0') || ':' || (o_orderkey % 50) || ':' || o_orderkey)) AS h FROM orders)
 SELECT o_orderkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17])::INT & 3) + 1, 1) || h[18:20] || '-' || h[21:32] AS id FROM k""")
 def uuid5_ids(t) -> DataFrame:
     video = F.lpad((F.col("o_custkey") % 900).cast("string"), 3, "0")
@@ -33,14 +33,15 @@ def payload_struct(t) -> DataFrame:
     return p.select("event_id", F.col("p.shot_id").alias("shot_id"), F.col("p.video.filename").alias("filename"), F.col("p.frame.timestamp_formatted").alias("stamp"))
 
 
-@query(r"""WITH c AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'unknown' ELSE 'a/b/' || o_custkey || '__shot_' || o_orderkey || '.jpg' END AS a,
+@query(r"""WITH c AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'unknown' WHEN 3 THEN 'talk' || o_custkey || '.wav' WHEN 4 THEN 'c/clip' || o_custkey || '__SHOT_1.GIF' ELSE 'a/b/' || o_custkey || '__shot_' || o_orderkey || '.jpg' END AS a,
   CASE o_orderkey % 3 WHEN 0 THEN 'UNKNOWN' ELSE 'x\' || lpad((o_custkey % 300)::VARCHAR, 3, '0') || '.MP4.json' END AS b, 'v' || o_orderkey AS c FROM orders),
-s AS (SELECT o_orderkey, i, trim(regexp_replace(regexp_replace(regexp_replace(replace(trim(x), '\', '/'), '^.*/', ''), '(?i)(?:\.(?:jpg|jpeg|png|webp|mp4|mkv|avi|mov|webm|json|wav|mp3))+$', ''), '__(?:shot|pos|frame|ts)_.*$', '')) AS x
+s AS (SELECT o_orderkey, i, trim(regexp_replace(regexp_replace(regexp_replace(replace(trim(x), '\', '/'), '^.*/', ''), '(?i)(?:\.(?:mp4|mkv|avi|webm|mov|flv|wmv|jpg|jpeg|png|webp|gif|json))+$', ''), '(?i)__(?:shot|pos|frame|ts)_.*$', '')) AS x
   FROM (SELECT o_orderkey, unnest([a, b, c]) AS x, unnest([1, 2, 3]) AS i FROM c))
 SELECT o_orderkey, arg_min(x, i) FILTER (WHERE x IS NOT NULL AND x <> '' AND lower(x) <> 'unknown') AS video_id FROM s GROUP BY o_orderkey""")
 def canonical_id(t) -> DataFrame:
     k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    a = F.when(k % 5 == 1, "  ").when(k % 5 == 2, "unknown").when(k % 5 > 2, F.concat(F.lit("a/b/"), cust, F.lit("__shot_"), k, F.lit(".jpg")))
+    a = F.when(k % 7 == 1, "  ").when(k % 7 == 2, "unknown").when(k % 7 == 3, F.concat(F.lit("talk"), cust, F.lit(".wav"))).when(k % 7 == 4, F.concat(F.lit("c/clip"), cust, F.lit("__SHOT_1.GIF")))
+    a = a.when(k % 7 > 4, F.concat(F.lit("a/b/"), cust, F.lit("__shot_"), k, F.lit(".jpg")))
     b = F.when(k % 3 == 0, "UNKNOWN").otherwise(F.concat(F.lit("x\\"), F.lpad((cust % 300).cast("string"), 3, "0"), F.lit(".MP4.json")))
     return t.orders.select("o_orderkey", S.canonical_video_id(a, b, F.concat(F.lit("v"), k)).alias("video_id"))
 

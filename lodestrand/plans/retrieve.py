@@ -21,14 +21,17 @@ CONFIGS = {
 }
 
 HIT = ["query_id", "source", "video_id", "shot_id", "file_path", "timestamp", "score"]
+#: Sources whose hits are keyframes already.
+FRAME_SOURCES = ("siglip", "jina")
 
 
-def text_hits_to_frames(hits: DataFrame, keyframes: DataFrame, width: float = 60.0) -> DataFrame:
-    """Text hits as hits on keyframes: with times, all frames in them; without, the frame of the same path."""
+def text_hits_to_frames(hits: DataFrame, keyframes: DataFrame, width: float = 60.0, depth: int = 50) -> DataFrame:
+    """The best ``depth`` text hits of a query and source as hits on keyframes: with times, all frames in them; without, the frame of the same path."""
+    hits = ranking.limit_each(hits, depth, ["video_id", "file_path", "start", "end"], by=("query_id", "source")).drop("rank")
     frames = keyframes.select("video_id", "shot_id", F.col("file_path").alias("frame_path"), "timestamp")
     timed = intervals.points_in_intervals(hits.where("start is not null").drop("shot_id", "timestamp"), frames, ["video_id"], "start", "end", "timestamp", width)
     timed = timed.drop("file_path").withColumnRenamed("frame_path", "file_path")
-    one = frames.withColumnRenamed("frame_path", "file_path").dropDuplicates(["video_id", "file_path"])
+    one = frames.groupBy("video_id", F.col("frame_path").alias("file_path")).agg(F.min(F.struct("shot_id", "timestamp")).alias("f")).select("video_id", "file_path", "f.*")
     pathed = hits.where("start is null").drop("shot_id", "timestamp").join(one, ["video_id", "file_path"])
     return timed.select(*HIT).unionByName(pathed.select(*HIT))
 
@@ -36,18 +39,21 @@ def text_hits_to_frames(hits: DataFrame, keyframes: DataFrame, width: float = 60
 def retrieve(hits: DataFrame, weights: dict[str, float] | None = None, only: set[str] | None = None, k: int = 60, depth: int = 50, top_k: int = 10, n_windows: int = 0, fuse_key: str = "file_path") -> DataFrame:
     """query_id, video_id, shot_id, file_path, timestamp, score, rrf_components, rank of the best shots.
 
-    ``hits`` are all sources' hits on keyframes; sources of no weight are left out of the plan, each source is
-    collapsed to its best hit a shot, fused by weighted reciprocal ranks and rolled up to shots.
+    ``hits`` are all sources' hits on keyframes, of which a frame source gives its best ``depth`` (text sources were
+    cut before they were spread over frames); sources of no weight are left out of the plan, each source is collapsed
+    to its best hit a shot, fused by weighted reciprocal ranks and rolled up to shots.
     """
     active = ranking.effective_weights(weights, only)
     used = hits.where(F.col("source").isin(list(active))) if active else hits.where(F.lit(False))
-    best = ranking.collapse(used, ["query_id", "source", "video_id", "shot_id"], ["timestamp", "file_path"])
-    best = ranking.limit_each(best, depth, ["file_path"], by=("query_id", "source")).drop("rank")
+    seen = F.col("source").isin(*FRAME_SOURCES)
+    cut = ranking.limit_each(used.where(seen), depth, ["video_id", "file_path", "timestamp"], by=("query_id", "source")).drop("rank")
+    best = ranking.collapse(cut.unionByName(used.where(~seen)), ["query_id", "source", "video_id", "shot_id"], ["timestamp", "file_path"])
     fused = ranking.rrf(best, active, k, top=max(2 * depth, top_k), key=fuse_key)
     if fuse_key == "file_path":
-        fused = fused.join(best.select("file_path", "video_id", "shot_id", "timestamp").dropDuplicates(["file_path"]), "file_path")
+        place = F.min(F.struct("video_id", "shot_id", "timestamp")).alias("p")
     else:
-        fused = fused.join(best.groupBy(fuse_key).agg(F.first("video_id").alias("video_id"), F.min("file_path").alias("file_path"), F.min("timestamp").alias("timestamp")), fuse_key)
+        place = F.min(F.struct("video_id", "file_path", "timestamp")).alias("p")
+    fused = fused.join(best.where(F.col(fuse_key).isNotNull()).groupBy(fuse_key).agg(place).select(fuse_key, "p.*"), fuse_key)
     return ranking.roll_up(fused, ["video_id", "shot_id"], max(top_k, 3 * n_windows), ["file_path"])
 
 

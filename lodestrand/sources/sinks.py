@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, else the context's, else a local one (as in tests)."""
+    """The folder of ``spark.checkpoint.dir``, else the context's; a local one only with a local master, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 

@@ -42,7 +42,9 @@ def test_times(spark):
 
 
 def test_ids(spark):
-    ns = uuid.UUID("6f3a1e84-0000-0000-0000-000000000000")
+    ns = uuid.UUID("6f3a1e84-0d2b-4c7e-9f15-8b2d4a6c1e90")
+    for raw, clean in (("x__SHOT_1", "x"), ("a/clip.gif", "clip"), ("talk.wav", "talk.wav"), ("b.MP4.json", "b"), ("b.flv", "b"), ("c.mp3", "c.mp3")):
+        assert value(spark, strings.canonical_video_id(F.lit(raw))) == clean
     assert value(spark, strings.point_id(F.lit("001"), F.lit(3), F.lit(120))) == str(uuid.uuid5(ns, "001:3:120"))
     canon = strings.canonical_video_id(F.lit(" "), F.lit("UNKNOWN"), F.lit("a\\b/007__shot_3.jpg.json"))
     assert value(spark, canon) == "007"
@@ -252,6 +254,14 @@ def test_bm25(spark):
     assert {(1, 1), (1, 2), (3, 1)} <= rel and not any(k[0] == 2 for k in rel)
 
 
+def boxes(image, images):
+    """The luma of each of 32 x 32 boxes, pixel by pixel: box i holds the pixels from floor(i n / 32) up to the next one's first."""
+    boxes.last = image
+    luma = image @ [0.299, 0.587, 0.114]
+    spans = [[range(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)] for n in luma.shape]
+    return [[[luma[y, x] for y in ys for x in xs] for xs in spans[1]] for ys in spans[0]]
+
+
 def test_phash(spark):
     rng = np.random.default_rng(7)
     a = rng.integers(0, 256, (64, 64, 3), dtype=np.uint8)
@@ -262,6 +272,9 @@ def test_phash(spark):
     got = {r["i"]: r["x"] for r in df.select("i", images.phash("d", "w", "h").alias("x")).collect()}
     bits = lambda x, y: bin(x ^ y).count("1")
     assert bits(got[0], got[1]) <= 4 < bits(got[0], got[2]) and got[3] is None and 0 <= got[0] < 2**63
+    for h, w in ((100, 100), (90, 160), (20, 33), (64, 64)):
+        grey = np.array([[np.mean(luma_box) for luma_box in row] for row in boxes(rng.integers(0, 256, (h, w, 3)), images)])
+        assert np.allclose(grey, images.grey_square(boxes.last)), (h, w)
     flat = np.full((40, 30, 3), 9, np.uint8)
     assert images.perceptual_hash(flat) == images.perceptual_hash(flat) and images.colour_histogram(flat).max() == 1
 
