@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from fractions import Fraction
 
 import pyarrow as pa
@@ -198,6 +199,35 @@ def test_secret_positions(spark):
     assert found[1] == [("access", "AKIA" + "A" * 20), ("hex", "0f" * 13), ("assign", 'API_KEY": "abcdef')] and found[2] == []
 
 
+def brute_kept(texts, length):
+    """Each text's words that no recurring window covers."""
+    words = [t.split() for t in texts]
+    count = Counter(tuple(ws[i : i + length]) for ws in words for i in range(len(ws) - length + 1))
+    out = []
+    for ws in words:
+        gone = {i + j for i in range(len(ws) - length + 1) if count[tuple(ws[i : i + length])] > 1 for j in range(length)}
+        out.append(" ".join(w for i, w in enumerate(ws) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize(("length", "block"), [(35, 16), (8, 4), (90, 16)])
+def test_substrings_brute_force(spark, length, block):
+    """One passage in many contexts: cut at either end, with changed words, beside other passages, twice in a text, periodic."""
+    rng = random.Random(length)
+    say = lambda n: [f"w{rng.randrange(2000)}" for _ in range(n)]
+    passages = [say(4 * length), say(length + 3)]
+    texts = []
+    for i in range(120):
+        own = list(passages[i % 2])
+        own = own[rng.randrange(length) :][: rng.randint(length // 2, 4 * length)]
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "other"
+        texts.append(" ".join(say(rng.randint(0, 30)) + own + (passages[0][: 2 * length] if i % 7 == 0 else []) + say(rng.randint(0, 30))))
+    texts += [" ".join(["ab"] * 3 * length), " ".join(["x", "y", "z"] * length), " ".join(say(3 * length)), ""]
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup_substrings(docs_of(spark, [(i, t, "a") for i, t in enumerate(texts)]), length, block).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts, length)
+
+
 def test_decontaminate_substitutions(spark):
     rng = random.Random(3)
     item = [f"w{rng.randrange(10**6)}" for _ in range(20)]
