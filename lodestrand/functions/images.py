@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,12 @@ def perceptual_hash(image: np.ndarray) -> int:
     return out
 
 
+def decode_base64(text: Column | str) -> Column:
+    """The bytes of a base64 string, with or without a ``data:`` header; null if it isn't one."""
+    body = F.regexp_replace(F.col(text) if isinstance(text, str) else text, r"(?s)^data:[^,]*,", "")
+    return F.try_to_binary(body, F.lit("base64"))
+
+
 @F.pandas_udf(T.LongType())
 def phash(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """Hash of raw RGB bytes; null if they don't fill the size."""

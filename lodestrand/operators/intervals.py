@@ -48,6 +48,19 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], at: str, other: st
     return left.join(met, keys, "left").select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in mine])
 
 
+def shot_bounds(frames: DataFrame, shots: DataFrame, on: list[str], bounds: list[str]) -> DataFrame:
+    """``frames`` with the bounds of their shot; null where the shot isn't known."""
+    known = shots.groupBy(*on).agg(F.min(F.struct(*bounds)).alias("_b"))
+    return frames.join(known, on, "left").select(*frames.columns, *[F.col(f"_b.{b}").alias(b) for b in bounds])
+
+
+def frame_at(wanted: DataFrame, frames: DataFrame, on: list[str], ties: list[str]) -> DataFrame:
+    """``wanted`` (on: video and frame index) with the first frame of exactly that index; null where there is none."""
+    mine = [c for c in frames.columns if c not in on]
+    first = frames.groupBy(*on).agg(F.min(F.struct(*ties, *[c for c in mine if c not in ties])).alias("_f"))
+    return wanted.join(first, on, "left").select(*wanted.columns, *[F.col(f"_f.{c}").alias(c) for c in mine])
+
+
 def midpoint_pick(pairs: DataFrame, keys: list[str], start: str, end: str, at: str, ties: list[str]) -> DataFrame:
     """For each interval the row nearest to its middle."""
     gap = F.abs(F.col(at) - (F.col(start) + F.col(end)) / 2)

@@ -207,6 +207,16 @@ def sliding_scores(frames: DataFrame, by: str, frame: str, value: str, score, le
     return frames.select(by, frame, value).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {frame} {kinds[frame]}, p double")
 
 
+def at_least(spans: DataFrame, seconds: float, strictly: bool = False, start: str = "start", end: str = "end") -> DataFrame:
+    """Spans of at least (or strictly more than) so many seconds, told to the microsecond; a span without a bound goes."""
+    long = F.round(F.col(end) - F.col(start), 6)
+    return spans.where(long > seconds if strictly else long >= seconds)
+
+
+#: The least seconds of speech, which must be exceeded, of a window and of a window of fixed length.
+SPEECH, WINDOW, FIXED_WINDOW = 0.2, 0.5, 1.0
+
+
 def transcript_text(lines: DataFrame, by: list[str], srt: bool = False) -> DataFrame:
     """by, transcript: segments as ``[start - end] text`` lines, or as numbered SRT blocks."""
     from lodestrand.functions.strings import hours_minutes_seconds, srt_time

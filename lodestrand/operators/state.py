@@ -69,6 +69,13 @@ def repair(results: DataFrame, canonical: DataFrame, key: str, fields: list[str]
     return rows.withColumns(fixed).select(*results.columns)
 
 
+def order_mismatches(a: DataFrame, b: DataFrame, by: list[str], value: str, order_a: list[str], order_b: list[str]) -> DataFrame:
+    """by, place, left, right: where the values of a group differ at a place, or one side has no such place."""
+    placed = lambda df, order, name: df.select(*by, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("place"), F.col(value).alias(name))
+    both = placed(a, order_a, "left").join(placed(b, order_b, "right"), [*by, "place"], "full")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table and not the other, with their side; none if they are the same, repeats counted."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

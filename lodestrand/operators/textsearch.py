@@ -63,6 +63,19 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return (F.length(p) > 0) & F.coalesce(F.contains(F.lower(text), p), F.lit(False))
 
 
+def has_ngrams(text: Column, phrase: Column, n: int = 3) -> Column:
+    """Whether all n-grams of the phrase (as it is, if shorter) are in the text, in any case: what an n-gram field matches."""
+    low, p = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(phrase))
+    last = F.greatest(F.lit(1), F.length(p) - n + 1)
+    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(p, i, F.lit(n)))
+    return (F.length(p) > 0) & F.forall(grams, lambda g: F.contains(low, g))
+
+
+def has_ngram_field(columns: list[str], text: str) -> bool:
+    """Whether an index has a column of n-grams beside the text; where it has none, containment is what runs."""
+    return f"{text}_ngram" in columns
+
+
 def fuzziness(term: Column) -> Column:
     """Edits allowed: 0 up to 2 letters, 1 up to 5, then 2."""
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)

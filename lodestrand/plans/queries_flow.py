@@ -146,6 +146,6 @@ def stream_segments(t) -> DataFrame:
     ends = words.groupBy("vid").agg((F.max("ord") + 1).alias("ord"), F.max("end").alias("end")).select("vid", "ord", F.lit(None).cast("string").alias("text"), F.col("end").alias("start"), "end")
     every = words.unionByName(ends)
     for low, high in ((0, 40), (40, 200), (200, 2**62)):
-        every.where((F.col("ord") >= low) & (F.col("ord") < high)).coalesce(1).write.mode("append").parquet(folder)
+        every.where((F.col("ord") >= low) & (F.col("ord") < high)).repartition("vid").write.mode("append").parquet(folder)
     out = queries_stream._drained(t, flows.capped_segments(flows.read_stream(t.spark, folder, every.schema)), "append")
     return out.select(F.col("vid").cast("long").alias("conv_id"), "seg_no", "text", "start", "end")

@@ -26,8 +26,9 @@ def _drained(t, df: DataFrame, mode: str) -> DataFrame:
 def _events(t) -> DataFrame:
     """The events as a folder of files that arrive one after the other."""
     folder = f"{shared_folder(t.spark)}/arrivals_{uuid.uuid4().hex}"
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(0))
     for low, high in ((0, 8), (8, 15), (15, 22), (22, 32)):
-        t.events.where((F.dayofmonth("ts") >= low) & (F.dayofmonth("ts") < high)).coalesce(1).write.mode("append").parquet(folder)
+        t.events.where((day >= low) & (day < high)).write.mode("append").parquet(folder)
     return flows.read_stream(t.spark, folder, t.events.schema)
 
 

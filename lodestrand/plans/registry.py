@@ -44,4 +44,4 @@ def query(sql: str | None = None, longs: str = "") -> Callable:
 
 
 from lodestrand.plans import queries_eval, queries_interval, queries_rank, queries_scalar, queries_stream, queries_text  # noqa: E402, F401, I001
-from lodestrand.plans import queries_flow  # noqa: E402, F401
+from lodestrand.plans import queries_flow, queries_seams  # noqa: E402, F401

@@ -62,6 +62,32 @@ def ingest(source: DataFrame, target: str, checkpoint: str, keys: list[str], ord
     q.awaitTermination()
 
 
+def window_scores(frames: DataFrame, score, length: int = 100, stride: int = 50, context: int = 25) -> DataFrame:
+    """vid, frame, p from a stream of (vid, frame, value), each video's frames in order: as ``sequences.sliding_scores``.
+
+    A video's state is the values that windows to come may still ask for; a window is scored when all its values are
+    there, and those at the end when the video's end marker, a frame with a null value, arrives.
+    """
+    import numpy as np
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, base, held = state.get if state.exists else (0, 0, "[]")
+        rows = pd.concat(list(parts)).sort_values("frame")
+        ended = bool(rows["value"].isna().any())
+        v = json.loads(held) + rows["value"].dropna().tolist()
+        n, out = base + len(v), []
+        while done < n and (ended or done - context + length <= n):
+            at = np.clip(np.arange(done - context, done - context + length), 0, n - 1) - base
+            p = np.asarray(score(np.asarray(v)[at]))[context : context + stride]
+            out += [(key[0], done + i, float(x)) for i, x in enumerate(p[: n - done])]
+            done += stride
+        keep = min(max(0, done - context), n)
+        state.update((done, keep, json.dumps(v[keep - base :])))
+        yield pd.DataFrame(out, columns=["vid", "frame", "p"])
+
+    return frames.groupBy("vid").applyInPandasWithState(run, "vid string, frame long, p double", "done long, base long, held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def capped_segments(words: DataFrame, gap: float = 0.6, longest: float = 15.0) -> DataFrame:
     """vid, seg_no, text, start, end from a stream of (vid, ord, text, start, end), each key's words in order.
 
