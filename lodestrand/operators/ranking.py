@@ -5,6 +5,7 @@ Every ranking has a total order: score descending, then key ascending.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,29 @@ def vector_topk(points: DataFrame, queries: DataFrame, key: str, vector: str, k:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)
 
 
+class CachedSearch:
+    """Top-k by a single vector over one table of points, with answers kept for ``seconds``.
+
+    An answer is kept under everything that it depends on: the whole vector, k, the least score and the filter.
+    """
+
+    def __init__(self, points: DataFrame, key: str, vector: str, seconds: float = 300.0, clock=time.monotonic):
+        self.points, self.key, self.vector, self.seconds, self.clock = points, key, vector, seconds, clock
+        self.kept: dict[tuple, tuple[float, list]] = {}
+
+    def search(self, wanted: list[float], k: int, least: float | None = 0.0, where: str | None = None) -> list[tuple]:
+        """(key, score) of the k best points that meet ``where``, a condition in SQL."""
+        now = self.clock()
+        self.kept = {q: a for q, a in self.kept.items() if now - a[0] < self.seconds}
+        asked = (tuple(wanted), k, least, where)
+        if asked not in self.kept:
+            points = self.points.where(where) if where else self.points
+            query = points.sparkSession.createDataFrame([(0, [float(x) for x in wanted])], f"query_id long, {self.vector} array<double>")
+            rows = vector_topk(points, query, self.key, self.vector, k, least).orderBy("rank").collect()
+            self.kept[asked] = (now, [(r[self.key], r["score"]) for r in rows])
+        return self.kept[asked][1]
+
+
 def collapse(hits: DataFrame, by: list[str], ties: list[str | Column], score: str = "score") -> DataFrame:
     """The best hit of each group; hits with a null in ``by`` go first."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), *ties)

@@ -1,15 +1,19 @@
 """Text retrieval in DataFrames: tokens, BM25, a multi-clause relevance score, phrases, near terms, highlights.
 
 The score is this engine's own: BM25 with k1 = 1.2 and b = 0.75 over lower-cased letter and digit runs without stop
-words, and a sum of boosted clauses.
+words, and a sum of boosted clauses.  A corpus is tokenised once, into a kept index; queries read the postings of their
+terms from it.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.sources.sinks import staged
+from lodestrand.sources.sinks import shared_folder, staged
 
 #: The default English stop words of common analyzers, and folded letters.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -35,26 +39,63 @@ def term_counts(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     return toks.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """query_id, key, score, matched, terms: BM25 over the query's distinct terms.
+#: Folders of postings, by hash of the term, and parts of a folder, by hash of the document, so that a frequent term is spread.
+BUCKETS, PARTS = 32, 4
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A tokenised corpus: postings (term, key, tf, dl; in folders by hash of the term), vocabulary (term, df), size and mean length."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    documents: int
+    mean_length: float
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms: only their folders, and in these only the terms' row groups, are read."""
+        found = sorted({bucket_of(t) for t in terms})
+        return self.postings.where(F.col("bucket").isin(found) & F.col("term").isin(terms)).drop("bucket")
+
+
+def bucket_of(term: str) -> int:
+    import zlib
+
+    return zlib.crc32(term.encode()) % BUCKETS
 
-    The queries are a stated set: their terms become part of the plan, so a document's other terms never leave its
-    array, and only the postings of those terms are shuffled; the corpus's size and mean length are one aggregate.
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> TextIndex:
+    """Tokenise ``docs`` once; the index is written under the shared folder."""
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/text_index_{uuid.uuid4().hex}"
+    toks = docs.select(key, tokens(F.col(text), **how).alias("_t")).withColumn("dl", F.size("_t"))
+    counts = toks.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    bucket = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(BUCKETS)).cast("int")
+    rows = counts.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
+    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    postings = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
+    n, total = docs.count(), postings.agg(F.sum("tf")).first()[0]
+    vocabulary = staged(postings.groupBy("term").agg(F.count("*").alias("df")))
+    return TextIndex(postings, vocabulary, n, (total or 0) / max(n, 1))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", index: TextIndex | None = None, **how) -> DataFrame:
+    """query_id, key, score, matched, terms: BM25 over the query's distinct terms; the queries are a stated set.
+
+    ``index`` is the kept index of ``docs``; without one it is built.
     """
+    index = build_index(docs, key, text, **how) if index is None else index
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), **how))).alias("term"))
-    want = sorted({r["term"] for r in terms.select("term").collect()})
-    toks = docs.select(key, tokens(F.col(text), **how).alias("_t"))
-    # The texts are read once: what is kept of a document is its length and its asked terms.
-    rows = staged(toks.select(key, F.size("_t").alias("dl"), F.filter("_t", lambda t: t.isin(want) if want else F.lit(False)).alias("_h")))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posts = rows.select(key, "dl", F.explode("_h").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    asked = terms.join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    many = terms.groupBy("query_id").agg(F.count("*").alias("terms"))
-    scored = posts.join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    return scored.join(F.broadcast(many), "query_id")
+    asked = sorted({(r["query_id"], r["term"]) for r in terms.collect()})
+    many = {q: sum(1 for x, _ in asked if x == q) for q, _ in asked}
+    given = index.postings.sparkSession.createDataFrame([(q, t, many[q]) for q, t in asked], "query_id long, term string, terms long")
+    wanted = sorted({t for _, t in asked})
+    posts = index.of(wanted)
+    # A row for each term of the stated queries.
+    given = given.join(index.vocabulary.where(F.col("term").isin(wanted)), "term")
+    idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
+    return posts.join(F.broadcast(given), "term").groupBy("query_id", key, "terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
@@ -93,29 +134,34 @@ def near_terms(vocabulary: DataFrame, terms: DataFrame, prefix: int = 1) -> Data
     return met.where(F.col("edits") <= fuzziness(F.col("wanted"))).select("wanted", "term", "edits")
 
 
-def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.1) -> DataFrame:
+def phrase_hits(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query_id, key: the documents that hold a query's text; the queries are a stated set, tried in one scan."""
+    phrases = queries.select("query_id", "query").orderBy("query_id").collect()
+    met = F.filter(F.array(*[F.when(has_phrase(F.col(text), F.lit(r["query"])), F.lit(r["query_id"]).cast("long")) for r in phrases]), lambda q: q.isNotNull())
+    if not phrases:
+        return docs.select(F.lit(0).cast("long").alias("query_id"), key).limit(0)
+    return docs.select(key, F.explode(met).alias("query_id")).select("query_id", key)
+
+
+def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.1, index: TextIndex | None = None) -> DataFrame:
     """query_id, key, score: the sum of the boosted clauses that match, at least one of them, scores under least off.
 
     phrase, all terms, most terms and near terms score BM25 times their boost; the wildcard scores its boost.
     """
     asked = queries.where(F.length(F.trim("query")) > 0)
-    base = bm25(docs, asked, key, text)
+    index = build_index(docs, key, text) if index is None else index
+    base = staged(bm25(docs, asked, key, text, index))
     boost = F.lit(0.0) + F.when(F.col("matched") == F.col("terms"), BOOSTS["all"]).otherwise(0.0)
     boost = boost + F.when(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("terms") * SHARE)), BOOSTS["most"]).otherwise(0.0)
     exact = base.select("query_id", key, (F.col("score") * boost).alias("s"))
-    whole = docs.select(key, text).crossJoin(F.broadcast(asked)).where(has_phrase(F.col(text), F.col("query"))).select("query_id", key)
+    whole = staged(phrase_hits(docs, asked, key, text))
     phrase = base.join(whole, ["query_id", key], "left_semi").select("query_id", key, (F.col("score") * BOOSTS["phrase"]).alias("s"))
     wild = whole.select("query_id", key, F.lit(BOOSTS["wildcard"]).alias("s"))
     words = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    # Only what begins like a wanted term can be near one.
-    heads = sorted({r["term"][:1] for r in words.select("term").collect()})
-    starts = F.filter(F.array_distinct(tokens(F.col(text))), lambda t: F.substring(t, 1, 1).isin(heads) if heads else F.lit(False))
-    there = staged(docs.select(key, F.explode(starts).alias("term")))
-    vocab = there.select("term").distinct()
-    wide = words.withColumnRenamed("term", "wanted").join(near_terms(vocab, words), "wanted")
-    # Each near term counts as the wanted one, less for its edits.
-    fuzzy = there.join(wide.select("query_id", "wanted", "term", "edits"), "term")
-    fuzzy = fuzzy.groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s")).groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
+    # Each near term counts as the wanted one, less for its edits; the near terms come from the vocabulary.
+    wide = staged(words.withColumnRenamed("term", "wanted").join(near_terms(index.vocabulary, words), "wanted").select("query_id", "wanted", "term", "edits"))
+    fuzzy = index.postings.join(wide, "term").groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s"))
+    fuzzy = fuzzy.groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
     every = exact.unionByName(phrase).unionByName(wild).unionByName(fuzzy)
     return every.groupBy("query_id", key).agg(F.sum("s").alias("score")).where(F.col("score") >= least)
 

@@ -40,9 +40,9 @@ def summarise(judged: DataFrame) -> DataFrame:
 
 def lookup_question(questions: DataFrame, question_id: str) -> DataFrame:
     """The first question of that id; running it is an error where there is none."""
-    got = questions.where(F.col("question_id") == question_id).limit(1)
-    there = got.agg(F.count("*").alias("_n"))
-    return there.join(got, F.lit(True), "left").withColumn("question_id", F.when(F.col("_n") == 0, F.raise_error(F.lit(f"no question {question_id}"))).otherwise(F.col("question_id"))).drop("_n")
+    got = questions.where(F.col("question_id") == question_id).limit(1).agg(F.first(F.struct(*questions.columns)).alias("q"))
+    there = F.when(F.col("q").isNull(), F.raise_error(F.lit(f"no question {question_id}"))).otherwise(F.col("q.question_id"))
+    return got.select(*[(there if c == "question_id" else F.col(f"q.`{c}`")).alias(c) for c in questions.columns])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -12,6 +12,7 @@ from lodestrand.operators import intervals, sequences, state
 from lodestrand.operators import textsearch as X
 from lodestrand.plans import evaluate, pipeline, queries_interval, queries_stream
 from lodestrand.plans.registry import ORACLES, query
+from lodestrand.sources import frames
 from lodestrand.sources.sinks import shared_folder
 from lodestrand.streaming import flows
 
@@ -156,16 +157,16 @@ def order_check(t) -> DataFrame:
 SELECT o_orderkey, a AS shot_start, b AS shot_end FROM orders LEFT JOIN s ON v = o_custkey AND number = o_orderkey % 4""")
 def shot_bounds(t) -> DataFrame:
     shots = t.orders.where("o_orderkey % 3 > 0").groupBy(F.col("o_custkey").alias("video"), (F.col("o_orderkey") % 4).alias("number")).agg(F.min("o_orderkey").alias("shot_start"), F.max("o_orderkey").alias("shot_end"))
-    frames = t.orders.select("o_orderkey", F.col("o_custkey").alias("video"), (F.col("o_orderkey") % 4).alias("number"))
-    return intervals.shot_bounds(frames, shots, ["video", "number"], ["shot_start", "shot_end"]).select("o_orderkey", "shot_start", "shot_end")
+    seen = t.orders.select("o_orderkey", F.col("o_custkey").alias("video"), (F.col("o_orderkey") % 4).alias("number"))
+    return intervals.shot_bounds(seen, shots, ["video", "number"], ["shot_start", "shot_end"]).select("o_orderkey", "shot_start", "shot_end")
 
 
 @query("""SELECT p_partkey, (SELECT min(event_id) FROM events WHERE user_id = p_partkey % 60 AND event_id % 25 = p_size % 25) AS event_id FROM part""")
 def frame_lookup(t) -> DataFrame:
     """The first event of exactly the wanted user and index."""
     wanted = t.part.select("p_partkey", (F.col("p_partkey") % 60).alias("video"), (F.col("p_size") % 25).cast("long").alias("idx"))
-    frames = t.events.select(F.col("user_id").alias("video"), (F.col("event_id") % 25).alias("idx"), "event_id")
-    return intervals.frame_at(wanted, frames, ["video", "idx"], ["event_id"]).select("p_partkey", "event_id")
+    seen = t.events.select(F.col("user_id").alias("video"), (F.col("event_id") % 25).alias("idx"), "event_id")
+    return intervals.frame_at(wanted, seen, ["video", "idx"], ["event_id"]).select("p_partkey", "event_id")
 
 
 @query("""WITH p(query_id, q) AS (VALUES (1, 'license'), (2, 'tok'), (3, 'xqzt'))
@@ -185,6 +186,18 @@ def decoded_images(t) -> DataFrame:
     return t.documents.select("doc_id", F.sha2(images.decode_base64(coded), 256).alias("digest"))
 
 
+@query("""SELECT v.label::BIGINT AS video, i AS frame_index, 32 AS width, 18 AS height, (i + 3 + 5 + v.label) % 256 AS first_byte
+FROM (SELECT DISTINCT label FROM embeddings) v, (SELECT unnest(range(0, 90, 9)) AS i)""", longs="width height first_byte")
+def frame_scan(t) -> DataFrame:
+    """Wanted frames of stand-in videos, scaled down; their first byte tells video and frame."""
+    label = t.embeddings.select("label").distinct()
+    videos = label.select(F.col("label").cast("string").alias("video_id"), F.repeat(F.lit("x"), F.col("label")).alias("path"))
+    wanted = videos.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(89).cast("long"), F.lit(9).cast("long"))).alias("frame_index"))
+    got = frames.wanted_frames(videos, wanted, frames.stand_in(), max_side=32)
+    first = F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("long").alias("first_byte")
+    return got.select(F.col("video_id").cast("long").alias("video"), "frame_index", "width", "height", first)
+
+
 @query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
 px AS (SELECT vec_id, i // 3 AS k, sum((floor((x + 1) * 127)::BIGINT // 32) * CASE i % 3 WHEN 0 THEN 64 WHEN 1 THEN 8 ELSE 1 END)::BIGINT AS bin FROM e WHERE i < 63 GROUP BY ALL),
 n AS (SELECT vec_id, bin, count(*) AS n FROM px GROUP BY ALL)

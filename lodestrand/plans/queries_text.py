@@ -16,6 +16,19 @@ def asked(t) -> DataFrame:
     return t.spark.createDataFrame(TEXT_QUERIES, "query_id long, query string")
 
 
+_indexes: dict[tuple, X.TextIndex] = {}
+
+
+def index_of(t) -> X.TextIndex:
+    """The index of the documents of a folder, built once for each state of the folder's table."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/documents.parquet")
+    status = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    state = (t.spark.sparkContext.applicationId, t.sf_dir, status.getModificationTime(), status.getLen())
+    if state not in _indexes:
+        _indexes[state] = X.build_index(t.documents)
+    return _indexes[state]
+
+
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in TEXT_QUERIES)
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 TOKENS = f"""qs AS (SELECT query_id::BIGINT AS query_id, query FROM (VALUES {_VALUES}) v(query_id, query)),
@@ -32,7 +45,7 @@ def bm25_topk(t) -> DataFrame:
     from lodestrand.operators.ranking import limit_each
 
     # Sums of the same terms differ in the last bits with their order; ranks follow nine places.
-    top = limit_each(X.bm25(t.documents, asked(t)).withColumn("score", F.round("score", 9)), 20, ["doc_id"])
+    top = limit_each(X.bm25(t.documents, asked(t), index=index_of(t)).withColumn("score", F.round("score", 9)), 20, ["doc_id"])
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -42,7 +55,7 @@ PHRASES = [(1, " General Public License "), (2, "the that"), (3, "  ")]
 @query("""SELECT p.query_id, doc_id FROM documents JOIN (VALUES (1, 'general public license'), (2, 'the that')) p(query_id, q) ON contains(lower(text), q)""", longs="query_id")
 def phrase_search(t) -> DataFrame:
     p = t.spark.createDataFrame(PHRASES, "query_id long, query string")
-    return t.documents.select("doc_id", "text").crossJoin(F.broadcast(p)).where(X.has_phrase(F.col("text"), F.col("query"))).select("query_id", "doc_id")
+    return X.phrase_hits(t.documents, p)
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT term AS wanted FROM qt), v AS (SELECT DISTINCT term FROM tf),
@@ -50,8 +63,7 @@ e AS (SELECT wanted, term, levenshtein(wanted, term) AS edits, CASE WHEN length(
 SELECT wanted, term, edits FROM e WHERE edits <= most""")
 def fuzzy_terms(t) -> DataFrame:
     terms = asked(t).select(F.explode(X.tokens(F.col("query"))).alias("term"))
-    vocab = t.documents.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    return X.near_terms(vocab, terms)
+    return X.near_terms(index_of(t).vocabulary, terms)
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT term AS wanted FROM qt), v AS (SELECT DISTINCT term FROM tf),
@@ -68,7 +80,7 @@ def relevance_search(t) -> DataFrame:
     """All clauses together: phrase, all terms, most terms, near terms, wildcard."""
     from lodestrand.operators.ranking import limit_each
 
-    return limit_each(X.relevance(t.documents.select("doc_id", "text"), asked(t)).withColumn("score", F.round("score", 9)), 20, ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return limit_each(X.relevance(t.documents.select("doc_id", "text"), asked(t), index=index_of(t)).withColumn("score", F.round("score", 9)), 20, ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query()

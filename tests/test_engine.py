@@ -394,3 +394,37 @@ def test_answers_read_whole_conversations(spark, sf, tmp_path):
         spark.createDataFrame([(0, 0, "user", "c"), (25, 0, "user", text)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{n}/conversations.parquet")
         chars.append({r["query_id"]: r["prompt_chars"] for r in registry.QUERIES["answer_questions"](spark, f"{tmp_path}/{n}").collect()})
     assert {q: chars[1][q] - chars[0][q] for q in chars[0]} == {q: 60 * (q == 5) for q in range(20)}
+
+
+def test_frames(spark):
+    """A full scan of small frames; wanted ones in one pass that stops after the last."""
+    from lodestrand.sources import frames
+
+    videos = spark.createDataFrame([("a", "xx"), ("b", "xxx")], "video_id string, path string")
+    small = {(r["video_id"], r["frame_index"]): r for r in frames.small_frames(videos, frames.stand_in(70)).collect()}
+    assert len(small) == 140 and all((r["width"], r["height"], len(r["data"])) == (48, 27, 48 * 27 * 3) for r in small.values())
+    image = next(frames.stand_in()("xx"))
+    assert small[("a", 0)]["data"] == frames.resized(image, 48, 27).tobytes() and frames.resized(image, 64, 36).tobytes() == image.tobytes()
+
+    def short(path):
+        for i, f in enumerate(frames.stand_in()(path)):
+            if i > 9:
+                raise EOFError("decoded past the last wanted frame")
+            yield f
+
+    wanted = spark.createDataFrame([("a", 9), ("a", 2), ("a", 2), ("c", 1)], "video_id string, frame_index long")
+    got = frames.wanted_frames(videos, wanted, short, max_side=16).collect()
+    assert sorted((r["video_id"], r["frame_index"], r["width"], r["height"]) for r in got) == [("a", 2, 16, 9), ("a", 9, 16, 9)]
+
+
+def test_cached_search(spark):
+    """Kept answers end with their time and are told apart by the whole vector, the limit and the filter."""
+    now = [0.0]
+    points = spark.createDataFrame([(i, [float(i), 1.0], "v" if i % 2 else "w") for i in range(6)], "id long, e array<double>, name string")
+    c = ranking.CachedSearch(points, "id", "e", 300.0, lambda: now[0])
+    assert [k for k, _ in c.search([1.0, 0.0], 2)] == [5, 4] and [k for k, _ in c.search([1.0, 0.0], 2, where="name = 'w'")] == [4, 2]
+    assert [k for k, _ in c.search([-1.0, 9.0], 1)] == [0] and len(c.kept) == 3
+    c.points = points.where("id < 3")
+    assert [k for k, _ in c.search([1.0, 0.0], 2)] == [5, 4]
+    now[0] = 301.0
+    assert [k for k, _ in c.search([1.0, 0.0], 2)] == [2, 1] and len(c.kept) == 1

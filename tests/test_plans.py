@@ -14,8 +14,8 @@ from lodestrand.plans import evaluate, registry
 from lodestrand.schemas import SCHEMAS
 from tests.oracle import assert_same
 
-#: Queries with a stated set of vectors, phrases, one row of totals or one constant key on one side of a nested loop.
-NESTED = {"answer_questions", "best_match", "phrase_search", "relevance_search", "bm25_topk"}
+#: Queries with a stated set of vectors, one row of totals or one constant key on one side of a nested loop.
+NESTED = {"answer_questions", "best_match"}
 STREAMS = {n for n in registry.QUERIES if n.startswith("stream_")}
 
 
