@@ -87,6 +87,11 @@ def loss_spans(segments: str = "segments") -> Column:
     return F.aggregate(segments, start, step, lambda acc: acc["out"])
 
 
+def masked_text(text: Column, spans: Column) -> Column:
+    """All text under the loss mask, read back from the formatted text at the mask's ranges."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "")
+
+
 def parse(text: Column) -> Column:
     """array<struct<role, text>>: the turns of a formatted text."""
     quoted = lambda s: "\\Q" + s + "\\E"

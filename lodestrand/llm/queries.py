@@ -27,8 +27,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     out = chat.format_conversations(turns.unionByName(probe))
-    out = out.select("conv_id", chat.formatted().alias("f"), chat.loss_text().alias("l"))
-    out = out.select("conv_id", "f", "l", chat.parse(F.col("f")).alias("turns"))
+    out = out.select("conv_id", chat.formatted().alias("f"), chat.loss_spans().alias("spans"))
+    out = out.select("conv_id", "f", chat.masked_text(F.col("f"), F.col("spans")).alias("l"), chat.parse(F.col("f")).alias("turns"))
     digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

@@ -156,6 +156,18 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_long(spark):
+    """A conversation of many turns and one of very long texts, with control strings and characters beyond the basic plane."""
+    many = [(1, i, ("user", "assistant", "assistant")[i % 3], f"turn {i} <|im_end|> \\ 🙂") for i in range(1500)]
+    long_ = [(2, 0, "user", "é" * 300_000), (2, 1, "assistant", "<|im_start|>🙂" * 30_000), (2, 2, "assistant", None)]
+    df = spark.createDataFrame(many + long_, "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(df).select("conv_id", chat.formatted().alias("f"), chat.loss_text().alias("l"), chat.loss_spans().alias("s"))
+    got = {r["conv_id"]: r for r in out.select("*", chat.parse(F.col("f")).alias("t"), chat.masked_text(F.col("f"), F.col("s")).alias("m")).collect()}
+    for conv, rows in ((1, many), (2, long_)):
+        assert [tuple(t) for t in got[conv]["t"]] == [(r[2], r[3] or "") for r in rows]
+        assert got[conv]["m"] == got[conv]["l"] == "".join(r[3] or "" for r in rows if r[2] == "assistant")
+
+
 def test_trigram_queries():
     by = {r.kind: secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES}
     assert by["hex"] == [] and by["access"] == [["aki", "kia"]] and ["ken", "oke", "tok"] in by["assign"] and ["_ke", "api", "i_k", "key", "pi_"] in by["assign"]
