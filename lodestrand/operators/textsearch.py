@@ -68,7 +68,11 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     """Tokenise ``docs`` once; the index is written under the shared folder."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/text_index_{uuid.uuid4().hex}"
-    toks = docs.select(key, tokens(F.col(text), **how).alias("_t")).withColumn("dl", F.size("_t"))
+    rows = docs.select(key, text)
+    # A table of fewer files than there are cores is spread first; a larger one is tokenised where it is read.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(key)
+    toks = rows.select(key, tokens(F.col(text), **how).alias("_t")).withColumn("dl", F.size("_t"))
     counts = toks.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
     bucket = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(BUCKETS)).cast("int")
     rows = counts.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
