@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import chat, decontaminate, exact, langid, lines, mixing, neardup, quality, secret_scan, substrings
+from lodestrand.llm import chat, decontaminate, exact, fim, langid, lines, mixing, neardup, negatives, quality, secret_scan, substrings, token_files
 from lodestrand.shipping import ship
 
 
@@ -234,6 +234,49 @@ WITH RECURSIVE {near_ctes("documents", 3, 85)}
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM near_set JOIN near_comp USING (doc_id)"""
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), token_files.new_folder(spark)
+    token_files.write_tokens(docs, path, str(public_tokenizers.path("word_bpe_49k.json")), end=2)
+    return token_files.token_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restore(fim.fim(read(spark, sf_dir, "documents").select("doc_id", "text"), seed=7, rate=100, spm_rate=50).drop("text"))
+    digest = lambda c: F.sha2(F.col(c), 256)
+    return out.select("doc_id", F.col("n_lines").alias("n"), "form", "prefix_chars", "middle_chars", digest("fim_text").alias("output_sha256"), digest("restored_text").alias("restored_sha256"))
+
+
+#: Lines are counted and cut by list functions; the text is taken back from the cuts, not from the output.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, list_transform([1, 9, 17, 25], lambda i: ('0x' || h[i:i + 7])::BIGINT) AS hs FROM d),
+c AS (SELECT *, len(ls) AS n, least(hs[1] % (len(ls) + 1), hs[2] % (len(ls) + 1)) AS a, greatest(hs[1] % (len(ls) + 1), hs[2] % (len(ls) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 100 THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(ls[1:a], '') AS pre, array_to_string(ls[a + 1:b], '') AS mid, array_to_string(ls[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90), scale=256)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (SELECT p.a, p.b AS pos, p.s AS ps, s.b, s.s, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s QUALIFY r <= 10)
+SELECT a AS anchor_id, pos AS positive_id, r::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM n"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -245,6 +288,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_fim": op12_fim,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
@@ -255,4 +301,6 @@ ORACLES: dict[str, str] = {
     "op7_mix_sources": OP7_SQL,
     "op8_secret_scan": _op8_sql(),
     "op10_near_dedup": OP10_SQL,
+    "op12_fim": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
