@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.arrays import cuts, sums_before
+
 #: Fixed values of the template.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
@@ -78,18 +80,14 @@ def loss_text(segments: str = "segments") -> Column:
 
 def loss_spans(segments: str = "segments") -> Column:
     """array<struct<start, end>>: the masked ranges of the formatted text in code points, end exclusive."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        to = acc["at"] + F.length(s["text"])
-        return F.struct(to.alias("at"), F.when(s["loss"], F.array_append(acc["out"], F.struct(acc["at"].alias("start"), to.alias("end")))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(segments, start, step, lambda acc: acc["out"])
+    size = F.transform(segments, lambda s: F.length(s["text"]))
+    placed = F.zip_with(segments, sums_before(size), lambda s, at: F.struct(s["loss"].alias("loss"), at.cast("int").alias("start"), (at + F.length(s["text"])).cast("int").alias("end")))
+    return F.transform(F.filter(placed, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
 
 def masked_text(text: Column, spans: Column) -> Column:
     """All text under the loss mask, read back from the formatted text at the mask's ranges."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(text, s["start"] + 1, s["end"] - s["start"]))), "")
+    return F.array_join(cuts(text, spans, lambda _, inside: unescape(inside)), "")
 
 
 def parse(text: Column) -> Column:

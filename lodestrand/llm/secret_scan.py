@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.llm.arrays import cuts, let, running_before, sums_before
 from lodestrand.llm.scratch import NO_ID, table, without
 
 _parser = re._parser  # the tree of a regular expression
@@ -153,15 +154,14 @@ def _spans(rule: Rule) -> Column:
     sizes = F.transform(hits, F.length)
     gaps = F.transform(F.split(F.col("_t"), rule.pattern, -1), F.length)
     held = F.transform(F.regexp_extract_all(F.col("_t"), pattern, F.lit(rule.group)), F.length) if rule.group else sizes
-    each = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(0))).alias("gap"), sizes.alias("len"), held.alias("held"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    each = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), sizes.alias("len"), held.alias("held"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + m["gap"]
-        span = F.struct(begin.alias("start"), (begin + m["len"]).alias("end"))
-        return F.struct((begin + m["len"]).alias("at"), F.when(m["held"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(m: Column) -> Column:
+        before = sums_before(F.transform(m, lambda x: x["gap"] + x["len"]))
+        spans = F.zip_with(m, before, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), (at + x["gap"] + x["len"]).cast("int").alias("end"), x["held"].alias("held")))
+        return F.transform(F.filter(spans, lambda s: s["held"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    return F.when(F.regexp_like("_t", pattern), F.aggregate(each, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return F.when(F.regexp_like("_t", pattern), let(each, placed)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def _labelled(rank: int, kind: str) -> Callable[[Column], Column]:
@@ -190,12 +190,10 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, index: DataFrame | No
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with each run of overlapping spans replaced by ``mask``; a null text stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], before, F.lit(mask))).alias("out"))
-
-    text = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2147483647))))
+    ends = F.transform("secrets", lambda s: s["end"])
+    spans = F.zip_with("secrets", running_before(ends, F.greatest), lambda s, at: F.struct(at.cast("int").alias("start"), s["start"].alias("end")))
+    # A span that begins before the greatest end so far belongs to the run before it.
+    between = F.filter(spans, lambda s: s["end"] >= s["start"])
+    tail = F.struct(F.coalesce(F.array_max(ends), F.lit(0)).alias("start"), F.length("text").alias("end"))
+    text = F.array_join(cuts(F.col("text"), F.concat(between, F.array(tail)), lambda _, inside: inside), mask)
     return scan(docs, rules).withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*without(docs, "secrets").columns)
