@@ -56,16 +56,16 @@ def plain_ids(texts, path=WORD_BPE, end=2):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\r\x0b\x0c\x1c\x85  'Ss.tΣİ<|>9é́"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=5))
-def test_words_are_encoded_as_in_their_text(texts):
+def test_runs_are_encoded_as_in_their_text(texts):
     ids, begin = encoder().encode(pa.array(texts, pa.string()))
     assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == plain_ids(texts)
 
 
-@pytest.mark.parametrize("path, words", [(WORD_BPE, True), (WORD_BPE, False), (BYTE_BPE, False)])
-def test_token_files(spark, tmp_path, parts_stay, path, words):
+@pytest.mark.parametrize("path, runs", [(WORD_BPE, True), (WORD_BPE, False), (BYTE_BPE, False)])
+def test_token_files(spark, tmp_path, parts_stay, path, runs):
     texts = ODD + [t for _, t, _ in random_docs(3, 40)]
     docs = spark.createDataFrame([(i * 7 - 20, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(5, F.rand(1))
-    token_files.write_tokens(docs, f"file://{tmp_path}/t", path, 2, words)
+    token_files.write_tokens(docs, f"file://{tmp_path}/t", path, 2, runs)
     want, start = {}, 0
     for i, ids in enumerate(plain_ids(texts, path)):
         want[i * 7 - 20] = (start, len(ids), ids)
