@@ -1,19 +1,20 @@
 """Text retrieval in DataFrames: tokens, BM25, a multi-clause relevance score, phrases, near terms, highlights.
 
 The score is this engine's own: BM25 with k1 = 1.2 and b = 0.75 over lower-cased letter and digit runs without stop
-words, and a sum of boosted clauses.  A corpus is tokenised once, into a kept index; queries read the postings of their
-terms from it.
+words, and a sum of boosted clauses.  A corpus is tokenised once, into a kept index of positional postings (and, if asked
+for, of runs of three characters); queries read the postings of their terms from it.
 """
 
 from __future__ import annotations
 
-import uuid
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrand.sources.sinks import shared_folder, staged
+from lodestrand.sources.sinks import new_folder, staged
 
 #: The default English stop words of common analyzers, and folded letters.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -21,7 +22,7 @@ ACCENTED = "àâäáãåçèéêëìíîïñòóôöõùúûüÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuy"
 
 #: Boosts of the clauses and the share of terms that the OR clause needs.
-BOOSTS = {"phrase": 8.0, "all": 5.0, "most": 3.0, "fuzzy": 2.0, "wildcard": 1.0}
+BOOSTS = {"phrase": 8.0, "all": 5.0, "most": 3.0, "fuzzy": 2.0, "ngram": 2.5, "wildcard": 1.0}
 SHARE = 0.6
 K1, B = 1.2, 0.75
 
@@ -39,48 +40,113 @@ def term_counts(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
     return toks.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
-#: Folders of postings, by hash of the term, and parts of a folder, by hash of the document, so that a frequent term is spread.
-BUCKETS, PARTS = 32, 4
+#: Bytes of text for one task of an index, the least and most folders of postings, and terms that are looked up by name.
+TASK_BYTES, LEAST_FOLDERS, MOST_FOLDERS, NAMED = 32 << 20, 32, 4096, 2000
 
 
 @dataclass(frozen=True)
-class TextIndex:
-    """A tokenised corpus: postings (term, key, tf, dl; in folders by hash of the term), vocabulary (term, df), size and mean length."""
+class Postings:
+    """Postings of one kind of term, in folders by hash of the term and sorted by term within; and the terms' document frequencies."""
 
-    postings: DataFrame
+    rows: DataFrame
     vocabulary: DataFrame
+    folders: int
     documents: int
     mean_length: float
 
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of some terms: only their folders, and in these only the terms' row groups, are read."""
-        found = sorted({bucket_of(t) for t in terms})
-        return self.postings.where(F.col("bucket").isin(found) & F.col("term").isin(terms)).drop("bucket")
+        found = sorted({zlib.crc32(t.encode()) % self.folders for t in terms})
+        return self.rows.where(F.col("folder").isin(found) & F.col("term").isin(terms)).drop("folder")
+
+    def joined(self, wanted: DataFrame) -> DataFrame:
+        """Postings of the terms in a written table, whose columns are added; by name, if they are few."""
+        few = wanted.select("term").distinct().limit(NAMED + 1).collect()
+        rows = self.of([r["term"] for r in few]) if len(few) <= NAMED else self.rows.drop("folder")
+        return rows.join(wanted, "term")
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """A tokenised corpus: ``words`` (term, key, tf, dl, positions; stop words too, which dl leaves out) and, if asked for, ``grams`` (term, key, tf, dl)."""
 
+    words: Postings
+    grams: Postings | None = None
 
-def bucket_of(term: str) -> int:
-    import zlib
+    @property
+    def vocabulary(self) -> DataFrame:
+        return self.words.vocabulary.where(~F.col("term").isin(STOP_WORDS))
 
-    return zlib.crc32(term.encode()) % BUCKETS
+    @property
+    def documents(self) -> int:
+        return self.words.documents
 
+    @property
+    def mean_length(self) -> float:
+        return self.words.mean_length
+
+    def of(self, terms: list[str]) -> DataFrame:
+        return self.words.of(terms)
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> TextIndex:
-    """Tokenise ``docs`` once; the index is written under the shared folder."""
+
+def _written(rows: DataFrame, folder: str, docs: DataFrame, grow: float, silent: tuple[str, ...] = (), documents: int | None = None) -> Postings:
+    """Postings (term, key, tf, dl, ...) written in as many folders and tasks as the corpus' size asks for.
+
+    ``silent`` terms don't count in the mean length.
+    """
+    spark = rows.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * grow
+    tasks = max(LEAST_FOLDERS, int(size // TASK_BYTES))
+    folders = min(tasks, MOST_FOLDERS)
+    # A frequent term's documents are spread over the tasks of its folder.
+    part = F.pmod(F.xxhash64(rows.columns[1]), F.lit(-(-tasks // folders)))
+    rows = rows.withColumn("folder", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(folders)).cast("int"))
+    rows.repartition(tasks, "folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/postings")
+    kept = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
+    kept.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
+    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
+    total = vocabulary.where(~F.col("term").isin(list(silent))).agg(F.sum("cf")).first()[0]
+    n = docs.count() if documents is None else documents
+    return Postings(kept, vocabulary.select("term", "df"), folders, n, (total or 0) / max(n, 1))
+
+
+def grams_of(text: Column, n: int = 3) -> Column:
+    """All runs of n characters of the text in lower case, spaces and marks included."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", grams: bool = False, **how) -> TextIndex:
+    """Tokenise ``docs`` (whose key is unique) once; the index is written under the shared folder.
+
+    ``grams`` adds postings of all runs of three characters.
+    """
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/text_index_{uuid.uuid4().hex}"
-    rows = docs.select(key, text)
-    # A table of fewer files than there are cores is spread first; a larger one is tokenised where it is read.
-    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
-        rows = rows.repartition(key)
-    toks = rows.select(key, tokens(F.col(text), **how).alias("_t")).withColumn("dl", F.size("_t"))
-    counts = toks.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    bucket = F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(BUCKETS)).cast("int")
-    rows = counts.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(key), F.lit(PARTS))).sortWithinPartitions("bucket", "term")
-    rows.write.partitionBy("bucket").parquet(f"{folder}/postings")
-    postings = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
-    n, total = docs.count(), postings.agg(F.sum("tf")).first()[0]
-    vocabulary = staged(postings.groupBy("term").agg(F.count("*").alias("df")))
-    return TextIndex(postings, vocabulary, n, (total or 0) / max(n, 1))
+    folder = new_folder(spark, "text_index")
+    # A document's terms are counted where it is, so that tokens aren't shuffled one by one.
+    rows = docs.select(key, text).repartition(key)
+    words = rows.select(key, tokens(F.col(text), **{**how, "stop": False}).alias("_t"))
+    said = F.filter("_t", lambda t: ~t.isin(STOP_WORDS)) if how.get("stop", True) else F.col("_t")
+    words = words.select(key, F.size(said).alias("dl"), F.posexplode("_t").alias("at", "term"))
+    words = words.groupBy("term", key, "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    posts = _written(words.select("term", key, F.size("positions").cast("long").alias("tf"), "dl", "positions"), f"{folder}/words", docs, 1.0, tuple(STOP_WORDS) if how.get("stop", True) else ())
+    if not grams:
+        return TextIndex(posts)
+    runs = rows.select(key, grams_of(F.col(text)).alias("_g")).select(key, F.size("_g").alias("dl"), F.explode("_g").alias("term"))
+    runs = runs.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
+    return TextIndex(posts, _written(runs, f"{folder}/grams", docs, 2.0, documents=posts.documents))
+
+
+def _scored(posts: Postings, asked: list[tuple[int, str]], key: str) -> DataFrame:
+    """query_id, key, score, matched, terms: BM25 over each query's terms, from their postings."""
+    spark = posts.rows.sparkSession
+    many = Counter(q for q, _ in asked)
+    given = spark.createDataFrame([(q, t, many[q]) for q, t in asked], "query_id long, term string, terms long")
+    wanted = sorted({t for _, t in asked})
+    # A row for each term of the stated queries.
+    given = given.join(posts.vocabulary.where(F.col("term").isin(wanted)), "term")
+    idf = F.log(1 + (posts.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(posts.mean_length)))
+    return posts.of(wanted).join(F.broadcast(given), "term").groupBy("query_id", key, "terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", index: TextIndex | None = None, **how) -> DataFrame:
@@ -90,16 +156,7 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     """
     index = build_index(docs, key, text, **how) if index is None else index
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query"), **how))).alias("term"))
-    asked = sorted({(r["query_id"], r["term"]) for r in terms.collect()})
-    many = {q: sum(1 for x, _ in asked if x == q) for q, _ in asked}
-    given = index.postings.sparkSession.createDataFrame([(q, t, many[q]) for q, t in asked], "query_id long, term string, terms long")
-    wanted = sorted({t for _, t in asked})
-    posts = index.of(wanted)
-    # A row for each term of the stated queries.
-    given = given.join(index.vocabulary.where(F.col("term").isin(wanted)), "term")
-    idf = F.log(1 + (index.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean_length)))
-    return posts.join(F.broadcast(given), "term").groupBy("query_id", key, "terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    return _scored(index.words, sorted({(r["query_id"], r["term"]) for r in terms.collect()}), key)
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
@@ -108,17 +165,33 @@ def has_phrase(text: Column, phrase: Column) -> Column:
     return (F.length(p) > 0) & F.coalesce(F.contains(F.lower(text), p), F.lit(False))
 
 
-def has_ngrams(text: Column, phrase: Column, n: int = 3) -> Column:
-    """Whether all n-grams of the phrase (as it is, if shorter) are in the text, in any case: what an n-gram field matches."""
-    low, p = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.trim(phrase))
-    last = F.greatest(F.lit(1), F.length(p) - n + 1)
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(p, i, F.lit(n)))
-    return (F.length(p) > 0) & F.forall(grams, lambda g: F.contains(low, g))
+def ngram_terms(queries: DataFrame) -> list[tuple[int, str]]:
+    """(query_id, gram) of the stated queries: the runs of three characters of what is asked for without spaces around."""
+    low = F.lower(F.trim("query"))
+    rows = queries.select("query_id", F.explode(F.array_distinct(grams_of(low))).alias("gram")).collect()
+    return sorted((r["query_id"], r["gram"]) for r in rows)
+
 
+def ngram_hits(index: TextIndex, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key: the documents that hold every run of three characters of a stated query; a shorter query has none.
+
+    A query's rarest gram gives the candidates; the postings of its other grams are counted for these only.
+    """
+    posts, asked = index.grams, ngram_terms(queries)
+    spark = posts.rows.sparkSession
+    given = spark.createDataFrame(asked, "query_id long, term string")
+    given = given.join(posts.vocabulary.where(F.col("term").isin([g for _, g in asked])), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy("df", "term")
+    given = staged(given.select("query_id", "term", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("query_id")).alias("need")))
+    found = posts.joined(given)
+    first = found.where("r = 1").select("query_id", key, "need")
+    rest = found.where("r > 1").select("query_id", key).join(first, ["query_id", key]).groupBy("query_id", key, "need").agg(F.count("*").alias("n")).where("n = need - 1")
+    return first.where("need = 1").select("query_id", key).unionByName(rest.select("query_id", key))
 
-def has_ngram_field(columns: list[str], text: str) -> bool:
-    """Whether an index has a column of n-grams beside the text; where it has none, containment is what runs."""
-    return f"{text}_ngram" in columns
+
+def has_ngram_field(index: TextIndex) -> bool:
+    """Whether an index has n-grams beside its words; where it has none, containment is what runs."""
+    return index.grams is not None
 
 
 def fuzziness(term: Column) -> Column:
@@ -138,19 +211,89 @@ def near_terms(vocabulary: DataFrame, terms: DataFrame, prefix: int = 1) -> Data
     return met.where(F.col("edits") <= fuzziness(F.col("wanted"))).select("wanted", "term", "edits")
 
 
-def phrase_hits(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """query_id, key: the documents that hold a query's text; the queries are a stated set, tried in one scan."""
-    phrases = queries.select("query_id", "query").orderBy("query_id").collect()
+def _pieces(queries: DataFrame, whole: bool) -> tuple[list[tuple[int, int, str, str]], list[int]]:
+    """(query_id, offset, how, token) of stated phrases, and the queries without tokens.
+
+    ``whole``: phrases of whole words, whose stop words only keep their places.  Otherwise a phrase may begin and end
+    inside a word: its first token ends one, its last begins one, and one that is alone is inside one.
+    """
+    out, bare = [], []
+    for r in queries.select("query_id", tokens(F.lower(F.trim("query")), stop=False).alias("t")).collect():
+        words = list(enumerate(r["t"]))
+        if whole:
+            words = [(i, w) for i, w in words if w not in STOP_WORDS]
+            out += [(r["query_id"], i, "is", w) for i, w in words]
+        elif len(words) == 1:
+            out.append((r["query_id"], 0, "inside", words[0][1]))
+        else:
+            out += [(r["query_id"], i, "ends" if i == 0 else "begins" if i == len(words) - 1 else "is", w) for i, w in words]
+        if not words:
+            bare.append(r["query_id"])
+    return out, bare
+
+
+def _at(index: TextIndex, pieces: list[tuple[int, int, str, str]], key: str) -> DataFrame:
+    """query_id, key, start: where the pieces of a query's phrase stand side by side, by a join of positions.
+
+    The piece with the fewest documents gives the places; the postings of the others are looked up for these only.
+    """
+    spark = index.words.rows.sparkSession
+    need = Counter(q for q, *_ in pieces)
+    term, vocabulary = F.col("term"), index.words.vocabulary
+    test = {"is": lambda w: term == w, "ends": lambda w: F.endswith(term, w), "begins": lambda w: F.startswith(term, w), "inside": lambda w: F.contains(term, w)}
+    if all(how == "is" for _, _, how, _ in pieces):
+        vocabulary = vocabulary.where(term.isin([w for *_, w in pieces]))
+    # All terms of the vocabulary that a piece can be, in one scan; pieces are those of the stated queries.
+    met = [F.when(test[how](F.lit(w)), F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(i).alias("off"), F.lit(need[q]).alias("need"))) for q, i, how, w in pieces]
+    if not met:
+        return spark.createDataFrame([], f"query_id long, {key} long, start int")
+    terms = staged(vocabulary.select("term", "df", F.explode(F.filter(F.array(*met), lambda x: x.isNotNull())).alias("x")).select("term", "df", "x.*"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "off"))
+    first = terms.groupBy("query_id", "off").agg(F.sum("df").alias("df")).withColumn("r", rank).where("r = 1").select("query_id", F.col("off").alias("lead"))
+    found = index.words.joined(staged(terms.join(first, "query_id").select("term", "query_id", "off", "need", "lead")))
+    start = found.where("off = lead").select("query_id", key, "need", F.explode(F.transform("positions", lambda p: p - F.col("off"))).alias("start")).distinct()
+    rest = found.where("off <> lead").select("query_id", key, "off", "positions").join(start, ["query_id", key]).where(F.array_contains("positions", F.col("start") + F.col("off")))
+    rest = rest.groupBy("query_id", key, "start", "need").agg(F.count_distinct("off").alias("n")).where("n = need - 1")
+    return start.where("need = 1").select("query_id", key, "start").unionByName(rest.select("query_id", key, "start"))
+
+
+def match_phrase(index: TextIndex, queries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key, freq: how often a document has a stated phrase's words side by side; from postings alone."""
+    return _at(index, _pieces(queries, True)[0], key).groupBy("query_id", key).agg(F.count_distinct("start").alias("freq"))
+
+
+def _contained(docs: DataFrame, phrases: list, key: str, text: str) -> DataFrame:
+    """query_id, key: containment of some stated phrases, tried in one scan."""
     met = F.filter(F.array(*[F.when(has_phrase(F.col(text), F.lit(r["query"])), F.lit(r["query_id"]).cast("long")) for r in phrases]), lambda q: q.isNotNull())
-    if not phrases:
-        return docs.select(F.lit(0).cast("long").alias("query_id"), key).limit(0)
     return docs.select(key, F.explode(met).alias("query_id")).select("query_id", key)
 
 
+def phrase_hits(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", index: TextIndex | None = None) -> DataFrame:
+    """query_id, key: the documents whose text contains a query, in any case; the queries are a stated set.
+
+    The positions of its words give candidates, whose texts are read to verify; few are read by key, so that other
+    row groups are passed over.  A phrase without words is tried on all texts.
+    """
+    index = build_index(docs, key, text) if index is None else index
+    asked = queries.where(F.length(F.trim("query")) > 0)
+    pieces, bare = _pieces(asked, False)
+    near = staged(_at(index, pieces, key).select("query_id", key).distinct())
+    few = near.select(key).distinct().limit(NAMED + 1).collect()
+    texts = docs.select(key, text)
+    if len(few) <= NAMED:
+        texts = texts.where(F.col(key).isin([r[key] for r in few]))
+    given = docs.sparkSession.createDataFrame([(r["query_id"], r["query"]) for r in asked.select("query_id", "query").collect()], "query_id long, query string")
+    out = near.join(given, "query_id").join(texts, key).where(has_phrase(F.col(text), F.col("query"))).select("query_id", key)
+    if bare:
+        out = out.unionByName(_contained(docs, asked.where(F.col("query_id").isin(bare)).collect(), key, text))
+    return out
+
+
 def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.1, index: TextIndex | None = None) -> DataFrame:
     """query_id, key, score: the sum of the boosted clauses that match, at least one of them, scores under least off.
 
-    phrase, all terms, most terms and near terms score BM25 times their boost; the wildcard scores its boost.
+    phrase, all terms, most terms and near terms score BM25 times their boost.  With an index that has n-grams, the
+    documents that hold all of a query's score their BM25 times a boost; without, containment scores its boost.
     """
     asked = queries.where(F.length(F.trim("query")) > 0)
     index = build_index(docs, key, text) if index is None else index
@@ -158,15 +301,19 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     boost = F.lit(0.0) + F.when(F.col("matched") == F.col("terms"), BOOSTS["all"]).otherwise(0.0)
     boost = boost + F.when(F.col("matched") >= F.greatest(F.lit(1), F.floor(F.col("terms") * SHARE)), BOOSTS["most"]).otherwise(0.0)
     exact = base.select("query_id", key, (F.col("score") * boost).alias("s"))
-    whole = staged(phrase_hits(docs, asked, key, text))
+    whole = staged(phrase_hits(docs, asked, key, text, index))
     phrase = base.join(whole, ["query_id", key], "left_semi").select("query_id", key, (F.col("score") * BOOSTS["phrase"]).alias("s"))
-    wild = whole.select("query_id", key, F.lit(BOOSTS["wildcard"]).alias("s"))
+    if has_ngram_field(index):
+        grams = _scored(index.grams, ngram_terms(asked), key).join(staged(ngram_hits(index, asked, key)), ["query_id", key], "left_semi")
+        part = grams.select("query_id", key, (F.col("score") * BOOSTS["ngram"]).alias("s"))
+    else:
+        part = whole.select("query_id", key, F.lit(BOOSTS["wildcard"]).alias("s"))
     words = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     # Each near term counts as the wanted one, less for its edits; the near terms come from the vocabulary.
     wide = staged(words.withColumnRenamed("term", "wanted").join(near_terms(index.vocabulary, words), "wanted").select("query_id", "wanted", "term", "edits"))
-    fuzzy = index.postings.join(wide, "term").groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s"))
+    fuzzy = index.words.joined(wide).groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s"))
     fuzzy = fuzzy.groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
-    every = exact.unionByName(phrase).unionByName(wild).unionByName(fuzzy)
+    every = exact.unionByName(phrase).unionByName(part).unionByName(fuzzy)
     return every.groupBy("query_id", key).agg(F.sum("s").alias("score")).where(F.col("score") >= least)
 
 

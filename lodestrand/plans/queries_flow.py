@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -14,7 +13,7 @@ from lodestrand.plans import domain as D
 from lodestrand.plans import queries_interval, queries_stream, retrieve
 from lodestrand.plans.registry import ORACLES, query
 from lodestrand.sources import readers
-from lodestrand.sources.sinks import shared_folder
+from lodestrand.sources.sinks import new_folder
 from lodestrand.streaming import flows
 
 
@@ -141,7 +140,7 @@ def smoothed_scores(t) -> DataFrame:
 @query(ORACLES["word_segments"])
 def stream_segments(t) -> DataFrame:
     """The words of all conversations as a stream through keyed state; the same segments as in batch."""
-    folder = f"{shared_folder(t.spark)}/words_{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "words")
     words = queries_interval.words(t).select(F.col("conv_id").cast("string").alias("vid"), F.col("ord").cast("long").alias("ord"), "text", F.col("start_time").alias("start"), F.col("end_time").alias("end"))
     ends = words.groupBy("vid").agg((F.max("ord") + 1).alias("ord"), F.max("end").alias("end")).select("vid", "ord", F.lit(None).cast("string").alias("text"), F.col("end").alias("start"), "end")
     every = words.unionByName(ends)

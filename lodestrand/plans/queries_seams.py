@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +9,10 @@ from lodestrand.functions import images, seams
 from lodestrand.operators import intervals, sequences, state
 from lodestrand.operators import textsearch as X
 from lodestrand.plans import evaluate, pipeline, queries_interval, queries_stream
+from lodestrand.plans.queries_text import index_of
 from lodestrand.plans.registry import ORACLES, query
 from lodestrand.sources import frames
-from lodestrand.sources.sinks import shared_folder
+from lodestrand.sources.sinks import new_folder
 from lodestrand.streaming import flows
 
 _ASKED = """q AS (SELECT lpad((p_partkey % 90)::VARCHAR, 3, '0') AS video_id, p_partkey AS k, chr(65 + (p_size % 4)::INT) AS answer, (p_size % 3 + 1)::VARCHAR AS level,
@@ -89,7 +88,7 @@ SELECT video_id, 'shots' AS stage, CASE WHEN k % 5 > 0 THEN 'done' ELSE 'failed'
 UNION ALL SELECT video_id, 'asr', 'done', 1 FROM v WHERE n <= 50""", longs="tries")
 def resumed_run(t) -> DataFrame:
     """Two runs over one log: one stage twice, its failures again, a later stage for the first fifty videos only."""
-    log = f"{shared_folder(t.spark)}/log_{uuid.uuid4().hex}"
+    log = new_folder(t.spark, "log")
     videos = t.part.select(F.lpad(F.col("p_partkey").cast("string"), 7, "0").alias("video_id"))
     bad = F.col("video_id").cast("long") % 5 == 0
     shots = lambda todo: todo.select("video_id", F.when(bad, "failed").otherwise("done").alias("status"), F.when(bad, "no frames").alias("error"))
@@ -134,7 +133,7 @@ def window_scores(t) -> DataFrame:
 @query(ORACLES["window_scores"])
 def stream_window_scores(t) -> DataFrame:
     """The same from a stream of frames, window by window as they are complete."""
-    folder = f"{shared_folder(t.spark)}/frames_{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "frames")
     s = queries_interval.series(t).select(F.col("user").cast("string").alias("vid"), F.col("i").cast("long").alias("frame"), F.col("p").alias("value"))
     ends = s.groupBy("vid").agg((F.max("frame") + 1).alias("frame")).withColumn("value", F.lit(None).cast("double"))
     every = s.unionByName(ends)
@@ -172,10 +171,9 @@ def frame_lookup(t) -> DataFrame:
 @query("""WITH p(query_id, q) AS (VALUES (1, 'license'), (2, 'tok'), (3, 'xqzt'))
 SELECT query_id, doc_id FROM documents, p WHERE list_bool_and(list_transform(range(1, length(q) - 1), lambda i: contains(lower(coalesce(text, '')), q[i:i + 2])))""", longs="query_id")
 def ngram_search(t) -> DataFrame:
-    """Documents that hold all trigrams of a phrase, as an n-gram field would match them."""
-    phrases = {1: " License ", 2: "tok", 3: "xqzt"}
-    met = F.filter(F.array(*[F.when(X.has_ngrams(F.col("text"), F.lit(p)), F.lit(i).cast("long")) for i, p in phrases.items()]), lambda i: i.isNotNull())
-    return t.documents.select("doc_id", F.explode(met).alias("query_id")).select("query_id", "doc_id")
+    """Documents that hold all trigrams of a phrase, from the index's n-grams."""
+    phrases = t.spark.createDataFrame([(1, " License "), (2, "tok"), (3, "xqzt")], "query_id long, query string")
+    return X.ngram_hits(index_of(t, grams=True), phrases)
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.plans.registry import query
-from lodestrand.sources.sinks import shared_folder
+from lodestrand.sources.sinks import new_folder
 from lodestrand.streaming import flows
 
 
 def _drained(t, df: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream that is run until nothing is left, kept in a shared table."""
-    base = f"{shared_folder(t.spark)}/stream_{uuid.uuid4().hex}"
+    base = new_folder(t.spark, "stream")
     if mode == "append":
         q = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -25,7 +24,7 @@ def _drained(t, df: DataFrame, mode: str) -> DataFrame:
 
 def _events(t) -> DataFrame:
     """The events as a folder of files that arrive one after the other."""
-    folder = f"{shared_folder(t.spark)}/arrivals_{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "arrivals")
     day = F.coalesce(F.dayofmonth("ts"), F.lit(0))
     for low, high in ((0, 8), (8, 15), (15, 22), (22, 32)):
         t.events.where((day >= low) & (day < high)).write.mode("append").parquet(folder)
@@ -49,7 +48,7 @@ def stream_sessions(t) -> DataFrame:
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
 def stream_ingest(t) -> DataFrame:
     """Arrivals appended batch by batch with one row a key, then the latest over all batches."""
-    base = f"{shared_folder(t.spark)}/ingest_{uuid.uuid4().hex}"
+    base = new_folder(t.spark, "ingest")
     flows.ingest(_events(t).select("user_id", "event_type", "event_id"), f"{base}/out", f"{base}/log", ["user_id", "event_type"], "event_id")
     got = t.spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
     return flows.latest_by_key(got, ["user_id", "event_type"], "event_id")

@@ -19,13 +19,13 @@ def asked(t) -> DataFrame:
 _indexes: dict[tuple, X.TextIndex] = {}
 
 
-def index_of(t) -> X.TextIndex:
+def index_of(t, grams: bool = False) -> X.TextIndex:
     """The index of the documents of a folder, built once for each state of the folder's table."""
     path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/documents.parquet")
     status = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    state = (t.spark.sparkContext.applicationId, t.sf_dir, status.getModificationTime(), status.getLen())
+    state = (t.spark.sparkContext.applicationId, t.sf_dir, status.getModificationTime(), status.getLen(), grams)
     if state not in _indexes:
-        _indexes[state] = X.build_index(t.documents)
+        _indexes[state] = X.build_index(t.documents, grams=grams)
     return _indexes[state]
 
 
@@ -55,7 +55,25 @@ PHRASES = [(1, " General Public License "), (2, "the that"), (3, "  ")]
 @query("""SELECT p.query_id, doc_id FROM documents JOIN (VALUES (1, 'general public license'), (2, 'the that')) p(query_id, q) ON contains(lower(text), q)""", longs="query_id")
 def phrase_search(t) -> DataFrame:
     p = t.spark.createDataFrame(PHRASES, "query_id long, query string")
-    return X.phrase_hits(t.documents, p)
+    return X.phrase_hits(t.documents, p, index=index_of(t))
+
+
+#: Phrases of whole words; the last has a word that no text has.
+WORD_PHRASES = [(1, "general public license"), (2, "Public-License"), (3, "the threing"), (4, "license"), (5, "und lichen und"), (6, "general xqzt")]
+_WORDS = ", ".join(f"({i}, '{q.lower()}')" for i, q in WORD_PHRASES)
+
+
+@query(f"""WITH raw AS (SELECT doc_id, regexp_extract_all(replace(translate(lower(coalesce(text, '')), '{X.ACCENTED}', '{X.PLAIN}'), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+pos AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS p FROM raw),
+qr AS (SELECT query_id, regexp_extract_all(q, '[\\p{{L}}\\p{{N}}]+') AS ws FROM (VALUES {_WORDS}) v(query_id, q)),
+qp AS (SELECT * FROM (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS o FROM qr) WHERE NOT list_contains({_STOP}, term)),
+need AS (SELECT query_id, count(*) AS need FROM qp GROUP BY query_id),
+run AS (SELECT query_id, doc_id, p - o AS s, count(DISTINCT o) AS c FROM qp JOIN pos USING (term) GROUP BY ALL)
+SELECT query_id::BIGINT AS query_id, doc_id, count(*) AS freq FROM run JOIN need USING (query_id) WHERE c = need GROUP BY ALL""")
+def match_phrase(t) -> DataFrame:
+    """How often documents have a phrase's words side by side, from the positions in the index."""
+    p = t.spark.createDataFrame(WORD_PHRASES, "query_id long, query string")
+    return X.match_phrase(index_of(t), p)
 
 
 @query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT term AS wanted FROM qt), v AS (SELECT DISTINCT term FROM tf),
@@ -83,6 +101,32 @@ def relevance_search(t) -> DataFrame:
     return limit_each(X.relevance(t.documents.select("doc_id", "text"), asked(t), index=index_of(t)).withColumn("score", F.round("score", 9)), 20, ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH {TOKENS}, w AS (SELECT DISTINCT term AS wanted FROM qt), v AS (SELECT DISTINCT term FROM tf),
+e AS (SELECT wanted, term, levenshtein(wanted, term) AS edits, CASE WHEN length(wanted) <= 2 THEN 0 WHEN length(wanted) <= 5 THEN 1 ELSE 2 END AS most FROM w JOIN v ON wanted[1] = term[1] AND abs(length(wanted) - length(term)) <= 2),
+nt AS (SELECT wanted, term, edits FROM e WHERE edits <= most),
+many AS (SELECT query_id, count(*) AS terms FROM qt GROUP BY query_id),
+ph AS (SELECT query_id, doc_id FROM documents JOIN qs ON contains(lower(text), lower(trim(query)))),
+low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+gr AS (SELECT doc_id, list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) AS gs FROM low),
+gf AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest(gs) AS g FROM gr) GROUP BY ALL),
+gst AS (SELECT count(*) AS n, avg(len(gs)) AS avgdl FROM gr),
+qg AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, length(q) - 1), lambda i: q[i:i + 2])) AS g FROM (SELECT query_id, lower(trim(query)) AS q FROM qs)),
+gneed AS (SELECT query_id, count(*) AS need FROM qg GROUP BY query_id),
+gb AS (SELECT query_id, doc_id, count(*) AS c, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(gs) / avgdl))) AS score
+  FROM qg JOIN gf USING (g) JOIN (SELECT g, count(*) AS df FROM gf GROUP BY g) USING (g) JOIN gr USING (doc_id), gst GROUP BY query_id, doc_id),
+cl AS (SELECT query_id, doc_id, score * (CASE WHEN matched = terms THEN 5 ELSE 0 END + CASE WHEN matched >= greatest(1, floor(terms * 0.6)) THEN 3 ELSE 0 END) AS s FROM bm JOIN many USING (query_id)
+  UNION ALL SELECT query_id, doc_id, score * 8 FROM bm SEMI JOIN ph USING (query_id, doc_id)
+  UNION ALL SELECT query_id, doc_id, score * 2.5 FROM gb JOIN gneed USING (query_id) WHERE c = need
+  UNION ALL SELECT query_id, doc_id, sum(s) * 2 FROM (SELECT query_id, doc_id, wanted, max(1.0::DOUBLE / (1 + edits)) AS s FROM qt JOIN nt ON qt.term = wanted JOIN tf ON tf.term = nt.term GROUP BY ALL) GROUP BY ALL)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, sum(s) AS score FROM cl GROUP BY ALL HAVING sum(s) >= 0.1)) WHERE rank <= 20""")
+def relevance_ngrams(t) -> DataFrame:
+    """All clauses over an index with n-grams, whose clause takes the wildcard's place."""
+    from lodestrand.operators.ranking import limit_each
+
+    found = X.relevance(t.documents.select("doc_id", "text"), asked(t), index=index_of(t, grams=True)).withColumn("score", F.round("score", 9))
+    return limit_each(found, 20, ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query()
 def highlight(t) -> DataFrame:
     marked = X.highlight(F.col("text"), ["license", "password", "token"])

@@ -17,9 +17,20 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this application under the shared one; ``purge`` removes them all."""
+    return f"{shared_folder(spark)}/lodestrand/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete what this application has written for itself; call it when all results have been read or written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lodestrand/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written once and read back, for results that several later steps read."""
-    path = f"{shared_folder(df.sparkSession)}/staged_{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "staged")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
