@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.sources.sinks import new_folder, staged
 
@@ -89,13 +93,12 @@ class TextIndex:
         return self.words.of(terms)
 
 
-def _written(rows: DataFrame, folder: str, docs: DataFrame, grow: float, silent: tuple[str, ...] = (), documents: int | None = None) -> Postings:
-    """Postings (term, key, tf, dl, ...) written in as many folders and tasks as the corpus' size asks for.
+def _written(rows: DataFrame, folder: str, size: int, documents: int, silent: tuple[str, ...] = ()) -> Postings:
+    """Postings (term, key, tf, dl, ...) written in as many folders and tasks as the corpus' ``size`` in bytes asks for.
 
     ``silent`` terms don't count in the mean length.
     """
     spark = rows.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * grow
     tasks = max(LEAST_FOLDERS, int(size // TASK_BYTES))
     folders = min(tasks, MOST_FOLDERS)
     # A frequent term's documents are spread over the tasks of its folder.
@@ -106,8 +109,30 @@ def _written(rows: DataFrame, folder: str, docs: DataFrame, grow: float, silent:
     kept.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
     vocabulary = spark.read.parquet(f"{folder}/vocabulary")
     total = vocabulary.where(~F.col("term").isin(list(silent))).agg(F.sum("cf")).first()[0]
-    n = docs.count() if documents is None else documents
-    return Postings(kept, vocabulary.select("term", "df"), folders, n, (total or 0) / max(n, 1))
+    return Postings(kept, vocabulary.select("term", "df"), folders, documents, (total or 0) / max(documents, 1))
+
+
+def _postings(rows: DataFrame, key: str, positions: bool = True) -> DataFrame:
+    """term, key, tf, dl, positions of rows (key, dl, terms): a document's terms are brought together in its batch, none is shuffled alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = batch["terms"]
+            size = np.asarray(terms.value_lengths()).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            coded = terms.flatten().dictionary_encode()
+            code = row * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            head = np.flatnonzero(np.diff(code[order], prepend=-1))
+            at = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order].astype(np.int32)
+            first, ends = order[head], np.append(head, len(order))
+            take = pa.array(row[first])
+            out = [coded.dictionary.take(coded.indices.take(pa.array(first))), batch[key].take(take), pa.array(np.diff(ends)), batch["dl"].take(take)]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at))] if positions else []
+            yield pa.record_batch(out + lists, names=["term", key, "tf", "dl", "positions"][: 4 + len(lists)])
+
+    kinds = [("term", T.StringType()), (key, rows.schema[key].dataType), ("tf", T.LongType()), ("dl", T.IntegerType()), ("positions", T.ArrayType(T.IntegerType()))]
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in kinds[: 5 if positions else 4]]))
 
 
 def grams_of(text: Column, n: int = 3) -> Column:
@@ -122,18 +147,19 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", grams:
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "text_index")
-    # A document's terms are counted where it is, so that tokens aren't shuffled one by one.
-    rows = docs.select(key, text).repartition(key)
-    words = rows.select(key, tokens(F.col(text), **{**how, "stop": False}).alias("_t"))
-    said = F.filter("_t", lambda t: ~t.isin(STOP_WORDS)) if how.get("stop", True) else F.col("_t")
-    words = words.select(key, F.size(said).alias("dl"), F.posexplode("_t").alias("at", "term"))
-    words = words.groupBy("term", key, "dl").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    posts = _written(words.select("term", key, F.size("positions").cast("long").alias("tf"), "dl", "positions"), f"{folder}/words", docs, 1.0, tuple(STOP_WORDS) if how.get("stop", True) else ())
+    rows = docs.select(key, text)
+    documents, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    # A table of fewer files than there are cores is spread first; a larger one is tokenised where it is read.
+    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(key)
+    words = rows.select(key, tokens(F.col(text), **{**how, "stop": False}).alias("terms"))
+    said = F.filter("terms", lambda t: ~t.isin(STOP_WORDS)) if how.get("stop", True) else F.col("terms")
+    words = _postings(words.select(key, F.size(said).alias("dl"), "terms"), key)
+    posts = _written(words, f"{folder}/words", size, documents, tuple(STOP_WORDS) if how.get("stop", True) else ())
     if not grams:
         return TextIndex(posts)
-    runs = rows.select(key, grams_of(F.col(text)).alias("_g")).select(key, F.size("_g").alias("dl"), F.explode("_g").alias("term"))
-    runs = runs.groupBy("term", key, "dl").agg(F.count("*").alias("tf")).select("term", key, "tf", "dl")
-    return TextIndex(posts, _written(runs, f"{folder}/grams", docs, 2.0, documents=posts.documents))
+    runs = rows.select(key, grams_of(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms")
+    return TextIndex(posts, _written(_postings(runs, key, positions=False), f"{folder}/grams", 2 * size, documents))
 
 
 def _scored(posts: Postings, asked: list[tuple[int, str]], key: str) -> DataFrame:

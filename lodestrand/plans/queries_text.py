@@ -106,8 +106,8 @@ e AS (SELECT wanted, term, levenshtein(wanted, term) AS edits, CASE WHEN length(
 nt AS (SELECT wanted, term, edits FROM e WHERE edits <= most),
 many AS (SELECT query_id, count(*) AS terms FROM qt GROUP BY query_id),
 ph AS (SELECT query_id, doc_id FROM documents JOIN qs ON contains(lower(text), lower(trim(query)))),
-low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-gr AS (SELECT doc_id, list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) AS gs FROM low),
+low AS (SELECT doc_id, string_split(lower(text), '') AS t FROM documents WHERE text <> '' UNION ALL SELECT doc_id, [] FROM documents WHERE coalesce(text, '') = ''),
+gr AS (SELECT doc_id, list_transform(range(1, len(t) - 1), lambda i: t[i] || t[i + 1] || t[i + 2]) AS gs FROM low),
 gf AS (SELECT doc_id, g, count(*) AS tf FROM (SELECT doc_id, unnest(gs) AS g FROM gr) GROUP BY ALL),
 gst AS (SELECT count(*) AS n, avg(len(gs)) AS avgdl FROM gr),
 qg AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, length(q) - 1), lambda i: q[i:i + 2])) AS g FROM (SELECT query_id, lower(trim(query)) AS q FROM qs)),
