@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors
-from lodestrand.operators import ranking, sequences
+from lodestrand.operators import ranking, sequences, vectorindex
 from lodestrand.plans import domain as D
 from lodestrand.plans.registry import query
 
@@ -192,3 +192,33 @@ def histogram_bins(t) -> DataFrame:
     """Histograms of each vector's entries, scaled to unit length, as of colours per frame."""
     b = t.embeddings.select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id", F.floor((F.col("x").cast("double") + 1) * 4).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     return b.select("vec_id", "bin", r6(F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("vec_id")))).alias("share"))
+
+
+_MANY = f"""WITH {D.POINTS}, sc AS (SELECT q.vec_id AS query_id, p.vec_id, p.video, list_dot_product(q.v, p.v) AS score FROM pts q, pts p WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc WHERE score >= {{least}}) WHERE rank <= {{k}}"""
+
+
+def many_queries(t) -> DataFrame:
+    """Every twentieth embedding asks."""
+    return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_MANY.format(least="0", k=50))
+def block_topk(t) -> DataFrame:
+    """Top-k of a large set of queries by a product of blocks."""
+    out = vectorindex.block_topk(t.embeddings, many_queries(t), "vec_id", "embedding", 50)
+    return out.select("query_id", "vec_id", "rank", r6("score").alias("score"))
+
+
+@query(_MANY.format(least="0", k=10))
+def indexed_topk(t) -> DataFrame:
+    """The same from an inverted-file index, which reads the cells that can matter to a query."""
+    index = vectorindex.build_index(t.embeddings, "vec_id", "embedding")
+    return vectorindex.search(index, many_queries(t), 10).select("query_id", "vec_id", "rank", r6("score").alias("score"))
+
+
+@query(_MANY.format(least="0.1 AND video IN (1, 3)", k=10))
+def indexed_topk_filtered(t) -> DataFrame:
+    """The same over the points of two videos."""
+    index = vectorindex.build_index(t.embeddings, "vec_id", "embedding")
+    return vectorindex.search(index, many_queries(t), 10, 0.1, "label in (1, 3)").select("query_id", "vec_id", "rank", r6("score").alias("score"))
