@@ -1,7 +1,9 @@
 """Joins on time: points in intervals, overlaps, nearest neighbours, merges, chunks.
 
-Interval joins bin time: intervals are spread over the bins that they touch, points fall in one, and the join is an
-equi-join on (key, bin) with the exact condition as a residual; pairs met in several bins are counted in one.
+Interval joins bin time on levels: the bins of a level are twice as long as those of the level below, and an interval is
+on the level whose bins are as long as itself, where it touches two at most.  Points fall into one bin of every level
+that has intervals, and a pair of intervals meets on the longer one's level.  The join is an equi-join on (key, level,
+bin) with the exact condition as a residual; pairs met in two bins are counted in one.
 """
 
 from __future__ import annotations
@@ -10,26 +12,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(low: Column, high: Column, width: float) -> Column:
+def _bins(low: Column, high: Column, width: float | Column) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
 
 
+def _level(low: Column, high: Column, width: float) -> Column:
+    """The level of an interval: bins of level 0 have the given width."""
+    return F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(F.nullif(high - low, F.lit(0.0)) / width)), F.lit(0))).cast("int")
+
+
+def _size(level: str, width: float) -> Column:
+    return F.lit(float(width)) * F.pow(F.lit(2.0), F.col(level))
+
+
+def _levels(*intervals: DataFrame) -> Column:
+    """The levels of intervals that have one, as an array: as many as doublings between the shortest and the longest."""
+    found = {r[0] for rows in intervals for r in rows.select("_own").distinct().collect()}
+    return F.array(*[F.lit(x) for x in sorted(found) or [0]])
+
+
 def points_in_intervals(intervals: DataFrame, points: DataFrame, on: list[str], start: str, end: str, at: str, width: float) -> DataFrame:
-    """Every interval with every point of the same key in it, both ends included."""
-    a = intervals.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(_bins(F.col(start), F.col(end), width)))
-    b = points.where(F.col(at).isNotNull()).withColumn("_bin", F.floor(F.col(at) / width))
-    return a.join(b, [*on, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_bin")
+    """Every interval with every point of the same key in it, both ends included; ``width`` is that of the shortest bins."""
+    low, high = F.col(start), F.col(end)
+    a = intervals.where(low <= high).withColumn("_own", _level(low, high, width))
+    levels = _levels(a)
+    a = a.withColumnRenamed("_own", "_level").withColumn("_bin", F.explode(_bins(low, high, _size("_level", width))))
+    b = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(levels)).withColumn("_bin", F.floor(F.col(at) / _size("_level", width)))
+    return a.join(b, [*on, "_level", "_bin"]).where((F.col(at) >= low) & (F.col(at) <= high)).drop("_level", "_bin")
 
 
 def overlaps(spans: DataFrame, segments: DataFrame, on: list[str], pad: float, width: float, span: tuple[str, str] = ("lo", "hi"), seg: tuple[str, str] = ("start", "end")) -> DataFrame:
     """Spans, widened by pad, with the segments they touch; one null bound borrows the other, two match nothing."""
     lo = F.coalesce(span[0], span[1]) - pad
     hi = F.coalesce(span[1], span[0]) + pad
-    a = spans.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_bin", F.explode(_bins(F.col("_lo"), F.col("_hi"), width)))
-    b = segments.where(F.col(seg[0]) <= F.col(seg[1])).withColumn("_bin", F.explode(_bins(F.col(seg[0]), F.col(seg[1]), width)))
+    a = spans.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_own", _level(F.col("_lo"), F.col("_hi"), width))
+    b = segments.where(F.col(seg[0]) <= F.col(seg[1])).withColumn("_own", _level(F.col(seg[0]), F.col(seg[1]), width))
+    levels = _levels(a, b)
+
+    def placed(rows: DataFrame, own: str, start: Column, end: Column) -> DataFrame:
+        """On its own level and those above it."""
+        rows = rows.withColumnRenamed("_own", own).withColumn("_level", F.explode(F.filter(levels, lambda x: x >= F.col(own))))
+        return rows.withColumn("_bin", F.explode(_bins(start, end, _size("_level", width))))
+
+    a, b = placed(a, "_la", F.col("_lo"), F.col("_hi")), placed(b, "_lb", F.col(seg[0]), F.col(seg[1]))
     touch = (F.col(seg[1]) >= F.col("_lo")) & (F.col(seg[0]) <= F.col("_hi"))
-    first = F.col("_bin") == F.greatest(F.floor(F.col("_lo") / width), F.floor(F.col(seg[0]) / width))
-    return a.join(b, [*on, "_bin"]).where(touch & first).drop("_bin", "_lo", "_hi")
+    size = _size("_level", width)
+    first = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_bin") == F.greatest(F.floor(F.col("_lo") / size), F.floor(F.col(seg[0]) / size)))
+    return a.join(b, [*on, "_level", "_bin"]).where(touch & first).drop("_level", "_bin", "_lo", "_hi", "_la", "_lb")
 
 
 def overlap_text(spans: DataFrame, segments: DataFrame, on: list[str], keys: list[str], order: list[str], text: str, pad: float = 1.5, width: float = 60.0, **names) -> DataFrame:

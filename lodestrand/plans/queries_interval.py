@@ -338,3 +338,28 @@ def ocr_join_basename(t) -> DataFrame:
 def ocr_status(t) -> DataFrame:
     ok = F.count_if(F.col("o_orderstatus") == "O")
     return t.orders.groupBy(F.col("o_orderpriority").alias("batch")).agg(F.count("*").alias("n_results"), ok.alias("n_ok"), ((F.count("*") > 0) & (ok == 0)).alias("failed"))
+
+
+#: Spans of a second to ten years, which an interval join has to take in one table.
+LONG = """iv AS (SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey * 37 % 100000)::DOUBLE * 1000 AS lo, (o_orderkey * 37 % 100000)::DOUBLE * 1000 + 10.0 ** (o_orderkey % 9) AS hi FROM orders),
+pt AS (SELECT l_orderkey AS k, l_linenumber AS n, o_custkey AS c, (l_partkey * 7919 % 100000)::DOUBLE * 1000 + l_linenumber * 0.25::DOUBLE AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def _long_spans(t) -> DataFrame:
+    lo = (F.col("o_orderkey") * 37 % 100000).cast("double") * 1000
+    return t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), lo.alias("lo"), (lo + F.pow(F.lit(10.0), F.col("o_orderkey") % 9)).alias("hi"))
+
+
+@query(f"WITH {LONG} SELECT iv.k AS span, pt.k AS line, n FROM iv JOIN pt ON iv.c = pt.c AND pos BETWEEN lo AND hi", longs="n")
+def points_in_long_spans(t) -> DataFrame:
+    """Points in intervals whose lengths differ by eight powers of ten."""
+    at = (F.col("l_partkey") * 7919 % 100000).cast("double") * 1000 + F.col("l_linenumber") * 0.25
+    points = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c")), "l_orderkey").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("n"), "c", at.alias("at"))
+    return intervals.points_in_intervals(_long_spans(t), points, ["c"], "lo", "hi", "at", 1.0).select(F.col("k").alias("span"), "line", "n")
+
+
+@query(f"WITH {LONG} SELECT a.k AS a, b.k AS b FROM iv a JOIN iv b ON a.c = b.c AND b.hi >= a.lo - 1.5 AND b.lo <= a.hi + 1.5")
+def overlapping_long_spans(t) -> DataFrame:
+    """Pairs of such intervals that touch."""
+    a = _long_spans(t).withColumnRenamed("k", "a")
+    return intervals.overlaps(a, _long_spans(t).select(F.col("k").alias("b"), "c", F.col("lo").alias("s"), F.col("hi").alias("e")), ["c"], 1.5, 1.0, seg=("s", "e")).select("a", "b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import vectors
-from lodestrand.operators import ranking, sequences, vectorindex
+from lodestrand.operators import bands, ranking, sequences, vectorindex
 from lodestrand.plans import domain as D
 from lodestrand.plans.registry import query
 
@@ -222,3 +222,13 @@ def indexed_topk_filtered(t) -> DataFrame:
     """The same over the points of two videos."""
     index = vectorindex.build_index(t.embeddings, "vec_id", "embedding")
     return vectorindex.search(index, many_queries(t), 10, 0.1, "label in (1, 3)").select("query_id", "vec_id", "rank", r6("score").alias("score"))
+
+
+@query(f"""WITH {D.POINTS}, n AS (SELECT vec_id, video, ts::BIGINT AS ts, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM pts)
+SELECT a.vec_id, o AS place, round(coalesce(list_dot_product(a.v, b.v), 0), 6) AS similarity
+FROM n a CROSS JOIN (SELECT unnest(range(101)) AS o) LEFT JOIN n b ON a.video = b.video AND b.ts = a.ts + o - 50""")
+def similarity_bands(t) -> DataFrame:
+    """Each point's 101 similarities to the points around it in its video, zeros beyond its ends."""
+    p = D.points(t).select("video", F.col("ts").cast("long").alias("n"), "vec_id", "embedding")
+    out = bands.self_similarity_bands(p, ["video"], "n", "embedding").join(p.select("video", "n", "vec_id"), ["video", "n"])
+    return out.select("vec_id", F.posexplode("band").alias("place", "similarity")).select("vec_id", "place", r6("similarity").alias("similarity"))
