@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators import scans
+from lodestrand.sources.sinks import staged
+
 
 def _bins(low: Column, high: Column, width: float | Column) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
@@ -97,8 +100,17 @@ def midpoint_pick(pairs: DataFrame, keys: list[str], start: str, end: str, at: s
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def merge_intervals(intervals: DataFrame, by: list[str], start: str, end: str, slack: float, ties: list[str]) -> DataFrame:
-    """``intervals`` with island (1..), merged where a start is within slack of the greatest end so far."""
+def merge_intervals(intervals: DataFrame, by: list[str], start: str, end: str, slack: float, ties: list[str], spread: bool = False) -> DataFrame:
+    """``intervals`` with island (1..), merged where a start is within slack of the greatest end so far.
+
+    ``spread`` deals a key's intervals over many tasks, for keys that hold a large share of all rows.
+    """
+    if spread:
+        order = [start, *ties]
+        found = scans.running_before(scans.ranged(intervals, by, order), by, order, "_far", F.col(end))
+        flagged = staged(found.withColumn("_f", F.when(F.col(start) <= F.col("_far") + slack, 0).otherwise(1)).drop("_far"))
+        out = scans.running_before(flagged, by, order, "_n", F.col("_f"), "sum")
+        return out.withColumn("island", F.coalesce("_n", F.lit(0)) + F.col("_f")).drop("_f", "_n", "_part")
     w = Window.partitionBy(*by).orderBy(start, *ties)
     so_far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col(start) <= so_far + slack, 0).otherwise(1)

@@ -9,38 +9,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators import scans
+from lodestrand.sources.sinks import staged
 
-def gap_sessions(rows: DataFrame, by: list[str], order: list[str], start: str, end: str, gap: float) -> DataFrame:
-    """``rows`` with session (1..): a new one when start is more than gap after the last row's end."""
+
+def gap_sessions(rows: DataFrame, by: list[str], order: list[str], start: str, end: str, gap: float, spread: bool = False) -> DataFrame:
+    """``rows`` with session (1..): a new one when start is more than gap after the last row's end.
+
+    ``spread`` deals a key's rows over many tasks, for keys that hold a large share of all rows.
+    """
+    if spread:
+        found = scans.previous(scans.ranged(rows, by, order), by, order, "_e", end)
+        flagged = staged(found.withColumn("_f", F.when(F.col(start) - F.col("_e") <= gap, 0).otherwise(1)).drop("_e"))
+        out = scans.running_before(flagged, by, order, "_n", F.col("_f"), "sum")
+        return out.withColumn("session", F.coalesce("_n", F.lit(0)) + F.col("_f")).drop("_f", "_n", "_part")
     w = Window.partitionBy(*by).orderBy(*order)
     fresh = F.when(F.col(start) - F.lag(end).over(w) <= gap, 0).otherwise(1)
     return rows.withColumn("_f", fresh).withColumn("session", F.sum("_f").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_f")
 
 
-def word_segments(words: DataFrame, by: list[str], ord_: str = "ord", gap: float = 0.6, longest: float = 15.0) -> DataFrame:
+def word_segments(words: DataFrame, by: list[str], ord_: str = "ord", gap: float = 0.6, longest: float = 15.0, spread: bool = False) -> DataFrame:
     """by, seg_no, text, start, end: words in file order, cut at gaps and where a segment would grow too long.
 
     The last end is the last word's (not the greatest); a null end is the start, a null start 0; blank words go.
+    Gaps cut a file into runs that don't depend on each other; each is streamed on its own, and a segment's number is
+    the sum of the runs' before it.  ``spread`` is for files that hold a large share of all words.
     """
     clean = words.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    begin = F.coalesce("start_time", F.lit(0.0))
-    word = F.struct(F.col(ord_).alias("o"), F.trim("text").alias("t"), begin.alias("s"), F.coalesce("end_time", begin).alias("e"))
-    grouped = clean.groupBy(*by).agg(F.sort_array(F.collect_list(word)).alias("_w"))
-    seg = "array<struct<first:int,start:double,end:double>>"
-    zero = F.struct(F.lit(0).alias("i"), F.array().cast(seg).alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.get(acc["out"], F.size(acc["out"]) - 1)
-        fresh = (F.size(acc["out"]) == 0) | (w["s"] - last["end"] > gap) | (w["e"] - last["start"] > longest)
-        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), last["start"].alias("start"), w["e"].alias("end"))))
-        opened = F.concat(acc["out"], F.array(F.struct(acc["i"].alias("first"), w["s"].alias("start"), w["e"].alias("end"))))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(fresh, opened).otherwise(grown).alias("out"))
-
-    segs = grouped.withColumn("_s", F.aggregate("_w", zero, step, lambda acc: acc["out"]))
-    out = segs.select(*by, "_w", "_s", F.posexplode("_s").alias("seg_no", "seg"))
-    until = F.coalesce(F.get("_s", F.col("seg_no") + 1)["first"], F.size("_w"))
-    text = F.array_join(F.transform(F.slice("_w", F.col("seg.first") + 1, until - F.col("seg.first")), lambda w: w["t"]), " ")
-    return out.select(*by, (F.col("seg_no") + 1).alias("seg_no"), text.alias("text"), F.col("seg.start").alias("start"), F.col("seg.end").alias("end"))
+    begin = F.coalesce("start_time", F.lit(0.0)).cast("double")
+    order = ["_o", "text", "start", "end"]
+    clean = clean.select(*by, F.col(ord_).alias("_o"), F.trim("text").alias("text"), begin.alias("start"), F.coalesce(F.col("end_time").cast("double"), begin).alias("end"))
+    runs = gap_sessions(clean, by, order, "start", "end", gap, spread).withColumnRenamed("session", "_run")
+    fresh = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order)) == 1
+    segs = staged(scans.cut_runs(runs.withColumn("fresh", fresh), by, order, longest))
+    many = segs.groupBy(*by, "_run").agg(F.count("*").alias("_many"))
+    before = F.coalesce(F.sum("_many").over(Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if spread:
+        counted = scans.running_before(scans.ranged(many, by, ["_run"]), by, ["_run"], "_before", F.col("_many"), "sum").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    else:
+        counted = many.withColumn("_before", before)
+    on = F.col("_run") == F.col("_r")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    counted = counted.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_run").alias("_r"), "_before")
+    return segs.join(counted, on).select(*by, (F.col("_before") + F.col("_number") + 1).cast("int").alias("seg_no"), "text", "start", "end")
 
 
 def shots_from_scores(scores: DataFrame, by: list[str], frame: str, p: str, fps: Column, threshold: float = 0.5) -> DataFrame:

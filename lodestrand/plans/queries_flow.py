@@ -148,3 +148,21 @@ def stream_segments(t) -> DataFrame:
         every.where((F.col("ord") >= low) & (F.col("ord") < high)).repartition("vid").write.mode("append").parquet(folder)
     out = queries_stream._drained(t, flows.capped_segments(flows.read_stream(t.spark, folder, every.schema)), "append")
     return out.select(F.col("vid").cast("long").alias("conv_id"), "seg_no", "text", "start", "end")
+
+
+@query(ORACLES["word_segments"])
+def word_segments_spread(t) -> DataFrame:
+    """Word segments with a conversation's words dealt over many tasks."""
+    return sequences.word_segments(queries_interval.words(t), ["conv_id"], spread=True)
+
+
+@query(ORACLES["interval_merge"])
+def interval_merge_spread(t) -> DataFrame:
+    """Merged intervals with a key's intervals dealt over many tasks."""
+    return queries_interval.islands(t, spread=True)
+
+
+@query(ORACLES["gap_segments"])
+def gap_segments_spread(t) -> DataFrame:
+    """Sessions by gaps with a key's rows dealt over many tasks."""
+    return queries_interval.sessions(t, spread=True)

@@ -81,7 +81,11 @@ def midpoint_frame(t) -> DataFrame:
 g AS (SELECT *, sum(f) OVER (PARTITION BY "user" ORDER BY lo, seg_id ROWS UNBOUNDED PRECEDING) AS island FROM f)
 SELECT "user", island::BIGINT AS island, count(*) AS n, round(min(lo), 3) AS lo, round(max(hi), 3) AS hi, string_agg(seg_id::VARCHAR, ',' ORDER BY lo, seg_id) AS members FROM g GROUP BY ALL""")
 def interval_merge(t) -> DataFrame:
-    m = intervals.merge_intervals(segments(t), ["user"], "lo", "hi", 3600.0, ["seg_id"])
+    return islands(t)
+
+
+def islands(t, spread: bool = False) -> DataFrame:
+    m = intervals.merge_intervals(segments(t), ["user"], "lo", "hi", 3600.0, ["seg_id"], spread)
     ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lo", "seg_id"))), lambda x: x["seg_id"].cast("string")), ",")
     return m.groupBy("user", "island").agg(F.count("*").alias("n"), F.round(F.min("lo"), 3).alias("lo"), F.round(F.max("hi"), 3).alias("hi"), ids.alias("members"))
 
@@ -146,8 +150,12 @@ def keyframe_positions(t) -> DataFrame:
 s AS (SELECT *, sum(f) OVER (PARTITION BY "user" ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
 SELECT "user", session::BIGINT AS session, count(*) AS n, round(min(sec), 3) AS first_at, round(max(sec), 3) AS last_at FROM s GROUP BY ALL""")
 def gap_segments(t) -> DataFrame:
+    return sessions(t)
+
+
+def sessions(t, spread: bool = False) -> DataFrame:
     e = D.events(t).withColumn("till", F.col("at") + F.col("value"))
-    s = sequences.gap_sessions(e, ["user"], ["at", "event_id"], "at", "till", 20000.0)
+    s = sequences.gap_sessions(e, ["user"], ["at", "event_id"], "at", "till", 20000.0, spread)
     return s.groupBy("user", "session").agg(F.count("*").alias("n"), F.round(F.min("at"), 3).alias("first_at"), F.round(F.max("at"), 3).alias("last_at"))
 
 
