@@ -13,7 +13,9 @@ rounded to multiples of 1 / period first, by largest remainders and at least one
 rounded weights, which are less than 1 / period off.
 
 The schedule is a small table, whatever the input; every document finds its slot from its rank in its source: rank
-by (source, first two digits of the hash) and an offset for each such group, so that no source is ranked in one task.
+by (source, first digits of the hash) and an offset for each such group.  There are as many digits as keep a group near
+``GROUP`` documents, so that no source is ranked in one task; what is ranked are ids and hashes, to which the rows are
+joined afterwards.
 
 All documents keep their row.  When a source has run out, its later slots stay empty and the others go on at their
 own rates; ``in_mix`` marks the documents before the first such slot, to which the guarantee applies.
@@ -32,13 +34,14 @@ from math import gcd, lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestrand.llm.scratch import table, without
 
 ADDED = ("mix_block", "mix_slot", "mix_place", "in_mix")
 #: What is broadcast has a row for each source and each slot of a period.
 MAX_SOURCES = 1 << 14
+#: Documents of a group that is ranked in one task, at most about.
+GROUP = 1 << 22
 _KEY = 1 << 20
 _CHUNK = 256
 
@@ -108,8 +111,9 @@ def schedule(quota: DataFrame) -> DataFrame:
 
 
 def _tie(docs: DataFrame) -> Column:
-    plain = [docs[f"`{f.name}`"] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.xxhash64(*plain)
+    """A hash of a row's columns; those that can't be hashed are taken as JSON."""
+    hashed = lambda f: "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()
+    return F.xxhash64(*[docs[f"`{f.name}`"] if hashed(f) else F.to_json(docs[f"`{f.name}`"]) for f in docs.schema.fields])
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 2.0, block: int = 64, period: int = 1 << 16) -> DataFrame:
@@ -117,8 +121,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     docs = without(docs, *ADDED)
     names = docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.col("source").alias("src"), _tie(docs).alias("t"), F.col("doc_id").alias("d"))
-    rows = rows.withColumn("h", F.md5(F.coalesce(F.col("d"), F.col("t")).cast("string"))).withColumn("g", F.substring("h", 1, 2))
-    groups = table(rows.groupBy("src", "g").agg(F.count("*").alias("n")), "mix_groups")
+    many, digits = docs.count(), 2
+    while many >> 4 * digits > GROUP:
+        digits += 1
+    # Equal rows are one key with their number.
+    keys = rows.groupBy("src", "d", "t").agg(F.count("*").alias("m")).withColumn("h", F.md5(F.coalesce(F.col("d"), F.col("t")).cast("string")))
+    keys = table(keys.withColumn("g", F.substring("h", 1, digits)), "mix_keys")
+    groups = table(keys.groupBy("src", "g").agg(F.sum("m").alias("n")), "mix_groups")
     before = Window.partitionBy("src").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", "g", "before")
     counts = groups.groupBy("src").agg(F.sum("n").alias("n"))
@@ -130,11 +139,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     ends = plan.withColumn("blocks", F.ceil(F.col("n") / F.lit(block))).join(slots, (plan["i"] == slots["i"]) & (F.col("blocks") % F.col("q") == F.col("k")))
     end, total = ends.agg(F.min(F.expr("(blocks div q) * total + s")), F.max("total")).first()
     named = lambda df: df.select(F.col("src").alias("src2"), *[c for c in df.columns if c != "src"])
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("src", "g").orderBy("h", "d", "t")))
-    # 256 rows for each source at most, as many sources as are allowed.
+    earlier = Window.partitionBy("src", "g").orderBy("h", "d", "t").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = keys.withColumn("r", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
     o = named(offsets).withColumnRenamed("g", "g2")
-    ranked = ranked.join(o, F.col("src").eqNullSafe(F.col("src2")) & (F.col("g") == F.col("g2"))).drop("src2", "g2")
-    ranked = ranked.withColumn("r", F.col("r") - 1 + F.col("before")).withColumn("b", F.expr(f"r div {block}"))
+    ranked = ranked.join(o, F.col("src").eqNullSafe(F.col("src2")) & (F.col("g") == F.col("g2"))).withColumn("r", F.col("r") + F.col("before"))
+    # Written, so that the join has exchanges on both sides and the rows of a frequent key can be split.
+    ranked = table(ranked.select("src", "d", "t", "m", "r"), "mix_ranks")
+    same = lambda a, b: a["t"].eqNullSafe(b["t"]) & a["d"].eqNullSafe(b["d"]) & a["src"].eqNullSafe(b["src"])
+    once, often = ranked.where("m = 1"), ranked.where("m > 1")
+    placed = rows.join(once, same(rows, once)).select("_row", once["src"], once["r"])
+    if not often.isEmpty():
+        # Equal rows are told apart by their number alone, so one of them stands for all.
+        one = rows.join(often, same(rows, often)).groupBy(often["src"], often["d"], often["t"], often["m"], often["r"]).agg(F.first("_row").alias("_row"))
+        placed = placed.unionByName(one.select("_row", "src", F.explode(F.sequence(F.col("r"), F.col("r") + F.col("m") - 1)).alias("r")))
+    ranked = placed.withColumn("b", F.expr(f"r div {block}"))
     # A row for each source, and one for each slot of a period: bounded by MAX_SOURCES and the period.
     ranked = ranked.join(F.broadcast(named(plan.select("src", "i", "q"))), F.col("src").eqNullSafe(F.col("src2")), "left")
     ranked = ranked.withColumn("k", F.col("b") % F.col("q")).join(F.broadcast(slots), ["i", "k"], "left")

@@ -8,7 +8,8 @@ registers, 32 apart, make a band, and every register is in one band, so that wit
 some of the 32 bands with probability of about 1 - (1 - s**4)**32 (0.85: 1 - 6e-11; 0.8: 1 - 5e-8); README has
 misses measured by size of set.
 
-Documents with equal sets become one class, so copies are never paired.  Then
+Documents with equal sets become one class, so copies are never paired; a class whose set is so small that no other
+set can be similar enough is paired with none.  Then
   1. in each band's bucket every class is paired with the bucket's first class,
   2. pairs whose collision-corrected estimate of similarity is too low by five standard deviations go,
   3. the others are verified on their full sets, and the links' components are found,
@@ -229,7 +230,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sketches = table(texts.mapInArrow(_sketch(k), "d long, f long, n long, s1 long, s2 long, regs binary"), "sketches")
     classes = sketches.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("d", "f")).alias("r"), F.max("regs").alias("regs"))
     classes = table(classes.select(F.monotonically_increasing_id().alias("id"), "n", "s1", "s2", F.col("r.d").alias("rd"), F.col("r.f").alias("rf"), "regs"), "classes")
-    bands = classes.select("id", "regs").mapInArrow(_bands, "band long, id long")
+    # A set of n shingles shares n with another at most, of n + 1 in both: too few, if n is small, to be linked.
+    bands = classes.where(100 * F.col("n") >= percent * (F.col("n") + 1)).select("id", "regs").mapInArrow(_bands, "band long, id long")
     # Written (as are other aggregates below), so that both sides of the join have exchanges that can be split.
     buckets = table(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = table(bands.join(buckets, "band"), "members")

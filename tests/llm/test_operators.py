@@ -555,3 +555,42 @@ def test_running_sums(spark, n):
     v = [(i * 7919) % 13 for i in range(n)]
     row = spark.createDataFrame([(v,)], "v array<int>").select(arrays.sums_before(F.col("v")).alias("s"), arrays.running_before(F.col("v"), F.greatest).alias("m")).first()
     assert row["s"] == [0, *itertools.accumulate(v)][:n] and row["m"] == [0, *itertools.accumulate(v, max)][:n]
+
+
+def test_mix_of_rows_that_repeat(spark):
+    """A third of all rows are one row; rows that differ in a map only keep their maps; ranks are whole and adjacent."""
+    rows = [(i if i % 3 else 9, f"t{i}" if i % 3 else "same", "a" if i % 2 or not i % 3 else "b", {"k": i % 5} if i % 3 == 1 else None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string, int>").repartition(4)
+    out = mixing.mix(docs, block=8)
+    got = sorted((r["doc_id"], r["text"], r["source"], str(r["m"])) for r in out.collect())
+    assert got == sorted((i, t, s, str(m)) for i, t, s, m in rows)
+    ranks = {s: sorted(r["mix_block"] * 8 + r["mix_place"] for r in out.where(F.col("source") == s).collect()) for s in ("a", "b")}
+    assert all(v == list(range(len(v))) for v in ranks.values())
+    nine = sorted(r["mix_block"] * 8 + r["mix_place"] for r in out.where("text = 'same'").collect())
+    assert nine == list(range(nine[0], nine[0] + 300))
+    wide = spark.createDataFrame([(1, "x", "a", {"k": 1}), (1, "x", "a", {"k": 2}), (1, "x", "a", {"k": 1})], "doc_id long, text string, source string, m map<string, int>")
+    assert sorted(str(r["m"]) for r in mixing.mix(wide).collect()) == ["{'k': 1}", "{'k': 1}", "{'k': 2}"]
+
+
+def test_mix_ranks_hold_no_texts(spark):
+    """Windows run over ids and hashes; rows are joined to their ranks afterwards."""
+    docs = spark.createDataFrame([(i, "text", "a", 1) for i in range(50)], "doc_id long, text string, source string, other long")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_many_short_texts_that_share_a_phrase(spark):
+    """40,000 texts of four words: no two of their sets can be linked, so none meet."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("please read this "), F.col("id").cast("string")).alias("text"))
+    began = time.perf_counter()
+    for k, percent in ((3, 85), (5, 80)):
+        assert neardup.near_duplicates(docs, k, percent).where("kept").count() == 40_000
+    assert time.perf_counter() - began < 90
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_short_sets_at_the_threshold(spark, percent):
+    """Sets of n words with all but one of another's: linked from the least n that allows it on."""
+    rows = [(10 * n + j, " ".join(f"w{n}x{i}" for i in range(n + 2 + j))) for n in range(1, 12) for j in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()}
+    assert got == {10 * n + j: 10 * n if 100 * n >= percent * (n + 1) else 10 * n + j for n in range(1, 12) for j in (0, 1)}
