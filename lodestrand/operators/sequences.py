@@ -6,8 +6,13 @@ are one video's, one shot's or one query's rows, bounded by what the operator re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.operators import scans
 from lodestrand.sources.sinks import staged
@@ -165,37 +170,72 @@ def uniform_frames(total: Column, n: int) -> Column:
 
 
 def semantic_chunks(segments: DataFrame, by: str, target: int = 200, similarity: float = 0.6, longest: float = 120.0, shortest: float = 30.0) -> DataFrame:
-    """by, chunk, text, start, end, words, segments: cut where the chunk is long or the next segment is about something else.
+    """by, chunk, text, start, end, words, segments, embedding (the mean of its segments'): cut where the chunk is long or the next segment is about something else.
 
-    Input rows have by, start, end, text, embedding.  A chunk ends before a segment that would bring it over 1.5 times
-    the target words or the longest time, or whose product with the chunk's mean embedding is under the similarity;
-    but not before it has half the target words or the shortest time.  One group is one file's segments.
+    Input rows have by, start, end, text, embedding; blank ones go.  A chunk ends before a segment that would bring it
+    over 1.5 times the target words or the longest time (of its segments together), or whose product with the chunk's
+    mean embedding is under the similarity; but not before it has half the target words or the shortest time.  A file's
+    segments are streamed in order, with running sums of the open chunk; a missing embedding is one of zeros.
     """
-    import numpy as np
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], []
-
-        def close() -> None:
-            if held:
-                out.append((rows[by].iloc[0], len(out), " ".join(h.text for h in held), held[0].start, held[-1].end, sum(len(h.text.split()) for h in held), len(held)))
-
-        for r in rows.sort_values(["start", "end"]).itertuples():
-            if held:
-                words = sum(len(h.text.split()) for h in held)
-                span = held[-1].end - held[0].start
-                mean = np.mean([np.asarray(h.embedding, float) for h in held], 0)
-                over = words + len(r.text.split()) > 1.5 * target or r.end - held[0].start > longest or float(mean @ np.asarray(r.embedding, float)) < similarity
-                if over and (words >= target / 2 or span >= shortest):
-                    close()
-                    held = []
-            held.append(r)
-        close()
-        return pd.DataFrame(out, columns=[by, "chunk", "text", "start", "end", "words", "segments"])
-
-    kind = dict(segments.dtypes)[by]
-    return segments.select(by, "start", "end", "text", "embedding").groupBy(by).applyInPandas(run, f"{by} {kind}, chunk long, text string, start double, end double, words long, segments long")
+    order = ["start", "end", "text"]
+    clean = segments.where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    rows = clean.select(by, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.trim("text").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"))
+    fresh = F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1
+    rows = rows.select(by, "start", "end", "text", words.cast("long").alias("words"), "embedding", fresh.alias("fresh")).sortWithinPartitions(by, *order)
+    schema = T.StructType([rows.schema[by], *[T.StructField(c, t) for c, t in (("chunk", T.LongType()), ("text", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("words", T.LongType()), ("segments", T.LongType()), ("embedding", T.ArrayType(T.DoubleType())))]])
+    return rows.mapInArrow(_chunked(target, similarity, longest, shortest), schema)
+
+
+class _Chunk:
+    """The open chunk: its file (an array of one row), number, texts, times and running sums."""
+
+    def __init__(self, key: pa.Array, number: int):
+        self.key, self.number, self.texts, self.words, self.spoken, self.sum = key, number, [], 0, 0.0, None
+
+    def add(self, text: str, start: float, end: float, words: int, vector: np.ndarray) -> None:
+        if not self.texts:
+            self.start, self.sum = start, vector.copy()
+        else:
+            self.sum += vector
+        self.texts.append(text)
+        self.end, self.words, self.spoken = end, self.words + words, self.spoken + (end - start)
+
+
+def _chunked(target: int, similarity: float, longest: float, shortest: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = None, []
+
+        def out(done: list[_Chunk]) -> pa.RecordBatch:
+            of = lambda f, kind: pa.array([f(c) for c in done], kind)
+            columns = [of(lambda c: c.number, pa.int64()), of(lambda c: " ".join(c.texts), pa.string()), of(lambda c: c.start, pa.float64()), of(lambda c: c.end, pa.float64())]
+            columns += [of(lambda c: c.words, pa.int64()), of(lambda c: len(c.texts), pa.int64()), of(lambda c: (c.sum / len(c.texts)).tolist(), pa.list_(pa.float64()))]
+            return pa.record_batch([pa.concat_arrays([c.key for c in done]), *columns], names=[names[0], "chunk", "text", "start", "end", "words", "segments", "embedding"])
+
+        for batch in batches:
+            names, done = batch.schema.names, []
+            start, end, words, fresh = (batch[c].to_numpy(zero_copy_only=False) for c in ("start", "end", "words", "fresh"))
+            text, lists = batch["text"].to_pylist(), batch["embedding"]
+            values, at = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+            known = np.asarray(lists.is_valid())
+            dims = int(np.max(np.diff(at), initial=0)) or (0 if held is None else len(held.sum))
+            for i in range(batch.num_rows):
+                vector = values[at[i] : at[i + 1]] if known[i] else np.zeros(dims)
+                if held is not None and not fresh[i]:
+                    over = held.words + words[i] > 1.5 * target or held.spoken + (end[i] - start[i]) > longest or float(held.sum @ vector) / len(held.texts) < similarity
+                    if over and (held.words >= target / 2 or held.spoken >= shortest):
+                        done.append(held)
+                        held = _Chunk(batch.column(0).slice(i, 1), held.number + 1)
+                else:
+                    done += [held] if held is not None else []
+                    held = _Chunk(batch.column(0).slice(i, 1), 0)
+                held.add(text[i], float(start[i]), float(end[i]), int(words[i]), vector)
+            if done:
+                yield out(done)
+        if held is not None:
+            yield out([held])
+
+    return run
 
 
 def sliding_scores(frames: DataFrame, by: str, frame: str, value: str, score, length: int = 100, stride: int = 50, context: int = 25) -> DataFrame:

@@ -120,6 +120,39 @@ def semantic_chunks(t) -> DataFrame:
     return sequences.semantic_chunks(rows.withColumn("embedding", embed("text")), "conv_id", 60, 0.3, 120.0, 2.0).select("conv_id", "chunk", "start", "end", "words", "segments")
 
 
+_LETTERS = "abcdefgh"
+_COUNTS = "[" + ", ".join(f"length(s) - length(replace(s, '{c}', ''))" for c in _LETTERS) + "]"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT conv_id, turn * 9.0::DOUBLE AS s, turn * 9.0::DOUBLE + 7.5 AS e, trim(text) AS text, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS ws
+  FROM conversations WHERE length(trim(coalesce(text, ''))) > 0),
+win AS (SELECT *, list_transform(range(0, 1 + greatest(ceil((len(ws) - 64) / 48), 0)::BIGINT), lambda i: array_to_string(ws[i * 48 + 1:i * 48 + 64], ' ')) AS win FROM w),
+cnt AS (SELECT *, list_transform(win, lambda s: {_COUNTS}::DOUBLE[]) AS cs FROM win),
+unit AS (SELECT *, list_transform(cs, lambda c: list_transform(c, lambda x: x / greatest(sqrt(list_dot_product(c, c)), 1e-8))) AS us FROM cnt),
+mean AS (SELECT *, list_transform(range(1, 9), lambda i: list_sum(list_transform(us, lambda u: u[i])) / len(us)) AS m FROM unit),
+seg AS (SELECT conv_id, s, e, len(ws) AS n, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-8)) AS v, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, text) AS i FROM mean),
+st AS (SELECT conv_id, i, 0::BIGINT AS chunk, s, e, n::BIGINT AS words, (e - s)::DOUBLE AS spoken, 1::BIGINT AS segments, v AS sum FROM seg WHERE i = 1
+  UNION ALL SELECT conv_id, i, chunk + cut::BIGINT, CASE WHEN cut THEN s2 ELSE s END, e2, CASE WHEN cut THEN n2 ELSE words + n2 END, CASE WHEN cut THEN e2 - s2 ELSE spoken + (e2 - s2) END,
+    CASE WHEN cut THEN 1 ELSE segments + 1 END, CASE WHEN cut THEN v2 ELSE list_transform(range(1, 9), lambda k: sum[k] + v2[k]) END
+  FROM (SELECT st.*, seg.i AS i2, seg.s AS s2, seg.e AS e2, seg.n::BIGINT AS n2, seg.v AS v2, (words + seg.n > 90 OR spoken + (seg.e - seg.s) > 40 OR list_dot_product(sum, seg.v) / segments < 0.92)
+      AND (words >= 30 OR spoken >= 20) AS cut FROM st JOIN seg ON seg.conv_id IS NOT DISTINCT FROM st.conv_id AND seg.i = st.i + 1) x(conv_id, i1, chunk, s, e, words, spoken, segments, sum, i, s2, e2, n2, v2, cut)),
+last AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk ORDER BY i DESC) AS back FROM st)
+SELECT conv_id, chunk, s AS start, e AS "end", words, segments, round(sum[1] / segments, 6) AS x0, round(sum[5] / segments, 6) AS x4 FROM last WHERE back = 1""")
+def chunk_embeddings(t) -> DataFrame:
+    """Turns chunked by the likeness of their vectors: the mean over windows of 64 words, 48 apart, of letter counts."""
+    ws = F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")
+    counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
+    at = (F.col("turn") * 9.0).cast("double")
+    rows = t.conversations.select("conv_id", at.alias("start"), (at + 7.5).alias("end"), "text", ws.alias("ws"))
+    windows = F.transform(F.transform(vectors.token_windows("ws"), lambda w: F.array_join(w, " ")), counts)
+    # Column by column, so that no lambda computes the array that it goes through.
+    rows = rows.withColumn("units", F.transform(windows, lambda c: vectors.l2_normalise(c, added=0.0, floor=1e-8))).withColumn("mean", vectors.mean_vector("units", len(_LETTERS)))
+    rows = rows.withColumn("embedding", vectors.l2_normalise("mean", added=0.0, floor=1e-8))
+    out = sequences.semantic_chunks(rows, "conv_id", 60, 0.92, 40.0, 20.0)
+    place = lambda i: F.round(F.get("embedding", F.lit(i)), 6)
+    return out.select("conv_id", "chunk", "start", "end", "words", "segments", place(0).alias("x0"), place(4).alias("x4"))
+
+
 @query()
 def image_hashes(t) -> DataFrame:
     """Perceptual hashes of images made from vectors, with the distance to the next one of the label."""
