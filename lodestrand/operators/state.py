@@ -62,8 +62,11 @@ def positions_by_shot(points: DataFrame, by: list[str], position: str, frame: st
 
 
 def repair(results: DataFrame, canonical: DataFrame, key: str, fields: list[str], bad: Column) -> DataFrame:
-    """Rows that need it take the canonical row's fields where those are there; the others stay as they are."""
-    known = canonical.select(key, *[F.col(f).alias(f"_c_{f}") for f in fields]).dropDuplicates([key])
+    """Rows that need it take the canonical row's fields where those are there; the others stay as they are.
+
+    Of several canonical rows the least in the order of the fields counts.
+    """
+    known = canonical.groupBy(key).agg(F.min(F.struct(*[F.col(f).alias(f"_c_{f}") for f in fields])).alias("_c")).select(key, "_c.*")
     rows = results.withColumn("_bad", bad).join(known, key, "left")
     fixed = {f: F.when(F.col("_bad"), F.coalesce(F.col(f"_c_{f}"), F.col(f))).otherwise(F.col(f)) for f in fields}
     return rows.withColumns(fixed).select(*results.columns)

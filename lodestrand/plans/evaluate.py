@@ -13,8 +13,8 @@ from lodestrand.plans.retrieve import CONFIGS
 
 
 def judge(questions: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Each question with its prediction; none counts as wrong and unparsed."""
-    pred = predictions.select("question_id", "pred").dropDuplicates(["question_id"])
+    """Each question with its prediction, of several the least letter; none counts as wrong and unparsed."""
+    pred = predictions.groupBy("question_id").agg(F.min("pred").alias("pred"))
     return questions.join(pred, "question_id", "left").withColumn("gold", F.col("answer"))
 
 
@@ -39,8 +39,8 @@ def summarise(judged: DataFrame) -> DataFrame:
 
 
 def lookup_question(questions: DataFrame, question_id: str) -> DataFrame:
-    """The first question of that id; running it is an error where there is none."""
-    got = questions.where(F.col("question_id") == question_id).limit(1).agg(F.first(F.struct(*questions.columns)).alias("q"))
+    """The question of that id, of several the first in the order of their columns; running it is an error where there is none."""
+    got = questions.where(F.col("question_id") == question_id).agg(F.min(F.struct(*questions.columns)).alias("q"))
     there = F.when(F.col("q").isNull(), F.raise_error(F.lit(f"no question {question_id}"))).otherwise(F.col("q.question_id"))
     return got.select(*[(there if c == "question_id" else F.col(f"q.`{c}`")).alias(c) for c in questions.columns])
 

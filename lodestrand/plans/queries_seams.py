@@ -47,15 +47,15 @@ def question_lookup(t) -> DataFrame:
     return evaluate.lookup_question(_questions(t), "42").select("video_id", "question_id", "answer")
 
 
-@query("""WITH s AS (SELECT conv_id, turn * 70.25::DOUBLE AS s, turn * 70.25::DOUBLE + 7.5 AS e, coalesce(role, '') AS x FROM conversations),
+@query("""WITH s AS (SELECT conv_id, turn * 70.25::DOUBLE AS s, turn * 70.25::DOUBLE + 7.5 AS e, coalesce(text, '') AS x FROM conversations),
 f AS (SELECT *, floor(s)::BIGINT AS a, floor(e)::BIGINT AS b, floor(s * 1000)::BIGINT AS ma, floor(e * 1000)::BIGINT AS mb, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, x) AS n FROM s)
 SELECT conv_id, string_agg(printf('[%02d:%02d:%02d - %02d:%02d:%02d] %s', a // 3600, a // 60 % 60, a % 60, b // 3600, b // 60 % 60, b % 60, x), chr(10) ORDER BY n) AS plain,
 string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d', ma // 3600000, ma // 60000 % 60, ma // 1000 % 60, ma % 1000, mb // 3600000, mb // 60000 % 60, mb // 1000 % 60, mb % 1000) || chr(10) || x,
   chr(10) || chr(10) ORDER BY n) AS srt FROM f GROUP BY conv_id""")
 def transcripts(t) -> DataFrame:
-    """Each conversation's roles as a transcript with times, and as numbered subtitle blocks."""
+    """Each conversation's texts as a transcript with times, and as numbered subtitle blocks."""
     at = F.col("turn") * 70.25
-    rows = t.conversations.select("conv_id", at.alias("start"), (at + 7.5).alias("end"), F.coalesce("role", F.lit("")).alias("text"))
+    rows = t.conversations.select("conv_id", at.alias("start"), (at + 7.5).alias("end"), F.coalesce("text", F.lit("")).alias("text"))
     plain = sequences.transcript_text(rows, ["conv_id"]).withColumnRenamed("transcript", "plain")
     return plain.join(sequences.transcript_text(rows, ["conv_id"], srt=True).withColumnRenamed("transcript", "srt"), "conv_id")
 
