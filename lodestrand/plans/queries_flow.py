@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import images, seams, vectors
-from lodestrand.operators import ranking, sequences
+from lodestrand.operators import ranking, sequences, state
 from lodestrand.plans import domain as D
 from lodestrand.plans import queries_interval, queries_stream, retrieve
 from lodestrand.plans.registry import ORACLES, query
 from lodestrand.sources import readers
+from lodestrand.sources.keyed import KeyedTable
 from lodestrand.sources.sinks import new_folder
 from lodestrand.streaming import flows
 
@@ -199,3 +200,17 @@ def interval_merge_spread(t) -> DataFrame:
 def gap_segments_spread(t) -> DataFrame:
     """Sessions by gaps with a key's rows dealt over many tasks."""
     return queries_interval.sessions(t, spread=True)
+
+
+@query(ORACLES["upsert_md5"])
+def stored_upsert(t) -> DataFrame:
+    """The same upserts into a stored table, with rows that are deleted and come back, and a compaction between."""
+    path = F.concat_ws("/", "p_name", "p_brand")
+    rows = t.part.select(state.document_id(F.lit(None).cast("string"), path).alias("id"), path.alias("path"), F.col("p_partkey").alias("v"), F.col("p_type").alias("content"))
+    kept = KeyedTable(t.spark, new_folder(t.spark, "keyed"), rows.schema, ["id"], "v", 16)
+    kept.upsert(rows.where("v % 3 <> 0"))
+    kept.delete(rows.where("v % 5 = 0"))
+    kept.compact()
+    kept.upsert(rows.where("v % 3 = 0"))
+    kept.upsert(rows)
+    return kept.read()
