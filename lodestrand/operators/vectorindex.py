@@ -84,10 +84,10 @@ def _every(n: Column) -> Column:
     return F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
 
 
-def _met(queries: DataFrame, points: DataFrame, sizes: DataFrame, run) -> DataFrame:
-    """``run`` on each block of a cell's queries with each strip of its points; sizes: cell, strips, blocks."""
-    q = queries.join(F.broadcast(sizes), "cell").withColumn("block", _dealt("query_id", F.col("blocks"))).withColumn("strip", _every(F.col("strips")))
-    p = points.join(F.broadcast(sizes), "cell").withColumn("strip", _dealt("key", F.col("strips"))).withColumn("block", _every(F.col("blocks")))
+def _met(queries: DataFrame, points: DataFrame, run) -> DataFrame:
+    """``run`` on each block of a cell's queries with each strip of its points; both have cell, strips and blocks."""
+    q = queries.withColumn("block", _dealt("query_id", F.col("blocks"))).withColumn("strip", _every(F.col("strips")))
+    p = points.withColumn("strip", _dealt("key", F.col("strips"))).withColumn("block", _every(F.col("blocks")))
     by = ["cell", "strip", "block"]
     return q.select(*by, "query_id", "vec").groupBy(*by).cogroup(p.select(*by, "key", "vec").groupBy(*by)).applyInArrow(run, _FOUND)
 
@@ -98,8 +98,8 @@ def block_topk(points: DataFrame, queries: DataFrame, key: str, vector: str, k:
     p = points.where(F.col(vector).isNotNull()).select(F.lit(0).alias("cell"), F.col(key).cast("long").alias("key"), F.col(vector).alias("vec"))
     q = queries.where(F.col(vector).isNotNull()).select(F.lit(0).alias("cell"), F.col("query_id").cast("long").alias("query_id"), F.col(vector).alias("vec"))
     strips = max(-(-p.count() // strip), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sizes = spark.createDataFrame([(0, strips, max(1, -(-q.count() // block)))], "cell int, strips long, blocks long")
-    return _top(_met(q, p, sizes, _group(k, least, dims)), k).withColumnRenamed("key", key)
+    size = {"strips": F.lit(strips), "blocks": F.lit(max(1, -(-q.count() // block)))}
+    return _top(_met(q.withColumns(size), p.withColumns(size), _group(k, least, dims)), k).withColumnRenamed("key", key)
 
 
 @dataclass(frozen=True)
@@ -204,7 +204,8 @@ def _read(index: VectorIndex, probes: DataFrame, where: str | None, k: int, leas
     rows = index.rows.where(F.col("cell").isin(sorted(asked)))
     rows = (rows.where(where) if where else rows).select("cell", "r", F.col(index.key).cast("long").alias("key"), F.col(index.vector).alias("vec"))
     rows = rows.join(F.broadcast(sizes.select("cell", "far")), "cell").where("r >= far").select("cell", "key", "vec")
-    return _met(probes, rows, sizes.drop("far"), _group(k, least, None))
+    sizes = F.broadcast(sizes.drop("far"))
+    return _met(probes.join(sizes, "cell"), rows.join(sizes, "cell"), _group(k, least, None))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, least: float | None = 0.0, where: str | None = None, log: dict | None = None) -> DataFrame:
