@@ -45,7 +45,7 @@ np.fill_diagonal(_keys, -1)
 _ORDER = np.argsort(_keys, 1)
 #: Most members, and about the most elements of their sets, in a block of a bucket.
 BLOCK, BLOCK_ELEMENTS = 2048, 1 << 20
-_COLUMNS = 2048
+_COLUMNS, _LINES = 512, 128
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +167,14 @@ def _across(percent: int):
         if len(left) and len(right):
             n = np.array([len(x) for x in sets], np.float64)
             same = _shared([sets[x] for x in left], [sets[x] for x in right])
-            linked = 100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)
-            linked &= comp[left][:, None] != comp[right][None, :]
-            x, y = np.nonzero(linked)
-            x, y = left[x], right[y]
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            # A few lines of the product at a time, so that no further matrix of its size is made.
+            for low in range(0, len(left), _LINES):
+                a, s = left[low : low + _LINES], same[low : low + _LINES].astype(np.float64)
+                i, j = np.nonzero((100 * s >= percent * (n[a][:, None] + n[right][None, :] - s)) & (comp[a][:, None] != comp[right][None, :]))
+                x.append(a[i])
+                y.append(right[j])
+            x, y = np.concatenate(x), np.concatenate(y)
             pairs, at = np.unique(np.sort(np.column_stack([comp[x], comp[y]]), axis=1), axis=0, return_index=True)
             root: dict[int, int] = {}
 
