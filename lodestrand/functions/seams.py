@@ -94,6 +94,25 @@ class Models:
             return query
 
 
+def query_expander(expand: Callable[[str], str | None] | None) -> Callable[[Column], Column]:
+    """Queries as an expander rewrites them; a blank one, one that it has nothing for or fails on stays as it is."""
+    models = Models(embedders={}, expand=expand)
+
+    @F.pandas_udf(T.StringType())
+    def rewritten(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda q: models.expanded(q) if isinstance(q, str) and q.strip() else q).astype(object)
+
+    return rewritten
+
+
+def stub_expand(query: str) -> str | None:
+    """A stand-in for an expander, which fails for some queries and has nothing for others."""
+    if query.startswith("a"):
+        raise ValueError("no expansion")
+    return f"{query} scene" if len(query) % 2 == 0 else None
+
+
 def stub_answer(images: Column, prompt: Column) -> Column:
     """The letter of the option chosen by the prompt's hash: a deterministic stand-in for a model."""
     return F.concat(F.lit("Answer: "), F.char(F.pmod(F.xxhash64(prompt), F.lit(4)) + 65))

@@ -93,6 +93,15 @@ def _video(key):
     return F.lpad(F.pmod(key, F.lit(D.QUERY_VECTORS)).cast("string"), 3, "0").alias("video_id")
 
 
+@query("""SELECT conv_id, turn, config, CASE WHEN config = 'full' AND length(trim(text)) > 0 AND NOT starts_with(text, 'a') AND length(text) % 2 = 0 THEN text || ' scene' ELSE text END AS search_text
+FROM conversations, (VALUES ('+ocr'), ('full')) c(config) WHERE role = 'user'""")
+def expanded_queries(t) -> DataFrame:
+    """What the users' turns are searched with, with and without expansion."""
+    asked = t.conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    each = [retrieve.search_texts(asked, c, seams.stub_expand).select("conv_id", "turn", F.lit(c).alias("config"), "search_text") for c in ("+ocr", "full")]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query()
 def answer_questions(t) -> DataFrame:
     """Windows, speech, digest, prompt, a stand-in's reply and the letter read from it, for each query."""

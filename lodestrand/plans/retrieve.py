@@ -20,6 +20,9 @@ CONFIGS = {
     "full": ({"siglip": 1.0, "jina": 1.0, "asr": 0.8, "ocr": 0.5}, "subtitle"),
 }
 
+#: Fixed value: the configurations that search with an expanded query.
+EXPANDED = {"full"}
+
 HIT = ["query_id", "source", "video_id", "shot_id", "file_path", "timestamp", "score"]
 #: Sources whose hits are keyframes already.
 FRAME_SOURCES = ("siglip", "jina")
@@ -36,6 +39,13 @@ def text_hits_to_frames(hits: DataFrame, keyframes: DataFrame, width: float = 60
     return timed.select(*HIT).unionByName(pathed.select(*HIT))
 
 
+def search_texts(queries: DataFrame, config: str, expand=None, column: str = "query") -> DataFrame:
+    """``queries`` with search_text, what a configuration searches with: an expander's text for those that expand, else the query."""
+    if config not in EXPANDED or expand is None:
+        return queries.withColumn("search_text", F.col(column))
+    return queries.withColumn("search_text", seams.query_expander(expand)(F.col(column)))
+
+
 def retrieve(hits: DataFrame, weights: dict[str, float] | None = None, only: set[str] | None = None, k: int = 60, depth: int = 50, top_k: int = 10, n_windows: int = 0, fuse_key: str = "file_path") -> DataFrame:
     """query_id, video_id, shot_id, file_path, timestamp, score, rrf_components, rank of the best shots.
 
