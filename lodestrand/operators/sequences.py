@@ -7,6 +7,7 @@ are one video's, one shot's or one query's rows, bounded by what the operator re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -145,14 +146,25 @@ def temporal_windows(shots: DataFrame, by: list[str], n_windows: int, neighbours
 
 
 def digest(lines: DataFrame, by: list[str], order: list[str], line: str, most: int = 1800) -> DataFrame:
-    """by, digest: the lines joined by blanks; beyond ``most`` characters every few lines, then cut."""
-    grouped = lines.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, line))), lambda x: x[line]).alias("_l"))
-    whole = F.array_join("_l", " ")
-    n = F.size("_l")
-    keep = F.greatest(F.lit(1), F.floor(F.lit(most) / F.greatest(F.lit(1), F.floor(F.length(whole) / n) + 1)))
-    step = F.greatest(F.lit(1), F.floor(n / keep))
-    thin = F.array_join(F.filter("_l", lambda _x, i: i % F.col("_step") == 0), " ")
-    return grouped.withColumn("_step", step).select(*by, F.when(F.length(whole) <= most, whole).otherwise(F.substring(thin, 1, most)).alias("digest"))
+    """by, digest: the lines joined by blanks; beyond ``most`` characters every few lines, then cut.
+
+    Lines are numbered over many tasks, and a key's row is made of the lines that it takes alone: some twice ``most``
+    of them, each cut at ``most`` characters.
+    """
+    # Of a line no more than its first characters can show; lines that begin with the same ones are in one part.
+    rows = lines.select(*by, *order, F.substring(line, 1, most).alias("_line"), F.substring(line, 1, 16).alias("_head"), F.length(line).alias("_n"))
+    rows = scans.ranged(rows, by, [*order, "_head"])
+    placed = scans.running_before(rows, by, [*order, "_line"], "_i", F.lit(1), "sum")
+    size = rows.groupBy(*by).agg(F.count("*").alias("_rows"), (F.sum("_n") + F.count("_n") - 1).alias("_chars"))
+    keep = F.greatest(F.lit(1), F.floor(F.lit(most) / F.greatest(F.lit(1), F.floor(F.coalesce("_chars", F.lit(0)) / F.col("_rows")) + 1)))
+    size = size.withColumn("_step", F.when(F.col("_chars") > most, F.greatest(F.lit(1), F.floor(F.col("_rows") / keep))).otherwise(1))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)])
+    taken = placed.join(size.select(*keys, "_step"), on).where((F.coalesce("_i", F.lit(0)) % F.col("_step") == 0) & F.col("_line").isNotNull())
+    texts = taken.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_i", F.lit(0)).alias("i"), "_line"))).alias("_l"))
+    texts = texts.select(*keys, F.substring(F.array_join(F.transform("_l", lambda x: x["_line"]), " "), 1, most).alias("digest"))
+    # A key of null lines alone has an empty digest.
+    return size.join(texts, on, "left").select(*by, F.coalesce("digest", F.lit("")).alias("digest"))
 
 
 def self_similarity(rows: DataFrame, by: list[str], at: str, vector: str, reach: int) -> DataFrame:

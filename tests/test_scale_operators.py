@@ -166,3 +166,22 @@ def test_word_segments_of_a_long_file(spark, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = sequences.word_segments(df, ["v"])._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan
+
+
+# digests
+
+
+@pytest.mark.parametrize("most", [300, 1800])
+def test_digest_of_many_lines(spark, most):
+    """A key with tens of thousands of lines: each is looked at once, and the key's row is made of a few of them."""
+    rng = random.Random(4)
+    rows = [("hot", i // 3, rng.choice([None, "", "x" * 30, f"line {i}", f"longer line {i}"])) for i in range(40_000)] + [("hot", -1, "y" * 4000)] * 2
+    rows += [(None, i, "n") for i in range(5)] + [("blank", i, None) for i in range(3)] + [("short", i, None if i % 2 else "s") for i in range(9)]
+    got = {r["v"]: r["digest"] for r in sequences.digest(spark.createDataFrame(rows, "v string, i long, line string").repartition(7), ["v"], ["i"], "line", most).collect()}
+    want = {}
+    for v in {r[0] for r in rows}:
+        lines = [x for _, _, x in sorted((i, x is not None, x or "") if x is not None else (i, False, None) for w, i, x in rows if w == v)]
+        whole = " ".join(x for x in lines if x is not None)
+        step = max(1, len(lines) // max(1, most // max(1, len(whole) // len(lines) + 1)))
+        want[v] = whole if len(whole) <= most else " ".join(x for x in lines[::step] if x is not None)[:most]
+    assert got == want and len(got["hot"]) == most and got["short"] == "s s s s s"
