@@ -185,3 +185,19 @@ def test_digest_of_many_lines(spark, most):
         step = max(1, len(lines) // max(1, most // max(1, len(whole) // len(lines) + 1)))
         want[v] = whole if len(whole) <= most else " ".join(x for x in lines[::step] if x is not None)[:most]
     assert got == want and len(got["hot"]) == most and got["short"] == "s s s s s"
+
+
+# shot numbers of four digits
+
+
+def test_long_shot_numbers(spark, sf, tmp_path):
+    """Shots beyond the thousandth of a video are told apart, and shown as the SQL shows them."""
+    from lodestrand.plans import registry
+    from tests.oracle import assert_same
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=64).astype(np.float32)], 3) for i in range(7000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("config_sweep",):
+        assert assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path)) > 0
