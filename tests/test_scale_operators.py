@@ -199,5 +199,5 @@ def test_long_shot_numbers(spark, sf, tmp_path):
     rows = [(i, [float(x) for x in rng.normal(size=64).astype(np.float32)], 3) for i in range(7000)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     spark.read.parquet(f"{sf}/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
-    for name in ("config_sweep",):
+    for name in ("config_sweep", "four_source_fusion"):
         assert assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path)) > 0
