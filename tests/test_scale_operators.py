@@ -201,3 +201,22 @@ def test_long_shot_numbers(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     for name in ("config_sweep", "four_source_fusion"):
         assert assert_same(registry.QUERIES[name](spark, str(tmp_path)), registry.ORACLES[name], str(tmp_path)) > 0
+
+
+# sessions of a table of many files
+
+
+def test_sessions_of_unordered_files(spark, sf, tmp_path):
+    """No event is late because the files of a part of the table are read one after the other."""
+    from lodestrand.plans import registry
+    from tests.oracle import assert_same
+
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5).write.option("compression", "none").parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "32k")
+    try:
+        assert assert_same(registry.QUERIES["stream_sessions"](spark, str(tmp_path)), registry.ORACLES["stream_sessions"], str(tmp_path)) > 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
