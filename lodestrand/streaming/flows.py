@@ -16,6 +16,12 @@ def read_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
+def arrivals(spark: SparkSession, folder: str, schema, batches: int) -> DataFrame:
+    """The files that are in a folder, as a stream of so many batches, or fewer: a batch costs time whatever it holds, and files grow with the table."""
+    files = len(spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder).inputFiles())
+    return read_stream(spark, folder, schema, max(1, -(-files // batches)))
+
+
 def instant(events: DataFrame, ts: str) -> Column:
     """The column as an instant; a time without zone is read as UTC, whatever the session's zone."""
     if dict(events.dtypes)[ts] == "timestamp_ntz":

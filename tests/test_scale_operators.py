@@ -220,3 +220,17 @@ def test_sessions_of_unordered_files(spark, sf, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+# rows and batches that don't multiply
+
+
+def test_arrivals_in_few_batches(spark, tmp_path):
+    """However many files a table has, it is read in a few batches, every row once."""
+    from lodestrand.streaming import flows
+
+    rows = spark.range(100).repartition(10)
+    rows.write.parquet(f"{tmp_path}/in")
+    q = flows.arrivals(spark, f"{tmp_path}/in", rows.schema, 3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3 and sorted(r[0] for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").collect()) == list(range(100))
