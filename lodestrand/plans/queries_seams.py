@@ -139,7 +139,7 @@ def stream_window_scores(t) -> DataFrame:
     every = s.unionByName(ends)
     for low, high in ((0, 60), (60, 130), (130, 2**62)):
         every.where((F.col("frame") >= low) & (F.col("frame") < high)).repartition("vid").write.mode("append").parquet(folder)
-    out = queries_stream._drained(t, flows.window_scores(flows.read_stream(t.spark, folder, every.schema), _above_mean()), "append")
+    out = queries_stream._drained(t, flows.window_scores(flows.arrivals(t.spark, folder, every.schema, 3), _above_mean()), "append")
     return out.select(F.col("vid").cast("long").alias("user"), F.col("frame").alias("i"), F.round("p", 9).alias("p"))
 
 
