@@ -234,3 +234,12 @@ def test_arrivals_in_few_batches(spark, tmp_path):
     q = flows.arrivals(spark, f"{tmp_path}/in", rows.schema, 3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3 and sorted(r[0] for r in spark.read.schema(rows.schema).parquet(f"{tmp_path}/out").collect()) == list(range(100))
+
+
+def test_histograms_are_arrays():
+    import pandas as pd
+
+    from lodestrand.functions import images
+
+    got = images.histogram.func(pd.Series([bytes(range(63)), None]), pd.Series([7, 7]), pd.Series([3, 3]))
+    assert isinstance(got[0], np.ndarray) and got[0].shape == (512,) and got[1] is None
