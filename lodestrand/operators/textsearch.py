@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,34 +47,65 @@ def term_counts(docs: DataFrame, key: str, text: str, **how) -> DataFrame:
 #: Bytes of text for one task of an index, the least and most folders of postings, and terms that are looked up by name.
 TASK_BYTES, LEAST_FOLDERS, MOST_FOLDERS, NAMED = 32 << 20, 32, 4096, 2000
 
+#: Terms, and bytes of them, that a task brings together before it hands on their postings.
+GROUP_TERMS, GROUP_BYTES = 2 << 20, 64 << 20
+
 
 @dataclass(frozen=True)
 class Postings:
-    """Postings of one kind of term, in folders by hash of the term and sorted by term within; and the terms' document frequencies."""
+    """Postings of one kind of term, in folders by hash of the term and sorted by term within; and the terms' document frequencies.
+
+    A row of ``stored`` has a term's documents of one group: their keys, ``ends`` (sums of tf), lengths and, for words,
+    all their positions one after another.
+    """
 
-    rows: DataFrame
+    stored: DataFrame
     vocabulary: DataFrame
     folders: int
     documents: int
     mean_length: float
+    key: str
 
-    def of(self, terms: list[str]) -> DataFrame:
-        """The postings of some terms: only their folders, and in these only the terms' row groups, are read."""
+    @property
+    def rows(self) -> DataFrame:
+        """term, key, tf, dl and, for words, positions: a row for each term and document."""
+        return self._each(self.stored.drop("folder"), [], True)
+
+    def _each(self, found: DataFrame, more: list[str], positions: bool) -> DataFrame:
+        ends = F.col("ends")
+
+        def document(i: Column) -> Column:
+            before = F.coalesce(F.get(ends, i - 1), F.lit(0))
+            tf = F.get(ends, i) - before
+            places = [F.slice("positions", before + 1, tf).alias("positions")] if positions and "positions" in found.columns else []
+            return F.struct(F.get("keys", i).alias(self.key), tf.cast("long").alias("tf"), F.get("dl", i).alias("dl"), *places)
+
+        each = F.explode(F.transform(F.sequence(F.lit(0), F.col("df") - 1), document)).alias("_d")
+        return found.select("term", *more, each).select("term", "_d.*", *more)
+
+    def _named(self, terms: list[str]) -> DataFrame:
         found = sorted({zlib.crc32(t.encode()) % self.folders for t in terms})
-        return self.rows.where(F.col("folder").isin(found) & F.col("term").isin(terms)).drop("folder")
+        return self.stored.where(F.col("folder").isin(found) & F.col("term").isin(terms)).drop("folder")
+
+    def of(self, terms: list[str], positions: bool = True) -> DataFrame:
+        """The postings of some terms: only their folders, and in these only the terms' row groups, are read."""
+        return self._each(self._named(terms), [], positions)
 
-    def joined(self, wanted: DataFrame) -> DataFrame:
+    def joined(self, wanted: DataFrame, positions: bool = True) -> DataFrame:
         """Postings of the terms in a written table, whose columns are added; by name, if they are few."""
         few = wanted.select("term").distinct().limit(NAMED + 1).collect()
-        rows = self.of([r["term"] for r in few]) if len(few) <= NAMED else self.rows.drop("folder")
-        return rows.join(wanted, "term")
+        rows = self._named([r["term"] for r in few]) if len(few) <= NAMED else self.stored.drop("folder")
+        return self._each(rows.join(wanted, "term"), [c for c in wanted.columns if c != "term"], positions)
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A tokenised corpus: ``words`` (term, key, tf, dl, positions; stop words too, which dl leaves out) and, if asked for, ``grams`` (term, key, tf, dl)."""
+    """A tokenised corpus: ``words`` (term, key, tf, dl, positions; stop words too, which dl leaves out) and, if asked for, ``grams`` (term, key, tf, dl).
+
+    One that has n-grams alone serves ``ngram_hits``.
+    """
 
-    words: Postings
+    words: Postings | None
     grams: Postings | None = None
 
     @property
@@ -93,8 +124,8 @@ class TextIndex:
         return self.words.of(terms)
 
 
-def _written(rows: DataFrame, folder: str, size: int, documents: int, silent: tuple[str, ...] = ()) -> Postings:
-    """Postings (term, key, tf, dl, ...) written in as many folders and tasks as the corpus' ``size`` in bytes asks for.
+def _written(rows: DataFrame, key: str, folder: str, size: int, documents: int, silent: tuple[str, ...] = ()) -> Postings:
+    """Postings written in as many folders and tasks as the corpus' ``size`` in bytes asks for.
 
     ``silent`` terms don't count in the mean length.
     """
@@ -102,37 +133,95 @@ def _written(rows: DataFrame, folder: str, size: int, documents: int, silent: tu
     tasks = max(LEAST_FOLDERS, int(size // TASK_BYTES))
     folders = min(tasks, MOST_FOLDERS)
     # A frequent term's documents are spread over the tasks of its folder.
-    part = F.pmod(F.xxhash64(rows.columns[1]), F.lit(-(-tasks // folders)))
+    part = F.pmod(F.xxhash64("keys"), F.lit(-(-tasks // folders)))
     rows = rows.withColumn("folder", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(folders)).cast("int"))
     rows.repartition(tasks, "folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/postings")
     kept = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
-    kept.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
+    kept.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
     vocabulary = spark.read.parquet(f"{folder}/vocabulary")
     total = vocabulary.where(~F.col("term").isin(list(silent))).agg(F.sum("cf")).first()[0]
-    return Postings(kept, vocabulary.select("term", "df"), folders, documents, (total or 0) / max(documents, 1))
+    return Postings(kept, vocabulary.select("term", "df"), folders, documents, (total or 0) / max(documents, 1), key)
 
 
-def _postings(rows: DataFrame, key: str, positions: bool = True) -> DataFrame:
-    """term, key, tf, dl, positions of rows (key, dl, terms): a document's terms are brought together in its batch, none is shuffled alone."""
+def _lists(code: np.ndarray, row: np.ndarray, keys: pa.Array, dl: pa.Array, at: np.ndarray | None = None) -> tuple[np.ndarray, list[pa.Array]]:
+    """The codes of the terms of some documents, and for each the columns keys, ends, dl, df, cf and positions.
+
+    ``code`` and ``row``, the document's, stand in the order of documents and of places in them, ``at``.
+    """
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    new = np.diff(code, prepend=code[:1] - 1) != 0
+    head = np.flatnonzero(new | (np.diff(row, prepend=-1) != 0))
+    first = np.flatnonzero(new[head])
+    ends, begins = np.append(head[1:], len(code)), head[first]
+    df, cf = np.diff(np.append(first, len(head))), np.diff(np.append(begins, len(code)))
+    offsets, take = pa.array(np.append(first, len(head)), pa.int32()), pa.array(row[head])
+    each = lambda values: pa.ListArray.from_arrays(offsets, values)
+    out = [each(keys.take(take)), each(pa.array(ends - np.repeat(begins, df), pa.int32())), each(dl.take(take)), pa.array(df, pa.int32()), pa.array(cf, pa.int64())]
+    if at is not None:
+        out.append(pa.ListArray.from_arrays(pa.array(np.append(begins, len(code)), pa.int32()), pa.array(at[order], pa.int32())))
+    return code[begins], out
+
+
+def _posted(rows: DataFrame, key: str, group: Callable[[pa.Table], tuple[pa.Array, list[pa.Array]]], size: Callable[[pa.RecordBatch], int], positions: bool) -> DataFrame:
+    """Rows of postings, of which ``group`` makes one for each term of some batches; no term of a document is shuffled alone.
+
+    ``size`` is a batch's share of what is brought together, 1 being all of it.
+    """
+    kinds = [("term", T.StringType()), ("keys", T.ArrayType(rows.schema[key].dataType))]
+    kinds += [("ends", T.ArrayType(T.IntegerType())), ("dl", T.ArrayType(T.IntegerType())), ("df", T.IntegerType()), ("cf", T.LongType()), ("positions", T.ArrayType(T.IntegerType()))]
+    kinds = kinds[: 7 if positions else 6]
+
+    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        term, lists = group(pa.Table.from_batches(held).combine_chunks())
+        return pa.record_batch([term, *lists], names=[c for c, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = [], 0.0
         for batch in batches:
-            terms = batch["terms"]
-            size = np.asarray(terms.value_lengths()).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            coded = terms.flatten().dictionary_encode()
-            code = row * (len(coded.dictionary) + 1) + coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            head = np.flatnonzero(np.diff(code[order], prepend=-1))
-            at = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))[order].astype(np.int32)
-            first, ends = order[head], np.append(head, len(order))
-            take = pa.array(row[first])
-            out = [coded.dictionary.take(coded.indices.take(pa.array(first))), batch[key].take(take), pa.array(np.diff(ends)), batch["dl"].take(take)]
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at))] if positions else []
-            yield pa.record_batch(out + lists, names=["term", key, "tf", "dl", "positions"][: 4 + len(lists)])
-
-    kinds = [("term", T.StringType()), (key, rows.schema[key].dataType), ("tf", T.LongType()), ("dl", T.IntegerType()), ("positions", T.ArrayType(T.IntegerType()))]
-    return rows.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in kinds[: 5 if positions else 4]]))
+            share = size(batch)
+            if held and full + share > 1:
+                yield made(held)
+                held, full = [], 0.0
+            held.append(batch)
+            full += share
+        if held:
+            yield made(held)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in kinds]))
+
+
+def _word_postings(rows: DataFrame, key: str) -> DataFrame:
+    """Postings with positions of rows (key, dl, terms)."""
+
+    def group(t: pa.Table) -> tuple[pa.Array, list[pa.Array]]:
+        terms = t["terms"].combine_chunks()
+        n = np.asarray(terms.value_lengths()).astype(np.int64)
+        coded = terms.flatten().dictionary_encode()
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code, lists = _lists(coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), t[key].combine_chunks(), t["dl"].combine_chunks(), at)
+        return coded.dictionary.take(pa.array(code)), lists
+
+    return _posted(rows, key, group, lambda b: max(len(b["terms"].flatten()) / GROUP_TERMS, b["terms"].nbytes / GROUP_BYTES), True)
+
+
+def _gram_postings(rows: DataFrame, key: str) -> DataFrame:
+    """Postings of the runs of three characters of rows (key, low): a run is a number, three code points of 21 bits."""
+
+    def group(t: pa.Table) -> tuple[pa.Array, list[pa.Array]]:
+        texts = t["low"].to_pylist()
+        n = np.array([len(x) for x in texts], np.int64)
+        char = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        # A run begins at all characters of a text but its last two.
+        left = np.repeat(np.cumsum(n), n) - np.arange(len(char))
+        at = np.flatnonzero(left > 2)
+        code, row = char[at] << 42 | char[at + 1] << 21 | char[at + 2], np.repeat(np.arange(len(n)), n)[at]
+        code, lists = _lists(code, row, t[key].combine_chunks(), pa.array(np.maximum(n - 2, 0), pa.int32()))
+        low = (1 << 21) - 1
+        all_ = np.stack([code >> 42, code >> 21 & low, code & low], 1).astype("<u4").tobytes().decode("utf-32-le")
+        return pa.array([all_[i : i + 3] for i in range(0, len(all_), 3)], pa.string()), lists
+
+    return _posted(rows, key, group, lambda b: b["low"].nbytes / GROUP_TERMS, False)
 
 
 def grams_of(text: Column, n: int = 3) -> Column:
@@ -140,31 +229,43 @@ def grams_of(text: Column, n: int = 3) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
-def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", grams: bool = False, **how) -> TextIndex:
-    """Tokenise ``docs`` (whose key is unique) once; the index is written under the shared folder.
-
-    ``grams`` adds postings of all runs of three characters.
-    """
-    spark = docs.sparkSession
-    folder = new_folder(spark, "text_index")
+def _spread(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int, int]:
+    """Keys and texts as they are tokenised, their number and bytes."""
     rows = docs.select(key, text)
     documents, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     # A table of fewer files than there are cores is spread first; a larger one is tokenised where it is read.
-    if len(docs.inputFiles()) < spark.sparkContext.defaultParallelism:
+    if len(docs.inputFiles()) < docs.sparkSession.sparkContext.defaultParallelism:
         rows = rows.repartition(key)
+    return rows, documents, size
+
+
+def build_words(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> Postings:
+    """Postings of the words of ``docs``, with positions, written under the shared folder."""
+    rows, documents, size = _spread(docs, key, text)
     words = rows.select(key, tokens(F.col(text), **{**how, "stop": False}).alias("terms"))
     said = F.filter("terms", lambda t: ~t.isin(STOP_WORDS)) if how.get("stop", True) else F.col("terms")
-    words = _postings(words.select(key, F.size(said).alias("dl"), "terms"), key)
-    posts = _written(words, f"{folder}/words", size, documents, tuple(STOP_WORDS) if how.get("stop", True) else ())
-    if not grams:
-        return TextIndex(posts)
-    runs = rows.select(key, grams_of(F.col(text)).alias("terms")).select(key, F.size("terms").alias("dl"), "terms")
-    return TextIndex(posts, _written(_postings(runs, key, positions=False), f"{folder}/grams", 2 * size, documents))
+    words = _word_postings(words.select(key, F.size(said).alias("dl"), "terms"), key)
+    return _written(words, key, f"{new_folder(docs.sparkSession, 'text_index')}/words", size, documents, tuple(STOP_WORDS) if how.get("stop", True) else ())
+
+
+def build_grams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Postings:
+    """Postings of all runs of three characters of ``docs`` in lower case, written under the shared folder."""
+    rows, documents, size = _spread(docs, key, text)
+    low = rows.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"))
+    return _written(_gram_postings(low, key), key, f"{new_folder(docs.sparkSession, 'text_index')}/grams", 2 * size, documents)
+
+
+def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", grams: bool = False, **how) -> TextIndex:
+    """Tokenise ``docs`` (whose key is unique) once; the index is written under the shared folder.
+
+    ``grams`` adds postings of all runs of three characters.
+    """
+    return TextIndex(build_words(docs, key, text, **how), build_grams(docs, key, text) if grams else None)
 
 
 def _scored(posts: Postings, asked: list[tuple[int, str]], key: str) -> DataFrame:
     """query_id, key, score, matched, terms: BM25 over each query's terms, from their postings."""
-    spark = posts.rows.sparkSession
+    spark = posts.stored.sparkSession
     many = Counter(q for q, _ in asked)
     given = spark.createDataFrame([(q, t, many[q]) for q, t in asked], "query_id long, term string, terms long")
     wanted = sorted({t for _, t in asked})
@@ -172,7 +273,7 @@ def _scored(posts: Postings, asked: list[tuple[int, str]], key: str) -> DataFram
     given = given.join(posts.vocabulary.where(F.col("term").isin(wanted)), "term")
     idf = F.log(1 + (posts.documents - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(posts.mean_length)))
-    return posts.of(wanted).join(F.broadcast(given), "term").groupBy("query_id", key, "terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    return posts.of(wanted, False).join(F.broadcast(given), "term").groupBy("query_id", key, "terms").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", index: TextIndex | None = None, **how) -> DataFrame:
@@ -204,12 +305,12 @@ def ngram_hits(index: TextIndex, queries: DataFrame, key: str = "doc_id") -> Dat
     A query's rarest gram gives the candidates; the postings of its other grams are counted for these only.
     """
     posts, asked = index.grams, ngram_terms(queries)
-    spark = posts.rows.sparkSession
+    spark = posts.stored.sparkSession
     given = spark.createDataFrame(asked, "query_id long, term string")
     given = given.join(posts.vocabulary.where(F.col("term").isin([g for _, g in asked])), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     order = Window.partitionBy("query_id").orderBy("df", "term")
     given = staged(given.select("query_id", "term", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy("query_id")).alias("need")))
-    found = posts.joined(given)
+    found = posts.joined(given, False)
     first = found.where("r = 1").select("query_id", key, "need")
     rest = found.where("r > 1").select("query_id", key).join(first, ["query_id", key]).groupBy("query_id", key, "need").agg(F.count("*").alias("n")).where("n = need - 1")
     return first.where("need = 1").select("query_id", key).unionByName(rest.select("query_id", key))
@@ -263,7 +364,7 @@ def _at(index: TextIndex, pieces: list[tuple[int, int, str, str]], key: str) ->
 
     The piece with the fewest documents gives the places; the postings of the others are looked up for these only.
     """
-    spark = index.words.rows.sparkSession
+    spark = index.words.stored.sparkSession
     need = Counter(q for q, *_ in pieces)
     term, vocabulary = F.col("term"), index.words.vocabulary
     test = {"is": lambda w: term == w, "ends": lambda w: F.endswith(term, w), "begins": lambda w: F.startswith(term, w), "inside": lambda w: F.contains(term, w)}
@@ -337,7 +438,7 @@ def relevance(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: st
     words = asked.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     # Each near term counts as the wanted one, less for its edits; the near terms come from the vocabulary.
     wide = staged(words.withColumnRenamed("term", "wanted").join(near_terms(index.vocabulary, words), "wanted").select("query_id", "wanted", "term", "edits"))
-    fuzzy = index.words.joined(wide).groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s"))
+    fuzzy = index.words.joined(wide, False).groupBy("query_id", key, "wanted").agg(F.max(1.0 / (1 + F.col("edits"))).alias("s"))
     fuzzy = fuzzy.groupBy("query_id", key).agg((F.sum("s") * BOOSTS["fuzzy"]).alias("s"))
     every = exact.unionByName(phrase).unionByName(part).unionByName(fuzzy)
     return every.groupBy("query_id", key).agg(F.sum("s").alias("score")).where(F.col("score") >= least)

@@ -119,3 +119,19 @@ def test_empty_corpus(spark):
     q = asked(spark, ["license"])
     assert X.match_phrase(index, q).count() == X.phrase_hits(none, q, index=index).count() == X.ngram_hits(index, q).count() == X.relevance(none, q, index=index).count() == 0
     assert X.match_phrase(index, q.where("false")).count() == X.phrase_hits(none, q.where(F.lit(False)), index=index).count() == 0
+
+
+def test_a_task_hands_on_a_term_once(spark, docs, index, monkeypatch):
+    tasks = spark.sparkContext.defaultParallelism
+    for posts in (index.words, index.grams):
+        terms = posts.vocabulary.count()
+        assert terms <= posts.stored.count() <= tasks * terms < posts.rows.count()
+    # Groups cut short: the same postings in more rows.
+    monkeypatch.setattr(X, "GROUP_TERMS", 40)
+    one = docs.coalesce(1).sortWithinPartitions("doc_id")
+    monkeypatch.setattr(X, "_spread", lambda d, key, text: (one.repartition(16, "doc_id"), len(texts()), 0))
+    cut = X.build_index(docs, grams=True)
+    assert cut.words.stored.count() > index.words.stored.count()
+    for a, b in ((cut.words, index.words), (cut.grams, index.grams)):
+        assert sorted(map(repr, a.rows.collect())) == sorted(map(repr, b.rows.collect())) and a.mean_length == b.mean_length
+        assert sorted(a.vocabulary.collect()) == sorted(b.vocabulary.collect())
