@@ -173,7 +173,7 @@ SELECT query_id, doc_id FROM documents, p WHERE list_bool_and(list_transform(ran
 def ngram_search(t) -> DataFrame:
     """Documents that hold all trigrams of a phrase, from the index's n-grams."""
     phrases = t.spark.createDataFrame([(1, " License "), (2, "tok"), (3, "xqzt")], "query_id long, query string")
-    return X.ngram_hits(index_of(t, grams=True), phrases)
+    return X.ngram_hits(index_of(t, words=False, grams=True), phrases)
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents")

@@ -16,17 +16,21 @@ def asked(t) -> DataFrame:
     return t.spark.createDataFrame(TEXT_QUERIES, "query_id long, query string")
 
 
-_indexes: dict[tuple, X.TextIndex] = {}
+_indexes: dict[tuple, X.Postings] = {}
 
 
-def index_of(t, grams: bool = False) -> X.TextIndex:
-    """The index of the documents of a folder, built once for each state of the folder's table."""
+def index_of(t, words: bool = True, grams: bool = False) -> X.TextIndex:
+    """The index of the documents of a folder, each part of it built once for each state of the folder's table."""
     path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/documents.parquet")
     status = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    state = (t.spark.sparkContext.applicationId, t.sf_dir, status.getModificationTime(), status.getLen(), grams)
-    if state not in _indexes:
-        _indexes[state] = X.build_index(t.documents, grams=grams)
-    return _indexes[state]
+    state = (t.spark.sparkContext.applicationId, t.sf_dir, status.getModificationTime(), status.getLen())
+
+    def part(build):
+        if (*state, build.__name__) not in _indexes:
+            _indexes[*state, build.__name__] = build(t.documents)
+        return _indexes[*state, build.__name__]
+
+    return X.TextIndex(part(X.build_words) if words else None, part(X.build_grams) if grams else None)
 
 
 _VALUES = ", ".join(f"({i}, '{q}')" for i, q in TEXT_QUERIES)

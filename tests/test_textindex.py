@@ -135,3 +135,14 @@ def test_a_task_hands_on_a_term_once(spark, docs, index, monkeypatch):
     for a, b in ((cut.words, index.words), (cut.grams, index.grams)):
         assert sorted(map(repr, a.rows.collect())) == sorted(map(repr, b.rows.collect())) and a.mean_length == b.mean_length
         assert sorted(a.vocabulary.collect()) == sorted(b.vocabulary.collect())
+
+
+def test_ngrams_need_no_words(spark, sf):
+    from lodestrand.plans import registry
+    from lodestrand.plans import queries_text  # noqa: I001
+
+    queries_text._indexes.clear()
+    assert registry.QUERIES["ngram_search"](spark, sf).count() > 0
+    assert [k[-1] for k in queries_text._indexes] == ["build_grams"]
+    both = queries_text.index_of(registry.Tables(spark, sf), grams=True)
+    assert both.grams is queries_text.index_of(registry.Tables(spark, sf), words=False, grams=True).grams and both.words is not None
