@@ -409,8 +409,10 @@ def phrase_hits(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     texts = docs.select(key, text)
     if len(few) <= NAMED:
         texts = texts.where(F.col(key).isin([r[key] for r in few]))
-    given = docs.sparkSession.createDataFrame([(r["query_id"], r["query"]) for r in asked.select("query_id", "query").collect()], "query_id long, query string")
-    out = near.join(given, "query_id").join(texts, key).where(has_phrase(F.col(text), F.col("query"))).select("query_id", key)
+    # The stated phrases are literals: joined with, they would hide that the candidates are few, and all texts be shuffled.
+    phrase = [F.when(F.col("query_id") == r["query_id"], F.lit(r["query"])) for r in asked.select("query_id", "query").collect()]
+    near = near.withColumn("_q", F.coalesce(*phrase, F.lit(None).cast("string")))
+    out = near.join(texts, key).where(has_phrase(F.col(text), F.col("_q"))).select("query_id", key)
     if bare:
         out = out.unionByName(_contained(docs, asked.where(F.col("query_id").isin(bare)).collect(), key, text))
     return out

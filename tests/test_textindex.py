@@ -137,6 +137,11 @@ def test_a_task_hands_on_a_term_once(spark, docs, index, monkeypatch):
         assert sorted(a.vocabulary.collect()) == sorted(b.vocabulary.collect())
 
 
+def test_candidates_of_phrases_are_known_to_be_few(spark, docs, index):
+    near = X.phrase_hits(docs, asked(spark, ["general public license"]), index=index)
+    assert near.count() > 0 and not any("query_id" in s for s in leaves(near) if "ExistingRDD" in s)
+
+
 def test_ngrams_need_no_words(spark, sf):
     from lodestrand.plans import registry
     from lodestrand.plans import queries_text  # noqa: I001
