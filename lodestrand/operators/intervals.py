@@ -3,7 +3,8 @@
 Interval joins bin time on levels: the bins of a level are twice as long as those of the level below, and an interval is
 on the level whose bins are as long as itself, where it touches two at most.  Points fall into one bin of every level
 that has intervals, and a pair of intervals meets on the longer one's level.  The join is an equi-join on (key, level,
-bin) with the exact condition as a residual; pairs met in two bins are counted in one.
+bin) with the exact condition as a residual; pairs met in two bins are counted in one.  Keys with few intervals need no
+bins: their rows are on one level, LEVEL_OF_FEW, with one bin, so that each is shuffled once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from lodestrand.operators import scans
 from lodestrand.sources.sinks import staged
 
 
+#: Most intervals of a key whose rows are all compared, and the level these are on.
+FEW, LEVEL_OF_FEW = 64, -1
+
+
 def _bins(low: Column, high: Column, width: float | Column) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
 
@@ -28,39 +33,66 @@ def _size(level: str, width: float) -> Column:
     return F.lit(float(width)) * F.pow(F.lit(2.0), F.col(level))
 
 
+def _bin(at: Column, width: float) -> Column:
+    """The bin of a time on the row's ``_level``."""
+    return F.when(F.col("_level") == LEVEL_OF_FEW, F.lit(0).cast("long")).otherwise(F.floor(at / _size("_level", width)))
+
+
 def _levels(*intervals: DataFrame) -> Column:
     """The levels of intervals that have one, as an array: as many as doublings between the shortest and the longest."""
-    found = {r[0] for rows in intervals for r in rows.select("_own").distinct().collect()}
+    found = {r[0] for rows in intervals for r in rows.where("_many").select("_own").distinct().collect()}
     return F.array(*[F.lit(x) for x in sorted(found) or [0]])
 
 
+def _crowded(intervals: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys of more than FEW intervals, with ``_many``; None if no key has."""
+    found = staged(intervals.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*on))
+    return None if found.isEmpty() else found.withColumn("_many", F.lit(True))
+
+
+def _marked(rows: DataFrame, crowded: DataFrame | None, on: list[str]) -> DataFrame:
+    return rows.withColumn("_many", F.lit(False)) if crowded is None else rows.join(crowded, on, "left").withColumn("_many", F.coalesce("_many", F.lit(False)))
+
+
 def points_in_intervals(intervals: DataFrame, points: DataFrame, on: list[str], start: str, end: str, at: str, width: float) -> DataFrame:
     """Every interval with every point of the same key in it, both ends included; ``width`` is that of the shortest bins."""
     low, high = F.col(start), F.col(end)
-    a = intervals.where(low <= high).withColumn("_own", _level(low, high, width))
-    levels = _levels(a)
-    a = a.withColumnRenamed("_own", "_level").withColumn("_bin", F.explode(_bins(low, high, _size("_level", width))))
-    b = points.where(F.col(at).isNotNull()).withColumn("_level", F.explode(levels)).withColumn("_bin", F.floor(F.col(at) / _size("_level", width)))
-    return a.join(b, [*on, "_level", "_bin"]).where((F.col(at) >= low) & (F.col(at) <= high)).drop("_level", "_bin")
+    a, b, within = intervals.where(low <= high), points.where(F.col(at).isNotNull()), (F.col(at) >= low) & (F.col(at) <= high)
+    crowded = _crowded(a, on)
+    if crowded is None:
+        return a.join(b, on).where(within)
+    a = _marked(a, crowded, on).withColumn("_own", F.when(F.col("_many"), _level(low, high, width)).otherwise(LEVEL_OF_FEW))
+    levels = F.when(F.col("_many"), _levels(a)).otherwise(F.array(F.lit(LEVEL_OF_FEW)))
+    a = a.withColumnRenamed("_own", "_level").withColumn("_bin", F.explode(F.sequence(_bin(low, width), _bin(high, width)))).drop("_many")
+    b = _marked(b, crowded, on).withColumn("_level", F.explode(levels)).withColumn("_bin", _bin(F.col(at), width)).drop("_many")
+    return a.join(b, [*on, "_level", "_bin"]).where(within).drop("_level", "_bin")
 
 
 def overlaps(spans: DataFrame, segments: DataFrame, on: list[str], pad: float, width: float, span: tuple[str, str] = ("lo", "hi"), seg: tuple[str, str] = ("start", "end")) -> DataFrame:
     """Spans, widened by pad, with the segments they touch; one null bound borrows the other, two match nothing."""
     lo = F.coalesce(span[0], span[1]) - pad
     hi = F.coalesce(span[1], span[0]) + pad
-    a = spans.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi").withColumn("_own", _level(F.col("_lo"), F.col("_hi"), width))
-    b = segments.where(F.col(seg[0]) <= F.col(seg[1])).withColumn("_own", _level(F.col(seg[0]), F.col(seg[1]), width))
+    a = spans.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
+    b = segments.where(F.col(seg[0]) <= F.col(seg[1]))
+    touch = (F.col(seg[1]) >= F.col("_lo")) & (F.col(seg[0]) <= F.col("_hi"))
+    crowded = _crowded(b, on)
+    if crowded is None:
+        return a.join(b, on).where(touch).drop("_lo", "_hi")
+
+    def own(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+        return _marked(rows, crowded, on).withColumn("_own", F.when(F.col("_many"), _level(start, end, width)).otherwise(LEVEL_OF_FEW))
+
+    a, b = own(a, F.col("_lo"), F.col("_hi")), own(b, F.col(seg[0]), F.col(seg[1]))
     levels = _levels(a, b)
 
-    def placed(rows: DataFrame, own: str, start: Column, end: Column) -> DataFrame:
+    def placed(rows: DataFrame, name: str, start: Column, end: Column) -> DataFrame:
         """On its own level and those above it."""
-        rows = rows.withColumnRenamed("_own", own).withColumn("_level", F.explode(F.filter(levels, lambda x: x >= F.col(own))))
-        return rows.withColumn("_bin", F.explode(_bins(start, end, _size("_level", width))))
+        mine = F.when(F.col("_many"), F.filter(levels, lambda x: x >= F.col(name))).otherwise(F.array(F.lit(LEVEL_OF_FEW)))
+        rows = rows.withColumnRenamed("_own", name).withColumn("_level", F.explode(mine)).drop("_many")
+        return rows.withColumn("_bin", F.explode(F.sequence(_bin(start, width), _bin(end, width))))
 
     a, b = placed(a, "_la", F.col("_lo"), F.col("_hi")), placed(b, "_lb", F.col(seg[0]), F.col(seg[1]))
-    touch = (F.col(seg[1]) >= F.col("_lo")) & (F.col(seg[0]) <= F.col("_hi"))
-    size = _size("_level", width)
-    first = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_bin") == F.greatest(F.floor(F.col("_lo") / size), F.floor(F.col(seg[0]) / size)))
+    first = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_bin") == F.greatest(_bin(F.col("_lo"), width), _bin(F.col(seg[0]), width)))
     return a.join(b, [*on, "_level", "_bin"]).where(touch & first).drop("_level", "_bin", "_lo", "_hi", "_la", "_lb")
 
 

@@ -79,6 +79,21 @@ def test_joins_of_spans_of_any_length(spark, width):
     assert sorted(tuple(r) for r in inside.select("a", "b").collect()) == sorted((i, j) for i, u, lo, hi in a for j, v, s, _ in b if u == v and lo is not None and s is not None and lo <= s <= hi)
 
 
+def test_keys_of_few_spans_are_shuffled_once(spark):
+    """Rows of a key with few spans aren't dealt to the levels, also beside a key that has many."""
+    rows = [r for r in spans(3) if r[2] is not None and r[1] == "u"] + [(1000 + i, f"k{i % 40}", i * 10.0, i * 10.0 + 10.0 ** (i % 9)) for i in range(200)] + [(2000, None, 0.0, 9.0)]
+    few = [r for r in rows if r[1] != "u"]
+    at = [(i, u, x) for i, (u, x) in enumerate([(u, lo + d) for _, u, lo, _ in rows for d in (0.0, 3.0)] + [("none", 1.0), ("u", None)])]
+    points = spark.createDataFrame(at, "b long, u string, at double")
+    for given in (rows, few):
+        one, two = (spark.createDataFrame(given, f"{n} long, u string, {lo} double, {hi} double") for n, lo, hi in (("a", "lo", "hi"), ("c", "s", "e")))
+        inside = intervals.points_in_intervals(one, points, ["u"], "lo", "hi", "at", 1.0)
+        assert inside.columns == ["u", "a", "lo", "hi", "b", "at"]
+        assert sorted((r["a"], r["b"]) for r in inside.collect()) == sorted((i, j) for i, u, lo, hi in given for j, v, x in at if u == v and u is not None and x is not None and lo <= x <= hi)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (inside,)]
+    assert not any("Generate" in p for p in plans)
+
+
 def test_long_spans_touch_few_bins(spark):
     """Spans of a second and of three years: two bins each at most, where bins of a minute would be a million and a half."""
     rows = spark.createDataFrame([(i, "u", i * 1000.0, i * 1000.0 + (1.0 if i % 2 else 1e8)) for i in range(1000)], "k long, u string, lo double, hi double")
