@@ -90,7 +90,10 @@ def test_keys_of_few_spans_are_shuffled_once(spark):
         inside = intervals.points_in_intervals(one, points, ["u"], "lo", "hi", "at", 1.0)
         assert inside.columns == ["u", "a", "lo", "hi", "b", "at"]
         assert sorted((r["a"], r["b"]) for r in inside.collect()) == sorted((i, j) for i, u, lo, hi in given for j, v, x in at if u == v and u is not None and x is not None and lo <= x <= hi)
-    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (inside,)]
+        touching = intervals.overlaps(one, two, ["u"], 1.5, 1.0, seg=("s", "e"))
+        assert touching.columns == ["u", "a", "lo", "hi", "c", "s", "e"]
+        assert sorted((r["a"], r["c"]) for r in touching.collect()) == sorted((i, j) for i, u, lo, hi in given for j, v, s, e in given if u == v and u is not None and lo - 1.5 <= hi + 1.5 and s <= e and e >= lo - 1.5 and s <= hi + 1.5)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (inside, touching)]
     assert not any("Generate" in p for p in plans)
 
 
