@@ -124,18 +124,19 @@ class TextIndex:
         return self.words.of(terms)
 
 
-def _written(rows: DataFrame, key: str, folder: str, size: int, documents: int, silent: tuple[str, ...] = ()) -> Postings:
-    """Postings written in as many folders and tasks as the corpus' ``size`` in bytes asks for.
+def _tasks(size: int) -> tuple[int, int]:
+    """How many tasks and folders a corpus of ``size`` bytes asks for."""
+    tasks = max(LEAST_FOLDERS, int(size // TASK_BYTES))
+    return tasks, min(tasks, MOST_FOLDERS)
+
+
+def _written(rows: DataFrame, key: str, folder: str, folders: int, documents: int, silent: tuple[str, ...] = ()) -> Postings:
+    """Postings written by folders.
 
     ``silent`` terms don't count in the mean length.
     """
     spark = rows.sparkSession
-    tasks = max(LEAST_FOLDERS, int(size // TASK_BYTES))
-    folders = min(tasks, MOST_FOLDERS)
-    # A frequent term's documents are spread over the tasks of its folder.
-    part = F.pmod(F.xxhash64("keys"), F.lit(-(-tasks // folders)))
-    rows = rows.withColumn("folder", F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(folders)).cast("int"))
-    rows.repartition(tasks, "folder", part).sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{folder}/postings")
+    rows.sortWithinPartitions("folder", "term").write.partitionBy("folder").option("compression", "zstd").parquet(f"{folder}/postings")
     kept = spark.read.schema(rows.schema).parquet(f"{folder}/postings")
     kept.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).sortWithinPartitions("term").write.parquet(f"{folder}/vocabulary")
     vocabulary = spark.read.parquet(f"{folder}/vocabulary")
@@ -163,35 +164,55 @@ def _lists(code: np.ndarray, row: np.ndarray, keys: pa.Array, dl: pa.Array, at:
     return code[begins], out
 
 
-def _posted(rows: DataFrame, key: str, group: Callable[[pa.Table], tuple[pa.Array, list[pa.Array]]], size: Callable[[pa.RecordBatch], int], positions: bool) -> DataFrame:
-    """Rows of postings, of which ``group`` makes one for each term of some batches; no term of a document is shuffled alone.
+def _posted(rows: DataFrame, key: str, group: Callable[[pa.Table], tuple[pa.Array, list[pa.Array]]], share: Callable[[pa.RecordBatch], float], positions: bool, tasks: int, folders: int) -> DataFrame:
+    """Postings with their folder, in ``tasks`` partitions by folder: of some batches, ``group`` makes one row for each term.
 
-    ``size`` is a batch's share of what is brought together, 1 being all of it.
+    ``share`` is a batch's part of what is brought together.  The rows of a folder are shuffled as one compressed batch,
+    which takes a third of their space: numbers of four and eight bytes, most of them zero, are nothing for a shuffle's codec.
     """
     kinds = [("term", T.StringType()), ("keys", T.ArrayType(rows.schema[key].dataType))]
     kinds += [("ends", T.ArrayType(T.IntegerType())), ("dl", T.ArrayType(T.IntegerType())), ("df", T.IntegerType()), ("cf", T.LongType()), ("positions", T.ArrayType(T.IntegerType()))]
     kinds = kinds[: 7 if positions else 6]
 
-    def made(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         term, lists = group(pa.Table.from_batches(held).combine_chunks())
-        return pa.record_batch([term, *lists], names=[c for c, _ in kinds])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = pa.record_batch([term, *lists], names=[c for c, _ in kinds])
+        home = np.fromiter((zlib.crc32(t.encode()) % folders for t in term.to_pylist()), np.int32, len(term))
+        order = np.argsort(home, kind="stable")
+        made, home = made.take(pa.array(order)), home[order]
+        head, data = np.flatnonzero(np.diff(home, prepend=-1)), []
+        for i, n in zip(head.tolist(), np.diff(np.append(head, len(home))).tolist(), strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(made.slice(i, n))
+            data.append(out.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(home[head]), pa.array(data, pa.binary())], names=["folder", "data"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, full = [], 0.0
         for batch in batches:
-            share = size(batch)
-            if held and full + share > 1:
-                yield made(held)
+            part = share(batch)
+            if held and full + part > 1:
+                yield packed(held)
                 held, full = [], 0.0
             held.append(batch)
-            full += share
+            full += part
         if held:
-            yield made(held)
+            yield packed(held)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, data in zip(batch["folder"].to_pylist(), batch["data"], strict=True):
+                for made in pa.ipc.open_stream(data.as_buffer()):
+                    yield made.append_column("folder", pa.array(np.full(len(made), folder, np.int32)))
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in kinds]))
+    # A frequent term's documents are spread over the tasks of its folder.
+    part = F.pmod(F.xxhash64("data"), F.lit(-(-tasks // folders)))
+    sent = rows.mapInArrow(pack, "folder int, data binary").repartition(tasks, "folder", part)
+    return sent.mapInArrow(unpack, T.StructType([T.StructField(c, t) for c, t in [*kinds, ("folder", T.IntegerType())]]))
 
 
-def _word_postings(rows: DataFrame, key: str) -> DataFrame:
+def _word_postings(rows: DataFrame, key: str, tasks: int, folders: int) -> DataFrame:
     """Postings with positions of rows (key, dl, terms)."""
 
     def group(t: pa.Table) -> tuple[pa.Array, list[pa.Array]]:
@@ -202,10 +223,10 @@ def _word_postings(rows: DataFrame, key: str) -> DataFrame:
         code, lists = _lists(coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n), t[key].combine_chunks(), t["dl"].combine_chunks(), at)
         return coded.dictionary.take(pa.array(code)), lists
 
-    return _posted(rows, key, group, lambda b: max(len(b["terms"].flatten()) / GROUP_TERMS, b["terms"].nbytes / GROUP_BYTES), True)
+    return _posted(rows, key, group, lambda b: max(len(b["terms"].flatten()) / GROUP_TERMS, b["terms"].nbytes / GROUP_BYTES), True, tasks, folders)
 
 
-def _gram_postings(rows: DataFrame, key: str) -> DataFrame:
+def _gram_postings(rows: DataFrame, key: str, tasks: int, folders: int) -> DataFrame:
     """Postings of the runs of three characters of rows (key, low): a run is a number, three code points of 21 bits."""
 
     def group(t: pa.Table) -> tuple[pa.Array, list[pa.Array]]:
@@ -221,7 +242,7 @@ def _gram_postings(rows: DataFrame, key: str) -> DataFrame:
         all_ = np.stack([code >> 42, code >> 21 & low, code & low], 1).astype("<u4").tobytes().decode("utf-32-le")
         return pa.array([all_[i : i + 3] for i in range(0, len(all_), 3)], pa.string()), lists
 
-    return _posted(rows, key, group, lambda b: b["low"].nbytes / GROUP_TERMS, False)
+    return _posted(rows, key, group, lambda b: b["low"].nbytes / GROUP_TERMS, False, tasks, folders)
 
 
 def grams_of(text: Column, n: int = 3) -> Column:
@@ -244,15 +265,17 @@ def build_words(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     rows, documents, size = _spread(docs, key, text)
     words = rows.select(key, tokens(F.col(text), **{**how, "stop": False}).alias("terms"))
     said = F.filter("terms", lambda t: ~t.isin(STOP_WORDS)) if how.get("stop", True) else F.col("terms")
-    words = _word_postings(words.select(key, F.size(said).alias("dl"), "terms"), key)
-    return _written(words, key, f"{new_folder(docs.sparkSession, 'text_index')}/words", size, documents, tuple(STOP_WORDS) if how.get("stop", True) else ())
+    tasks, folders = _tasks(size)
+    words = _word_postings(words.select(key, F.size(said).alias("dl"), "terms"), key, tasks, folders)
+    return _written(words, key, f"{new_folder(docs.sparkSession, 'text_index')}/words", folders, documents, tuple(STOP_WORDS) if how.get("stop", True) else ())
 
 
 def build_grams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Postings:
     """Postings of all runs of three characters of ``docs`` in lower case, written under the shared folder."""
     rows, documents, size = _spread(docs, key, text)
     low = rows.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low"))
-    return _written(_gram_postings(low, key), key, f"{new_folder(docs.sparkSession, 'text_index')}/grams", 2 * size, documents)
+    tasks, folders = _tasks(2 * size)
+    return _written(_gram_postings(low, key, tasks, folders), key, f"{new_folder(docs.sparkSession, 'text_index')}/grams", folders, documents)
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", grams: bool = False, **how) -> TextIndex:

@@ -151,3 +151,10 @@ def test_ngrams_need_no_words(spark, sf):
     assert [k[-1] for k in queries_text._indexes] == ["build_grams"]
     both = queries_text.index_of(registry.Tables(spark, sf), grams=True)
     assert both.grams is queries_text.index_of(registry.Tables(spark, sf), words=False, grams=True).grams and both.words is not None
+
+
+def test_postings_are_shuffled_as_batches_of_a_folder(spark, docs):
+    rows = docs.select("doc_id", F.lit(1).alias("dl"), X.tokens(F.col("text"), stop=False).alias("terms"))
+    plan = X._word_postings(rows, "doc_id", 8, 4)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(folder" in line]
+    assert len(sent) == 1 and "xxhash64(data" in sent[0] and "keys" not in sent[0]
