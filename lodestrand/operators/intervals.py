@@ -16,8 +16,9 @@ from lodestrand.operators import scans
 from lodestrand.sources.sinks import staged
 
 
-#: Most intervals of a key whose rows are all compared, and the level these are on.
-FEW, LEVEL_OF_FEW = 64, -1
+#: Most intervals of a key whose rows are all compared, and the level these are on.  So many comparisons cost a row less
+#: than its copies for all levels (up to a dozen where lengths differ by eight powers of ten).
+FEW, LEVEL_OF_FEW = 1024, -1
 
 
 def _bins(low: Column, high: Column, width: float | Column) -> Column:

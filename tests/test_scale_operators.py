@@ -97,6 +97,37 @@ def test_keys_of_few_spans_are_shuffled_once(spark):
     assert not any("Generate" in p for p in plans)
 
 
+def crowd(n, key="u"):
+    """Spans of one key, of nine lengths between 1 and 1e8."""
+    return [(i, key, i * 37 % 1000 * 1e5, i * 37 % 1000 * 1e5 + 10.0 ** (i % 9)) for i in range(n)]
+
+
+def touched(spark, given):
+    """The frame of touching pairs of spans, and what plain Python finds."""
+    one, two = (spark.createDataFrame(given, f"{n} long, u string, {lo} double, {hi} double") for n, lo, hi in (("a", "lo", "hi"), ("c", "s", "e")))
+    out = intervals.overlaps(one, two, ["u"], 1.5, 1.0, seg=("s", "e")).select("a", "c")
+    return out, sorted((i, j) for i, u, lo, hi in given for j, v, s, e in given if u == v and e >= lo - 1.5 and s <= hi + 1.5)
+
+
+def test_keys_of_hundreds_of_spans_are_shuffled_once(spark):
+    out, want = touched(spark, crowd(600) + [(5000 + i, *r) for i, *r in crowd(300, "v")])
+    assert sorted(map(tuple, out.collect())) == want
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few, n", [(1024, 1025), (16, 200), (0, 40)])
+def test_spans_of_crowded_keys_meet_on_levels(spark, monkeypatch, few, n):
+    """One key beyond the bound beside one within it: each pair once, whichever way it met."""
+    monkeypatch.setattr(intervals, "FEW", few)
+    out, want = touched(spark, crowd(n) + [(5000 + i, *r) for i, *r in crowd(few, "v")] + [r for r in spans(4) if few == 16 and r[2] is not None and r[2] <= r[3]])
+    assert sorted(map(tuple, out.collect())) == want
+    assert "Generate" in out._jdf.queryExecution().executedPlan().toString()
+    points = spark.createDataFrame([(i, u, lo) for i, u, lo, _ in crowd(n)], "b long, u string, at double")
+    one = spark.createDataFrame(crowd(n), "a long, u string, lo double, hi double")
+    inside = intervals.points_in_intervals(one, points, ["u"], "lo", "hi", "at", 1.0).select("a", "b")
+    assert sorted(map(tuple, inside.collect())) == sorted((i, j) for i, _, lo, hi in crowd(n) for j, _, x, _ in crowd(n) if lo <= x <= hi)
+
+
 def test_long_spans_touch_few_bins(spark):
     """Spans of a second and of three years: two bins each at most, where bins of a minute would be a million and a half."""
     rows = spark.createDataFrame([(i, "u", i * 1000.0, i * 1000.0 + (1.0 if i % 2 else 1e8)) for i in range(1000)], "k long, u string, lo double, hi double")
